@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Code points handled together inside a task: bounds the memory of the arrays, not the length of a text.
 BLOCK = 2_000_000
@@ -16,7 +17,7 @@ BLOCK = 2_000_000
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Cut record batches where the text in ``column`` passes ``most`` bytes; one longer text stands alone."""
     for batch in batches:
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
         start, total = 0, 0
         for i, n in enumerate(size.tolist()):
             if i > start and total + n > most:
