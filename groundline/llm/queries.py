@@ -7,16 +7,62 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundline.llm import tokens
+from groundline.llm import dialogues, splitting, tokens
 from groundline.session import table
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every chunk above 1,000 characters."""
+    pieces = splitting.split_oversized(table(spark, sf_dir, "document_chunks"))
+    return pieces.withColumnsRenamed({"id": "chunk_id", "text": "piece_text"})
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pieces(spark, sf_dir).filter("piece = 0").select("chunk_id")
+
+
+def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept conversations, one row for each turn."""
+    return dialogues.conversations(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dialogues.verdicts(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
+    return found.filter("reason is not null").select("conversation_id")
+
+
+def p3_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions by time alone, split at the calibrated gap."""
+    return dialogues.sessions(table(spark, sf_dir, "messages"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_conversations": p3_conversations,
+    "p3_sessions": p3_sessions,
     "p6_ids": p6_ids,
 }
 
-ORACLE: dict[str, str] = {}
+TRUSTED = """
+    m AS (SELECT DISTINCT id, conversation_id AS c, position AS p, lower(trim(role)) AS r, content, created_at FROM messages WHERE conversation_id IS NOT NULL),
+    k AS (SELECT c, min(p) AS lo FROM m GROUP BY c
+          HAVING count(*) = count(p) AND count(DISTINCT p) = count(*) AND max(p) - min(p) + 1 = count(*) AND count(*) % 2 = 0
+             AND bool_and(regexp_matches(coalesce(content, ''), '[\\p{L}\\p{N}]'))),
+    t AS (SELECT k.c, k.lo FROM k JOIN m USING (c) GROUP BY 1, 2
+          HAVING bool_and(coalesce(m.r = CASE WHEN (m.p - k.lo) % 2 = 0 THEN 'user' ELSE 'assistant' END, false))),
+    kept AS (SELECT c, lo FROM t WHERE c IN (SELECT id FROM conversations))
+"""
+
+ORACLE: dict[str, str] = {
+    "p2_found": "SELECT DISTINCT id AS chunk_id FROM document_chunks WHERE length(text) > 1000",
+    "p3_found": f"""WITH {TRUSTED} SELECT id AS conversation_id FROM
+        (SELECT id FROM conversations WHERE id IS NOT NULL UNION SELECT conversation_id FROM messages WHERE conversation_id IS NOT NULL)
+        WHERE id NOT IN (SELECT c FROM kept)""",
+    "p3_conversations": f"""WITH {TRUSTED} SELECT m.c AS conversation_id, m.p - kept.lo AS turn, m.r AS role, m.content, m.created_at FROM m JOIN kept USING (c)""",
+}
