@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundline.llm import dialogues, splitting, tokens
+from groundline.llm import dialogues, lookalike, splitting, tokens
 from groundline.session import table
 
 
@@ -36,6 +36,26 @@ def p3_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues.sessions(table(spark, sf_dir, "messages"))
 
 
+def _course_names(spark: SparkSession, sf_dir: str, field: str, code: str) -> DataFrame:
+    rows = table(spark, sf_dir, "course_documents").select("id", F.col(field).alias("value"))
+    names = table(spark, sf_dir, "course_catalog").select(F.col(code).alias("name_key"), F.col(field).alias("name")).distinct()
+    found = lookalike.match_names(rows, names)
+    return found.select(F.lit(field).alias("field"), F.least("id", "name_key").alias("key_a"), F.greatest("id", "name_key").alias("key_b")).distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "document_chunks").select("id", F.col("text").alias("value"))
+    alike = lookalike.pairs(lookalike.classes(lookalike.suspects(texts))).select(F.lit("text").alias("field"), "key_a", "key_b")
+    return _course_names(spark, sf_dir, "subject", "subject_code").unionByName(_course_names(spark, sf_dir, "course_id", "course_code")).unionByName(alike)
+
+
+def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk text in its one form, as a hash, with whether the form differs from the text as stored."""
+    texts = table(spark, sf_dir, "document_chunks").select("id", F.col("text").alias("value")).distinct()
+    done = lookalike.canonical(texts)
+    return done.select(F.col("id").alias("chunk_id"), F.sha2("canonical", 256).alias("canonical_sha256"), (F.col("canonical") != F.col("value")).alias("changed"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -46,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_conversations": p3_conversations,
     "p3_sessions": p3_sessions,
+    "p4_found": p4_found,
+    "p4_canonical": p4_canonical,
     "p6_ids": p6_ids,
 }
 
