@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundline.llm import dialogues, lookalike, splitting, tokens
+from groundline.llm import dialogues, leakage, lookalike, splitting, tokens
 from groundline.session import table
 
 
@@ -60,6 +60,10 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_questions"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
 }
 
 TRUSTED = """
