@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundline.llm import dialogues, leakage, lookalike, sentences, splitting, tokens
+from groundline.llm import dialogues, leakage, lookalike, pairs, sentences, splitting, tokens
 from groundline.session import table
 
 
@@ -56,6 +56,10 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("id").alias("chunk_id"), F.sha2("canonical", 256).alias("canonical_sha256"), (F.col("canonical") != F.col("value")).alias("changed"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(table(spark, sf_dir, "messages"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_sessions": p3_sessions,
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
