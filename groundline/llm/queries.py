@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundline.llm import dialogues, leakage, lookalike, pairs, sentences, splitting, tokens
+from groundline.llm import dialogues, leakage, lookalike, neighbors, pairs, sentences, splitting, tokens
 from groundline.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.similar_pairs(table(spark, sf_dir, "document_chunks"), k=5, least=0.9).toDF("chunk_a", "chunk_b")
+
+
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every chunk above 1,000 characters."""
     pieces = splitting.split_oversized(table(spark, sf_dir, "document_chunks"))
@@ -73,6 +77,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
