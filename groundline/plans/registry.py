@@ -4,8 +4,496 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from groundline.functions import text as tx
+from groundline.operators import chunking, dialogue, grounding, library, retrieval, structure
+from groundline.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 FLAGSHIP = "retrieval_eval"
+WIDTH, TOP = 64, 8
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "document_chunks").filter(retrieval.usable(F.col("embedding"), WIDTH))
+    return library.once(rows.select("id", "document_id", "course_id", "physical_page_number", F.col("embedding").alias("vector"))).withColumnRenamed("id", "chunk_id")
+
+
+def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches: every row of embeddings whose id is divisible by 50, against all chunks."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+USABLE = """
+    c AS (SELECT DISTINCT ON (id) id, document_id, course_id, physical_page_number, embedding::DOUBLE[] AS v FROM document_chunks
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    q AS (SELECT vec_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
+    s AS (SELECT vec_id, id, document_id, course_id, list_dot_product(v, qv) / sqrt(list_dot_product(v, v) * list_dot_product(qv, qv)) AS score FROM c, q)
+"""
+
+
+@query(f"WITH {USABLE} SELECT vec_id::VARCHAR AS query_id, id AS chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 8")
+def batch_topk(spark, sf_dir):
+    """The 8 best chunks of the whole library for every query vector."""
+    found = retrieval.batch_top(_query_vectors(spark, sf_dir), _chunk_vectors(spark, sf_dir), TOP, WIDTH)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {USABLE}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, id) AS rank FROM s)
+    SELECT vec_id::VARCHAR AS query_id, id AS chunk_id, row_number() OVER (PARTITION BY vec_id ORDER BY rank) AS label FROM r WHERE rank <= 8 AND score >= 0.40""")
+def cutoff_labels(spark, sf_dir):
+    """Labels of the retrieved chunks that reach the cutoff, which is applied after the limit."""
+    found = retrieval.batch_top(_query_vectors(spark, sf_dir), _chunk_vectors(spark, sf_dir), TOP, WIDTH)
+    return retrieval.labelled(found, retrieval.MODEL_CUTOFF, ("query_id",)).select("query_id", "chunk_id", "label")
+
+
+@query(f"WITH {USABLE} SELECT document_id, id AS chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, id) AS rank FROM s WHERE vec_id = 0) WHERE rank <= 8")
+def scoped_topk(spark, sf_dir):
+    """One query vector in the scope of each document: the 8 best of its chunks, or all of them if there are fewer."""
+    one = table(spark, sf_dir, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("q"))
+    scored = _chunk_vectors(spark, sf_dir).crossJoin(F.broadcast(one)).select("document_id", "chunk_id", retrieval.cosine(F.col("vector"), F.col("q")).alias("score"))
+    return retrieval.top_chunks(scored, TOP, ("document_id",)).select("document_id", "chunk_id", "rank")
+
+
+@query("""SELECT CASE WHEN embedding IS NULL THEN 'null' WHEN len(embedding) <> 64 THEN 'dimension' WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 'not finite'
+    WHEN len(list_filter(embedding, lambda x: x <> 0)) = 0 THEN 'zero' ELSE 'usable' END AS verdict, count(*) AS n FROM document_chunks GROUP BY 1""")
+def vector_checks(spark, sf_dir):
+    """Chunk vectors by what makes them unusable."""
+    v = F.col("embedding")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    verdict = F.when(v.isNull(), "null").when(F.size(v) != WIDTH, "dimension").when(~finite, "not finite").when(~F.exists(v, lambda x: x != 0), "zero").otherwise("usable")
+    return table(spark, sf_dir, "document_chunks").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+DOCS = "d AS (SELECT DISTINCT ON (id) * FROM course_documents)"
+CHUNKS = "k AS (SELECT DISTINCT ON (id) * FROM document_chunks)"
+
+
+@query(f"""WITH {DOCS}, {CHUNKS} SELECT d.subject, k.course_id, count(*) AS chunks, count(DISTINCT d.id) AS documents, sum(length(k.text))::BIGINT AS characters
+    FROM k JOIN d ON k.document_id = d.id AND k.course_id = d.course_id GROUP BY 1, 2""")
+def chunk_document_join(spark, sf_dir):
+    """Chunks joined to their documents on both keys, counted by course; small tables come through dropDuplicates on the narrow columns."""
+    chunks = library.once(table(spark, sf_dir, "document_chunks").select("id", "document_id", "course_id", F.char_length("text").cast("long").alias("n")))
+    documents = library.once(table(spark, sf_dir, "course_documents")).select(F.col("id").alias("document_id"), "course_id", "subject")
+    return chunks.join(documents, ["document_id", "course_id"]).groupBy("subject", "course_id").agg(F.count("*").alias("chunks"), F.countDistinct("document_id").alias("documents"), F.sum("n").alias("characters"))
+
+
+@query(f"WITH {DOCS} SELECT subject, course_id, count(id) AS documents, coalesce(sum(page_count), 0)::BIGINT AS pages FROM d GROUP BY 1, 2")
+def library_rollup(spark, sf_dir):
+    """Documents and pages of every course."""
+    return library.courses(library.once(table(spark, sf_dir, "course_documents")))
+
+
+@query("""SELECT r_name AS subject, n_name AS course_id, count(c_custkey) AS documents, coalesce(sum(o.orders), 0)::BIGINT AS pages
+    FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
+    LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1) o ON o_custkey = c_custkey GROUP BY 1, 2""")
+def library_rollup_relational(spark, sf_dir):
+    """The same roll-up over a relational hierarchy; orders are counted before the join."""
+    r, n, c, o = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
+    counted = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
+    joined = c.join(counted, "c_custkey", "left").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.groupBy(F.col("r_name").alias("subject"), F.col("n_name").alias("course_id")).agg(F.count("c_custkey").alias("documents"), F.coalesce(F.sum("orders"), F.lit(0)).alias("pages"))
+
+
+@query(f"""WITH {DOCS} SELECT id, subject, course_id, page_count,
+    coalesce(title, trim(regexp_replace(regexp_replace(regexp_extract(source_filename, '[^/]*$'), '(?i)(\\.(pdf|md|markdown|txt|xlsx|pptx|docx))+$', ''), '[_\\s]+', ' ', 'g'))) AS shown_title,
+    CASE lower(regexp_extract(source_filename, '\\.([^.]+)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'xlsx' THEN 'spreadsheet' WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown' ELSE 'text' END AS kind FROM d""")
+def document_listing(spark, sf_dir):
+    """Every document with the title shown and its kind."""
+    return library.listing(library.once(table(spark, sf_dir, "course_documents")))
+
+
+@query("""SELECT count(*) FILTER (coalesce(trim(subject) = '', true)) AS blank_subject, count(*) FILTER (coalesce(trim(course_id) = '', true)) AS blank_course,
+    count(*) FILTER (coalesce(trim(source_filename) = '', true)) AS blank_filename, count(*) FILTER (NOT coalesce(regexp_full_match(checksum, '[0-9a-fA-F]{64}'), false)) AS bad_checksum,
+    count(*) FILTER (NOT coalesce(page_count > 0, false)) AS bad_pages, count(*) FILTER (length(subject) > 200) AS long_subject, count(*) FILTER (trim(embedding_provider) = '') AS blank_provider FROM course_documents""")
+def domain_checks(spark, sf_dir):
+    """Rows against each rule of the documents table."""
+    return library.violations(table(spark, sf_dir, "course_documents"))
+
+
+@query("SELECT count(*) FILTER (embedding_provider IS DISTINCT FROM 'local') AS mismatches, count(*) AS documents FROM course_documents")
+def provider_guard(spark, sf_dir):
+    """Documents whose vectors may not be mixed with those of the configured provider."""
+    return library.provider_mismatches(table(spark, sf_dir, "course_documents"), "local")
+
+
+@query("SELECT m.embedding_model, m.embedding_dimensions AS declared, len(c.embedding)::INT AS width, count(*) AS n FROM embedding_schema_metadata m, document_chunks c WHERE c.embedding IS NOT NULL GROUP BY 1, 2, 3")
+def schema_guard(spark, sf_dir):
+    """Widths of the stored vectors beside the declared one."""
+    meta = table(spark, sf_dir, "embedding_schema_metadata").select("embedding_model", F.col("embedding_dimensions").alias("declared"))
+    widths = table(spark, sf_dir, "document_chunks").filter("embedding is not null").groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"))
+    return widths.crossJoin(F.broadcast(meta)).select("embedding_model", "declared", "width", "n")
+
+
+@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(replace(text, chr(0), '')), '\\r\\n?', chr(10), 'g'),
+    '[\\t\\f\\v ]+', ' ', 'g'), '(?m)^ ', '', 'g'), '(?m) $', '', 'g'), '\\n{2,}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL""")
+def normalized_text(spark, sf_dir):
+    """Every text in one layout, as a digest."""
+    rows = table(spark, sf_dir, "documents").filter("text is not null")
+    return rows.select("doc_id", F.md5(tx.clean_lines(tx.nfc(F.col("text")))).alias("digest"))
+
+
+@query("""WITH h AS (SELECT doc_id, sha256(text) AS checksum, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('subject=' || subject || chr(10) || 'course=' || course_id || chr(10) || 'source=' || coalesce(title, '')
+      || chr(10) || 'sha256=' || sha256(text) || chr(10) || 'parser=5')) AS d FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, checksum, d[1:8] || '-' || d[9:12] || '-5' || d[14:16] || '-' || lower(printf('%02x', (('0x' || d[17:18])::INT & 63) | 128)) || d[19:20] || '-' || d[21:32] AS document_id FROM h""")
+def checksums_ids(spark, sf_dir):
+    """Content checksums and the name-based ids derived from them."""
+    rows = table(spark, sf_dir, "documents").filter("text is not null")
+    checksum = F.sha2("text", 256)
+    return rows.select("doc_id", checksum.alias("checksum"), library.document_id(F.col("subject"), F.col("course_id"), F.coalesce("title", F.lit("")), checksum).alias("document_id"))
+
+
+@query(f"""WITH {DOCS}, {CHUNKS} SELECT k.id, md5(concat_ws(' > ', nullif(d.subject, ''), nullif(d.course_id, ''), nullif(d.title, ''), nullif(k.section_title, '')) || chr(10) || chr(10) || k.text) AS digest
+    FROM k JOIN d ON k.document_id = d.id AND k.course_id = d.course_id""")
+def embedding_context(spark, sf_dir):
+    """The embedding input of every chunk, as a digest."""
+    chunks = library.once(table(spark, sf_dir, "document_chunks").select("id", "document_id", "course_id", "section_title", "text"))
+    documents = library.once(table(spark, sf_dir, "course_documents")).select(F.col("id").alias("document_id"), "course_id", "subject", "title")
+    joined = chunks.join(documents, ["document_id", "course_id"])
+    return joined.select("id", F.md5(chunking.embedding_text(*map(F.col, ("subject", "course_id", "title", "section_title")), text=F.col("text"))).alias("digest"))
+
+
+@query()
+def page_chunks(spark, sf_dir):
+    """Every document cleaned and packed into chunks of at most 1,000 characters with a carry of 150."""
+    return chunking.page_chunks(table(spark, sf_dir, "documents"), ("doc_id",)).select("doc_id", "position", F.char_length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
+
+
+STOPS = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
+TERMS = "regexp_extract_all(strip_accents(replace(lower({0}), 'ß', 'ss')), '[\\pL\\pN_]+')"
+
+
+@query(f"SELECT term, count(*) AS n, count(DISTINCT item_id) AS items FROM (SELECT item_id, unnest({TERMS.format('text')}) AS term FROM eval_questions) WHERE length(term) > 1 GROUP BY 1")
+def term_counts(spark, sf_dir):
+    """Occurrences and items of every term of the evaluation texts."""
+    found = table(spark, sf_dir, "eval_questions").select("item_id", F.explode(tx.terms(F.col("text"))).alias("term"))
+    return found.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("items"))
+
+
+def _vectors(name: str, source: str, key: str) -> str:
+    digest = "sha256(term)"
+    return f"""
+    {name}_t AS (SELECT {key}, term, count(*) AS n FROM (SELECT {key}, unnest({TERMS.format('text')}) AS term FROM {source}) WHERE length(term) > 1 AND term NOT IN ({STOPS}) GROUP BY 1, 2),
+    {name}_b AS (SELECT {key}, (('0x' || {digest}[1:8])::BIGINT % 1024)::INT AS bucket, sum(CASE WHEN ('0x' || {digest}[9:10])::INT % 2 = 1 THEN 1 ELSE -1 END * (1 + ln(n))) AS w FROM {name}_t GROUP BY 1, 2),
+    {name} AS (SELECT {key}, bucket, w / norm AS weight FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY {key})) AS norm FROM {name}_b) WHERE norm > 0 AND w <> 0)"""
+
+
+@query(f"WITH {_vectors('v', 'eval_questions', 'item_id')} SELECT item_id, bucket, round(weight, 6) AS weight FROM v")
+def lexical_vectors(spark, sf_dir):
+    """Hashed term vectors of the evaluation texts, as sparse rows."""
+    return retrieval.lexical_vectors(table(spark, sf_dir, "eval_questions"), "item_id").select("item_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id, score, rank): the 8 documents whose vectors are closest to the passage of each evaluation item."""
+    asked = retrieval.lexical_vectors(table(spark, sf_dir, "eval_questions"), "item_id").withColumnRenamed("item_id", "query_id")
+    docs = retrieval.lexical_vectors(table(spark, sf_dir, "documents").filter("text is not null"), "doc_id")
+    scored = retrieval.lexical_scores(asked, docs).withColumn("score", F.round("score", 9))
+    return retrieval.top_chunks(scored, TOP, ("query_id",), key="doc_id")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_ranked with whether a target of the item matches the document's title and text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "title", "text")
+    targets = table(spark, sf_dir, "eval_questions").select(F.col("item_id").alias("query_id"), "targets")
+    found = _ranked(spark, sf_dir).join(docs, "doc_id").join(F.broadcast(targets), "query_id")
+    hit = F.exists("targets", lambda t: F.contains(F.coalesce("title", F.lit("")), t["source"]) & F.contains(F.coalesce("text", F.lit("")), t["match"]))
+    return found.withColumn("hit", hit)
+
+
+RANKED = f"""{_vectors('qv', 'eval_questions', 'item_id')}, {_vectors('dv', 'documents', 'doc_id')},
+    s AS (SELECT item_id, doc_id, round(sum(qv.weight * dv.weight), 9) AS score FROM qv JOIN dv USING (bucket) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 8),
+    j AS (SELECT r.*, len(list_filter(e.targets, lambda t: contains(coalesce(d.title, ''), t.source) AND contains(coalesce(d.text, ''), t.match))) > 0 AS hit
+          FROM r JOIN documents d USING (doc_id) JOIN eval_questions e USING (item_id)),
+    f AS (SELECT e.item_id, min(CASE WHEN hit THEN rank END) AS rank FROM eval_questions e LEFT JOIN j USING (item_id) GROUP BY 1)"""
+
+
+@query(f"WITH {RANKED} SELECT count(*) AS questions, avg(coalesce((rank <= 1)::INT, 0)) AS hit_1, avg(coalesce((rank <= 3)::INT, 0)) AS hit_3, avg(coalesce((rank <= 8)::INT, 0)) AS hit_8, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM f")
+def retrieval_eval(spark, sf_dir):
+    """hit@1, @3, @8 and the mean reciprocal rank of lexical retrieval over the corpus, for all evaluation items in one batch."""
+    first = _judged(spark, sf_dir).filter("hit").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    asked = table(spark, sf_dir, "eval_questions").select(F.col("item_id").alias("query_id"))
+    return retrieval.rank_report(asked.join(first, "query_id", "left")).withColumn("mrr", F.round("mrr", 9))
+
+
+@query(f"WITH {RANKED} SELECT hit, count(*) AS n, round(min(score), 6) AS lowest, round(median(score), 6) AS middle, round(max(score), 6) AS highest FROM j GROUP BY hit")
+def score_separation(spark, sf_dir):
+    """Scores of right and other passages."""
+    return _judged(spark, sf_dir).groupBy("hit").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("lowest"), F.round(F.percentile("score", 0.5), 6).alias("middle"), F.round(F.max("score"), 6).alias("highest"))
+
+
+@query(f"""WITH {DOCS}, s AS (SELECT id, CASE WHEN page_count % 2 = 0 THEN embedding_provider ELSE 'deterministic' END AS p FROM d WHERE page_count % 3 <> 0)
+    SELECT id, embedding_provider FROM d WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.id = d.id AND s.p IS NOT DISTINCT FROM d.embedding_provider)""")
+def skip_unchanged(spark, sf_dir):
+    """Documents that an import has to work on, against a store that lacks some and holds others by another provider."""
+    incoming = library.once(table(spark, sf_dir, "course_documents")).select("id", "embedding_provider", "page_count")
+    stored = incoming.filter("page_count % 3 <> 0").select("id", F.when(F.col("page_count") % 2 == 0, F.col("embedding_provider")).otherwise("deterministic").alias("embedding_provider"))
+    return library.unchanged(incoming.select("id", "embedding_provider"), stored)
+
+
+@query(f"WITH {DOCS} SELECT id, course_id, source_filename FROM d QUALIFY row_number() OVER (PARTITION BY course_id, source_filename ORDER BY created_at DESC, id DESC) = 1")
+def replace_superseded(spark, sf_dir):
+    """The version of each file that stays."""
+    return library.current_versions(library.once(table(spark, sf_dir, "course_documents"))).select("id", "course_id", "source_filename")
+
+
+@query(f"""WITH {DOCS}, v AS (SELECT id, course_id FROM d QUALIFY row_number() OVER (PARTITION BY course_id, source_filename ORDER BY created_at DESC, id DESC) = 1)
+    SELECT DISTINCT id, document_id FROM document_chunks k WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.id = k.document_id AND v.course_id = k.course_id)""")
+def cascade_delete(spark, sf_dir):
+    """Chunks that go when superseded versions of their files are deleted."""
+    chunks = table(spark, sf_dir, "document_chunks").select("id", "document_id", "course_id").distinct()
+    parents = library.current_versions(library.once(table(spark, sf_dir, "course_documents"))).select(F.col("id").alias("document_id"), "course_id")
+    return library.orphans(chunks, parents, ["document_id", "course_id"]).select("id", "document_id")
+
+
+@query(f"""WITH {CHUNKS}, f AS (SELECT id, document_id, chunk_position FROM k WHERE physical_page_number % 7 <> 0 OR chunk_position % 5 <> 0)
+    SELECT coalesce(k.document_id, f.document_id) AS document_id, bool_and(k.id IS NOT DISTINCT FROM f.id) AS fits FROM k FULL JOIN f ON k.document_id = f.document_id AND k.chunk_position = f.chunk_position GROUP BY 1""")
+def reembed_match(spark, sf_dir):
+    """Whether newly made chunks fit the stored ones of each document, for a set from which some are missing."""
+    stored = library.once(table(spark, sf_dir, "document_chunks").select("id", "document_id", "chunk_position", "physical_page_number"))
+    return library.reembedding(stored, stored.filter("physical_page_number % 7 <> 0 or chunk_position % 5 <> 0"))
+
+
+LINES = """x AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, i AS line, ((i - 1) // 10 + 1)::INT AS page, regexp_replace(parts[i], '[\\s ]+$', '') AS text FROM x, unnest(range(1, len(parts) + 1)) AS u(i))"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.numbered_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+@query(f"WITH {LINES} SELECT doc_id, line, page, md5(text) AS digest FROM l")
+def numbered_lines(spark, sf_dir):
+    """Every line of every document, numbered as the viewer numbers it."""
+    return _lines(spark, sf_dir).select("doc_id", "line", "page", F.md5("text").alias("digest"))
+
+
+@query(f"""WITH {LINES}, g AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS island FROM l WHERE text <> '')
+    SELECT doc_id, min(line) AS first_line, max(line) AS last_line, count(*) AS n_lines FROM g GROUP BY doc_id, island""")
+def islands_blocks(spark, sf_dir):
+    """Blocks of consecutive lines that are not blank."""
+    return structure.blocks(_lines(spark, sf_dir), "doc_id")
+
+
+@query(f"""WITH {LINES}, w AS (SELECT *, sum(regexp_matches(text, '^\\s*(```|~~~)')::INT) OVER (PARTITION BY doc_id ORDER BY line) % 2 AS fenced FROM l),
+    h AS (SELECT doc_id, line, length(regexp_extract(text, '^(#{{1,6}})[ \\t]+\\S', 1)) AS level, regexp_replace(regexp_replace(text, '^#{{1,6}}[ \\t]+', ''), '[ \\t]*#*[ \\t]*$', '') AS heading FROM w WHERE fenced = 0 AND regexp_matches(text, '^#{{1,6}}[ \\t]+\\S')),
+    a AS (SELECT h.doc_id, h.line, o.level, o.heading, o.line AS at FROM h JOIN h o ON o.doc_id = h.doc_id AND o.line <= h.line AND o.level <= h.level
+          WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.doc_id = h.doc_id AND b.line > o.line AND b.line <= h.line AND b.level <= o.level))
+    SELECT h.doc_id, h.line, h.level::INT AS level, h.heading, string_agg(a.heading, ' > ' ORDER BY a.level) AS path FROM h JOIN a ON a.doc_id = h.doc_id AND a.line = h.line GROUP BY 1, 2, 3, 4""")
+def heading_path(spark, sf_dir):
+    """Headings with the path of the headings above them."""
+    return structure.headings(_lines(spark, sf_dir), "doc_id")
+
+
+@query(f"""WITH {LINES}, n AS (SELECT d.course_id, l.doc_id, l.line, l.text FROM l JOIN documents d USING (doc_id) WHERE d.course_id IS NOT NULL),
+    b AS (SELECT *, min(line) OVER w AS lo, max(line) OVER w AS hi FROM n WHERE text <> '' WINDOW w AS (PARTITION BY course_id, doc_id)),
+    m AS (SELECT course_id, regexp_replace(lower(text), '[0-9]+', '#', 'g') AS margin, count(DISTINCT doc_id) AS pages FROM b WHERE line IN (lo, hi) GROUP BY 1, 2)
+    SELECT m.* FROM m JOIN (SELECT course_id, count(DISTINCT doc_id) AS n FROM n GROUP BY 1) p USING (course_id) WHERE pages >= greatest(2, ceil(n * 0.02))""")
+def boilerplate_lines(spark, sf_dir):
+    """What recurs as first or last line of the documents of a course, in one of fifty or more: the margin rule with documents as pages."""
+    rows = table(spark, sf_dir, "documents").filter("course_id is not null").select("course_id", "doc_id", "text")
+    lines = structure.numbered_lines(rows.select(F.struct("course_id", "doc_id").alias("k"), "text"), "k").select("k.course_id", F.col("k.doc_id").alias("page"), "line", "text")
+    return structure.frequent_margins(lines, "course_id", share=0.02)
+
+
+@query(f"""WITH {LINES}, o AS (SELECT *, regexp_matches(text, '^\\s*[a-zA-Z][.)]\\s') AS opt FROM l),
+    a AS (SELECT *, regexp_matches(text, '^\\s*[0-9]{{1,3}}[.)]\\s') AND (coalesce(lead(opt, 1) OVER w, false) OR coalesce(lead(opt, 2) OVER w, false) OR coalesce(lead(opt, 3) OVER w, false)) AS asked FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY line))
+    SELECT doc_id, count(*) FILTER (asked) AS n_questions FROM a GROUP BY 1 HAVING n_questions >= 1""")
+def question_split(spark, sf_dir):
+    """Documents that are question sheets, with their number of questions."""
+    return structure.questions(_lines(spark, sf_dir), "doc_id", 1)
+
+
+@query("""WITH s AS (SELECT p_brand, p_size, sum(length(p_name))::BIGINT AS w FROM part GROUP BY 1, 2) SELECT p_brand, p_size, w AS weight FROM s QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY w DESC, p_size) = 1""")
+def body_size_mode(spark, sf_dir):
+    """The size that carries most characters, by brand: the rule that finds the body size of a document."""
+    return structure.weighted_mode(table(spark, sf_dir, "part"), ["p_brand"], "p_size", F.length("p_name"))
+
+
+@query("WITH s AS (SELECT l_returnflag, l_linenumber, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, l_linenumber, w AS weight FROM s QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY w DESC, l_linenumber) = 1")
+def dominant_mode(spark, sf_dir):
+    """The same weighted mode over line items."""
+    return structure.weighted_mode(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linenumber", F.col("l_quantity"))
+
+
+@query(f"""WITH {CHUNKS}, p AS (SELECT document_id, physical_page_number AS page, min(section_title) AS title, list_sort(list_distinct(list(text))) AS lines FROM k GROUP BY 1, 2),
+    n AS (SELECT *, lead(page) OVER w AS np, lead(title) OVER w AS nt, lead(lines) OVER w AS nl FROM p WINDOW w AS (PARTITION BY document_id ORDER BY page)),
+    f AS (SELECT * FROM n WHERE NOT coalesce(np = page + 1 AND nt IS NOT DISTINCT FROM title AND len(list_filter(lines, lambda x: NOT list_contains(nl, x))) = 0, false))
+    SELECT document_id, page FROM f QUALIFY row_number() OVER (PARTITION BY document_id, lines ORDER BY page) = 1""")
+def overlay_drop(spark, sf_dir):
+    """Pages that stay when overlays and repeats of a page are dropped."""
+    chunks = library.once(table(spark, sf_dir, "document_chunks").select("id", "document_id", "physical_page_number", "section_title", "text"))
+    pages = chunks.groupBy("document_id", F.col("physical_page_number").alias("page")).agg(F.min("section_title").alias("title"), F.collect_set("text").alias("lines"))
+    return structure.without_overlays(pages, "document_id").select("document_id", "page")
+
+
+@query(f"""WITH {CHUNKS} SELECT id, last_value(section_title IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY chunk_position, id ROWS UNBOUNDED PRECEDING) AS carried FROM k""")
+def divider_sections(spark, sf_dir):
+    """The section of every chunk, carried over chunks that have none."""
+    chunks = library.once(table(spark, sf_dir, "document_chunks").select("id", "document_id", "chunk_position", "section_title"))
+    carried = F.last("section_title", ignorenulls=True).over(Window.partitionBy("document_id").orderBy("chunk_position", "id"))
+    return chunks.select("id", carried.alias("carried"))
+
+
+@query("SELECT c_nationkey AS sheet, count(*) FILTER (regexp_matches(c_mktsegment || c_name, '[A-Za-z]')) AS text_rows, count(*) FILTER (NOT regexp_matches(c_mktsegment || c_name, '[A-Za-z]')) AS numeric_rows FROM customer GROUP BY 1")
+def sheet_rows(spark, sf_dir):
+    """Rows of text and of numbers alone, by sheet."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("sheet"), F.col("c_custkey").alias("row"), F.array(F.col("c_custkey").cast("string"), "c_name", "c_mktsegment", F.col("c_acctbal").cast("string")).alias("cells"))
+    text = structure.sheet_rows(rows, "sheet", "row", "cells").groupBy("sheet").agg(F.count("*").alias("text_rows"))
+    return structure.numeric_rows(rows, "sheet", "cells").join(text, "sheet", "left").select("sheet", F.coalesce("text_rows", F.lit(0)).alias("text_rows"), "numeric_rows")
+
+
+@query(f"""WITH {CHUNKS}, e AS (SELECT id, x.p AS page, x.b AS b, x.l AS l FROM (SELECT id, unnest(locations) AS x FROM k) WHERE x.s < 200 AND x.e > 0)
+    SELECT id, page, count(DISTINCT b) AS boxes, count(DISTINCT l) AS lines FROM e GROUP BY 1, 2""")
+def highlights_by_page(spark, sf_dir):
+    """Distinct boxes and lines of each page that overlap the first 200 characters of a chunk."""
+    chunks = library.once(table(spark, sf_dir, "document_chunks").select("id", "locations"))
+    located = chunks.select("id", grounding.overlapping(F.col("locations"), F.lit(0), F.lit(200)).alias("locations"))
+    return grounding.highlights(located, "id").select("id", "page", F.size("boxes").cast("long").alias("boxes"), F.size("lines").cast("long").alias("lines"))
+
+
+MESSAGES = "m AS (SELECT DISTINCT ON (id) * REPLACE (lower(trim(role)) AS role) FROM messages WHERE conversation_id IS NOT NULL AND position IS NOT NULL)"
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "messages").filter("conversation_id is not null and position is not null")
+    return library.once(rows.withColumn("role", F.lower(F.trim("role"))))
+
+
+@query(f"""WITH {MESSAGES}, c AS (SELECT id, i AS claim, payload.claims[i].citations AS sources FROM m, unnest(range(1, len(payload.claims) + 1)) AS u(i)),
+    s AS (SELECT id, claim, sources[j] AS source, j AS place FROM c, unnest(range(1, len(sources) + 1)) AS u(j)),
+    u AS (SELECT id, claim, source, min(place) AS place FROM s GROUP BY 1, 2, 3),
+    n AS (SELECT id, source, row_number() OVER (PARTITION BY id ORDER BY min((claim, place))) AS number FROM u GROUP BY 1, 2)
+    SELECT id, (claim - 1)::INT AS claim, source, number FROM u JOIN n USING (id, source)""")
+def citation_numbers(spark, sf_dir):
+    """Sources of every claim, numbered by first use in their answer."""
+    claims = _messages(spark, sf_dir).select("id", F.posexplode("payload.claims").alias("claim", "c")).select("id", "claim", F.col("c.citations").alias("sources"))
+    return grounding.citation_numbers(claims, "id").select("id", "claim", "source", "number")
+
+
+@query(f"""WITH {MESSAGES}, c AS (SELECT id, unnest(payload.citations) AS j FROM m), p AS (SELECT id, (j->>'$.number')::INT AS number, j->>'$.document_id' AS document_id FROM c)
+    SELECT p.id, p.number, p.document_id, d.id IS NOT NULL AS known FROM p LEFT JOIN (SELECT DISTINCT id FROM course_documents) d ON d.id = p.document_id""")
+def citation_documents(spark, sf_dir):
+    """Citations parsed from JSON and looked up in the library; unknown documents stay."""
+    each = _messages(spark, sf_dir).select("id", F.explode("payload.citations").alias("j")).select("id", F.from_json("j", "number int, document_id string, excerpt string").alias("c"))
+    known = table(spark, sf_dir, "course_documents").select(F.col("id").alias("document_id")).distinct().withColumn("known", F.lit(True))
+    cited = each.select("id", "c.number", "c.document_id")
+    return cited.join(known, "document_id", "left").select("id", "number", "document_id", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query(f"""WITH {MESSAGES}, c AS (SELECT id, content, unnest(payload.citations) AS j FROM m), p AS (SELECT id, content, (j->>'$.number')::INT AS number, j->>'$.excerpt' AS quote FROM c)
+    SELECT id, number, CASE WHEN length(quote) >= 3 AND instr(content, quote) > 0 THEN instr(content, quote) - 1 END AS start FROM p WHERE content IS NOT NULL AND quote IS NOT NULL""")
+def quote_verify_exact(spark, sf_dir):
+    """Where the excerpt of each citation stands in its answer, character for character."""
+    each = _messages(spark, sf_dir).filter("content is not null").select("id", "content", F.explode("payload.citations").alias("j"))
+    quoted = each.select("id", "content", F.from_json("j", "number int, document_id string, excerpt string").alias("c")).select("id", "content", "c.number", F.col("c.excerpt").alias("quote")).filter("quote is not null")
+    place = F.instr("content", F.col("quote"))
+    return quoted.select("id", "number", F.when((F.char_length("quote") >= grounding.LEAST) & (place > 0), place - 1).alias("start"))
+
+
+@query()
+def quote_verify(spark, sf_dir):
+    """The same with case, accents, layout and small changes allowed: spans by letters and digits, then by similarity."""
+    each = _messages(spark, sf_dir).filter("content is not null").select("id", "content", F.explode("payload.citations").alias("j"))
+    quoted = each.select("id", "content", F.from_json("j", "number int, document_id string, excerpt string").alias("c")).select("id", "content", "c.number", F.col("c.excerpt").alias("quote")).filter("quote is not null")
+    return grounding.verified_quotes(quoted, "content", "quote").select("id", "number", "span.start", "span.end")
+
+
+@query(f"""WITH {MESSAGES}, s AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY position DESC, id) AS back FROM m WHERE role = 'user' OR (role = 'assistant' AND coalesce(payload.status, '') = 'answered')),
+    k AS (SELECT * FROM s WHERE back <= 6) SELECT id, conversation_id, (count(*) OVER (PARTITION BY conversation_id) - back)::INT AS turn FROM k""")
+def history_turns(spark, sf_dir):
+    """The turns of each conversation that a follow-up may refer to."""
+    return dialogue.history(_messages(spark, sf_dir)).select("id", "conversation_id", "turn")
+
+
+@query(f"WITH {MESSAGES} SELECT c.id, coalesce(max(m.position), -1) + 1 AS next_position FROM (SELECT DISTINCT id FROM conversations) c LEFT JOIN m ON m.conversation_id = c.id GROUP BY 1")
+def append_positions(spark, sf_dir):
+    """The position that the next message of each conversation takes."""
+    return dialogue.next_positions(_messages(spark, sf_dir), library.once(table(spark, sf_dir, "conversations")))
+
+
+@query("""WITH f AS (SELECT id, trim(regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g')) AS t FROM (SELECT DISTINCT ON (id) * FROM conversations))
+    SELECT id, CASE WHEN length(t) <= 80 THEN t ELSE rtrim(substr(t, 1, 79)) || '…' END AS short_title FROM f""")
+def conversation_titles(spark, sf_dir):
+    """Titles as stored for a new conversation."""
+    return library.once(table(spark, sf_dir, "conversations")).select("id", tx.conversation_title(F.col("title")).alias("short_title"))
+
+
+@query("SELECT id, title FROM (SELECT DISTINCT ON (id) * FROM conversations) ORDER BY updated_at DESC, id LIMIT 100")
+def recent_conversations(spark, sf_dir):
+    """The hundred conversations touched last: a top-k report."""
+    return library.once(table(spark, sf_dir, "conversations")).orderBy(F.desc("updated_at"), "id").limit(100).select("id", "title")
+
+
+@query("""WITH c AS (SELECT DISTINCT ON (id) * FROM conversations), t AS (SELECT max(updated_at)::DATE AS today FROM c)
+    SELECT CASE WHEN d <= 0 THEN 'today' WHEN d = 1 THEN 'yesterday' WHEN d < 7 THEN 'week' ELSE 'older' END AS bucket, count(*) AS n FROM (SELECT today - updated_at::DATE AS d FROM c, t) GROUP BY 1""")
+def recency_buckets(spark, sf_dir):
+    """Conversations by recency, seen from the day of the last change."""
+    rows = library.once(table(spark, sf_dir, "conversations"))
+    today = rows.agg(F.to_date(F.max("updated_at")).alias("today"))
+    return rows.crossJoin(F.broadcast(today)).groupBy(dialogue.recency(F.col("updated_at"), F.col("today")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {MESSAGES}, q AS (SELECT *, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY position, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question FROM m)
+    SELECT id, conversation_id, coalesce(payload.status, 'answered') AS status, CASE WHEN payload.retrieval_query IS DISTINCT FROM question THEN payload.retrieval_query END AS shown_search FROM q WHERE role = 'assistant'""")
+def rewritten_searches(spark, sf_dir):
+    """Assistant messages as a reopened view shows them."""
+    return dialogue.restored(_messages(spark, sf_dir))
+
+
+@query(f"""WITH {MESSAGES} SELECT coalesce(payload.status, 'none') AS status, count(*) AS answers, count(*) FILTER (coalesce(len(payload.citations), 0) > 0) AS with_citations, sum(coalesce(len(payload.citations), 0))::BIGINT AS citations
+    FROM m WHERE role = 'assistant' GROUP BY 1""")
+def answer_scorecard(spark, sf_dir):
+    """Outcomes of all answers."""
+    return dialogue.scorecard(_messages(spark, sf_dir))
+
+
+@query("SELECT user_id, coalesce(bool_and(ok), true) AS valid FROM (SELECT user_id, event_type <> coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') AS ok FROM events) GROUP BY 1")
+def event_order(spark, sf_dir):
+    """Users whose events never repeat their type at once: the window that checks an event contract."""
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    checked = table(spark, sf_dir, "events").withColumn("ok", F.col("event_type") != F.coalesce(before, F.lit("")))
+    return checked.groupBy("user_id").agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("valid"))
+
+
+@query(f"""WITH {MESSAGES} SELECT conversation_id, count(*) AS events, bool_and(CASE WHEN before IS NULL THEN role = 'user' ELSE role <> before END) AS alternates FROM
+    (SELECT *, lag(role) OVER (PARTITION BY conversation_id ORDER BY position, id) AS before FROM m WHERE role IN ('user', 'assistant')) GROUP BY 1""")
+def event_contract(spark, sf_dir):
+    """Conversations whose turns alternate, beginning with the user."""
+    turns = _messages(spark, sf_dir).filter(F.col("role").isin("user", "assistant"))
+    before = F.lag("role").over(Window.partitionBy("conversation_id").orderBy("position", "id"))
+    marked = turns.withColumn("before", before).withColumn("fine", F.when(F.col("before").isNull(), F.col("role") == "user").otherwise(F.col("role") != F.col("before")))
+    return marked.groupBy("conversation_id").agg(F.count("*").alias("events"), F.bool_and("fine").alias("alternates"))
+
+
+@query(f"""WITH {DOCS}, {CHUNKS} SELECT k.id, md5(concat_ws('|', coalesce(d.course_id, ''), coalesce(d.title, d.source_filename, ''), coalesce(k.section_title, ''), k.physical_page_number::VARCHAR, k.text)) AS digest
+    FROM k JOIN d ON d.id = k.document_id AND d.course_id = k.course_id""")
+def prompt_payload(spark, sf_dir):
+    """The fields of each excerpt as a prompt holds them, as a digest."""
+    chunks = library.once(table(spark, sf_dir, "document_chunks").select("id", "document_id", "course_id", "section_title", "physical_page_number", "text"))
+    documents = library.once(table(spark, sf_dir, "course_documents")).select(F.col("id").alias("document_id"), "course_id", "title", "source_filename")
+    joined = chunks.join(documents, ["document_id", "course_id"])
+    fields = [F.coalesce("course_id", F.lit("")), F.coalesce("title", "source_filename", F.lit("")), F.coalesce("section_title", F.lit("")), F.col("physical_page_number").cast("string"), F.col("text")]
+    return joined.select("id", F.md5(F.concat_ws("|", *fields)).alias("digest"))
+
+
+@query("""SELECT CASE WHEN scope.document_id IS NOT NULL THEN 'document' WHEN scope.course_id IS NOT NULL THEN 'course' WHEN scope.subject IS NOT NULL THEN 'subject' ELSE 'all' END AS level, count(*) AS n
+    FROM (SELECT DISTINCT ON (id) * FROM conversations) GROUP BY 1""")
+def scope_labels(spark, sf_dir):
+    """Conversations by the level of their scope; the narrowest part that is set counts."""
+    level = F.when(F.col("scope.document_id").isNotNull(), "document").when(F.col("scope.course_id").isNotNull(), "course").when(F.col("scope.subject").isNotNull(), "subject").otherwise("all")
+    return library.once(table(spark, sf_dir, "conversations")).groupBy(level.alias("level")).agg(F.count("*").alias("n"))
