@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from groundline.session import checkpoint
 
-#: Vectors for each centroid; the most centroids (16 MB as broadcast); rows of the sample for each centroid, and at most.
+#: Vectors for each centroid; the most centroids (16 MB as broadcast); rows of the sample for each centroid, and at most (about, since the
+#: sample is drawn by a hash of the id).
 PER_CENTROID, CENTROIDS, PER_SAMPLE, SAMPLE = 256, 65_536, 12, 131_072
 TABLES, LISTS, RATIO, LIST_ROWS = 2, 3, 1.06, 20_000
 DEGREE, BEAM, HOPS = 24, 8, 3
@@ -125,9 +126,12 @@ def nearest(vectors: DataFrame, k: int, width: int, least: float = -1.0) -> Data
     spark = vectors.sparkSession
     count = vectors.count()
     centroids = int(min(CENTROIDS, max(1, count // PER_CENTROID)))
-    taken = vectors.orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, PER_SAMPLE * centroids)).select("embedding").toArrow()
     if not count:
         return spark.createDataFrame([], "a string, b string, cosine double")
+    share = min(SAMPLE, max(4096, PER_SAMPLE * centroids)) / count
+    taken = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 24)) < int(share * (1 << 24)) + 1).select("embedding").toArrow()
+    if not taken.num_rows:
+        taken = vectors.select("embedding").limit(1).toArrow()
     sample = unit(_matrix(taken.column(0).combine_chunks(), width), np.float32)
     graphs = spark.sparkContext.broadcast([Graph(sample, centroids, seed) for seed in range(TABLES)])
 
