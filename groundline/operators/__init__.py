@@ -1 +1 @@
-"""See the package docstring."""
+"""Building blocks of queries: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Composed queries and their registry."""

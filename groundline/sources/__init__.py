@@ -1 +1 @@
-"""See the package docstring."""
+"""Readers of course files and event streams."""
