@@ -241,7 +241,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     wanted = items.filter(F.col(item_text).isNotNull()).select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).distinct()
     slices = max(1, -(-(wanted.agg(F.sum(F.char_length("t"))).first()[0] or 0) // ITEMS))
     kinds = f"`{item_key}` {items.schema[item_key].dataType.simpleString()}, `{key}` {docs.schema[key].dataType.simpleString()}"
-    item_type = pa.int64() if "int" in kinds.split(",")[0] else pa.string()
+    item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(items.schema[item_key].dataType.simpleString(), pa.string())
     out = None
     for part in range(slices):
         rows = wanted.filter(F.pmod(F.xxhash64("k"), F.lit(slices)) == part).collect()  # at most about ITEMS code points

@@ -84,6 +84,7 @@ def fingerprint(value: Column) -> Column:
 
 def suspects(values: DataFrame) -> DataFrame:
     """(id, value, h) of the rows whose fingerprint occurs with at least two different values; values has (id, value)."""
+    values = values.select("id", "value")
     light = checkpoint(values.filter("value is not null").select("id", fingerprint(F.col("value")).alias("h"), F.xxhash64("value").alias("th")))
     several = light.groupBy("h").agg(F.min("th").alias("a"), F.max("th").alias("b")).filter("a <> b").select("h")
     few = checkpoint(light.join(several, "h", "left_semi").select("id", "h").distinct())
@@ -94,20 +95,25 @@ def suspects(values: DataFrame) -> DataFrame:
 def classes(rows: DataFrame) -> DataFrame:
     """(id, h, look, value, canonical) of the rows of suspects whose class has at least two different values.
 
-    The canonical member is one that the mapping leaves as it is, if there is one; among those the most frequent, then the least.
+    The canonical member is one that the mapping leaves as it is, if there is one; among those the shortest (composed), the most frequent,
+    the least.
     """
     spark = rows.sparkSession
-    rows.filter("value is not null").select("id", "h", "value", look(F.col("value")).alias("mapped")).distinct().createOrReplaceTempView("lookalike_rows")
-    return spark.sql("""
-        WITH keyed AS (SELECT id, h, value, mapped COLLATE UNICODE AS look, mapped = value AS plain FROM lookalike_rows),
+    mapped = rows.filter("value is not null").select("id", "h", "value", look(F.col("value")).alias("mapped")).distinct()
+    return spark.sql(
+        """
+        WITH keyed AS (SELECT id, h, value, mapped COLLATE UNICODE AS look, mapped = value AS plain FROM {mapped}),
         spelled AS (SELECT h, look, value, plain, count(*) AS n FROM keyed GROUP BY h, look, value, plain),
-        chosen AS (SELECT h, look, min(struct(NOT plain AS a, -n AS b, value AS c)).c AS canonical FROM spelled GROUP BY h, look HAVING count(*) > 1)
+        chosen AS (SELECT h, look, min(struct(NOT plain AS a, char_length(value) AS b, -n AS c, value AS d)).d AS canonical FROM spelled GROUP BY h, look HAVING count(*) > 1)
         SELECT k.id, k.h, k.look, k.value, c.canonical FROM keyed k JOIN chosen c ON k.h = c.h AND k.look = c.look
-    """)
+        """,
+        mapped=mapped,
+    )
 
 
 def canonical(values: DataFrame) -> DataFrame:
     """(id, value, canonical) for every row of values (id, value): the whole column in one form."""
+    values = values.select("id", "value")
     changed = classes(suspects(values)).select("id", "value", "canonical").distinct()
     return values.join(changed, ["id", "value"], "left").select("id", "value", F.coalesce("canonical", "value").alias("canonical"))
 
@@ -128,6 +134,7 @@ def match_names(rows: DataFrame, names: DataFrame) -> DataFrame:
 
     Distinct values are matched, and the matches joined back, so a value that a third of all rows hold costs one comparison.
     """
+    rows = rows.select("id", "value")
     values = rows.filter("value is not null").select("value").distinct()
     both = values.select(F.col("value").alias("id"), "value").unionByName(names.select(F.concat(F.lit("\u0000"), "name").alias("id"), F.col("name").alias("value")).distinct())
     found = classes(both.withColumn("h", F.xxhash64(F.lit(0)))).select("id", "look", "value")
