@@ -106,9 +106,10 @@ def bucket_of(term: Column) -> tuple[Column, Column]:
 def lexical_vectors(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """Sparse unit vectors (key, bucket, weight) of texts: signed hashing of terms, weighted 1 + ln(count).
 
-    Each distinct term of a text is hashed once, in the pass that counts it; a text of stop words alone has no vector.
+    Each distinct term of a text is hashed once; a text of stop words alone has no vector. The terms are partitioned by text once, and the
+    counts, the buckets and the norms all follow that partitioning.
     """
-    found = texts.select(key, F.explode(F.filter(terms(F.col(text)), lambda w: ~w.isin(STOP_WORDS))).alias("term"))
+    found = texts.select(key, F.explode(F.filter(terms(F.col(text)), lambda w: ~w.isin(STOP_WORDS))).alias("term")).repartition(key)
     counted = found.groupBy(key, "term").count()
     bucket, sign = bucket_of(F.col("term"))
     summed = counted.select(key, bucket.alias("bucket"), (sign * (1 + F.log(F.col("count").cast("double")))).alias("w")).groupBy(key, "bucket").agg(F.sum("w").alias("w"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from groundline.functions import text as tx
 from groundline.operators import chunking, dialogue, grounding, library, retrieval, structure
-from groundline.session import table
+from groundline.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -142,7 +142,7 @@ def schema_guard(spark, sf_dir):
     '[\\t\\f\\v ]+', ' ', 'g'), '(?m)^ ', '', 'g'), '(?m) $', '', 'g'), '\\n{2,}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL""")
 def normalized_text(spark, sf_dir):
     """Every text in one layout, as a digest."""
-    rows = table(spark, sf_dir, "documents").filter("text is not null")
+    rows = spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text"))
     return rows.select("doc_id", F.md5(tx.clean_lines(tx.nfc(F.col("text")))).alias("digest"))
 
 
@@ -169,7 +169,7 @@ def embedding_context(spark, sf_dir):
 @query()
 def page_chunks(spark, sf_dir):
     """Every document cleaned and packed into chunks of at most 1,000 characters with a carry of 150."""
-    return chunking.page_chunks(table(spark, sf_dir, "documents"), ("doc_id",)).select("doc_id", "position", F.char_length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
+    return chunking.page_chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ("doc_id",)).select("doc_id", "position", F.char_length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
 STOPS = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
@@ -200,7 +200,7 @@ def lexical_vectors(spark, sf_dir):
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc_id, score, rank): the 8 documents whose vectors are closest to the passage of each evaluation item."""
     asked = retrieval.lexical_vectors(table(spark, sf_dir, "eval_questions"), "item_id").withColumnRenamed("item_id", "query_id")
-    docs = retrieval.lexical_vectors(table(spark, sf_dir, "documents").filter("text is not null"), "doc_id")
+    docs = retrieval.lexical_vectors(spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")), "doc_id")
     scored = retrieval.lexical_scores(asked, docs).withColumn("score", F.round("score", 9))
     return retrieval.top_chunks(scored, TOP, ("query_id",), key="doc_id")
 
@@ -273,7 +273,7 @@ LINES = """x AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.numbered_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return structure.numbered_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 @query(f"WITH {LINES} SELECT doc_id, line, page, md5(text) AS digest FROM l")

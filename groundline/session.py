@@ -31,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan ahead of heavy work on each: a scan of at most half as many partitions as there are cores is dealt out over all.
+
+    A large table has more partitions than that and is left as it is, so what is shuffled stays small.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the one the cluster names, else (only in tests) a fresh local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
