@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundline.llm import dialogues, leakage, lookalike, neighbors, pairs, sentences, splitting, tokens
-from groundline.session import table
+from groundline.session import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def _course_names(spark: SparkSession, sf_dir: str, field: str, code: str) -> Da
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "document_chunks").select("id", F.col("text").alias("value"))
+    texts = spread(table(spark, sf_dir, "document_chunks").select("id", F.col("text").alias("value")))
     alike = lookalike.pairs(lookalike.classes(lookalike.suspects(texts))).select(F.lit("text").alias("field"), "key_a", "key_b")
     return _course_names(spark, sf_dir, "subject", "subject_code").unionByName(_course_names(spark, sf_dir, "course_id", "course_code")).unionByName(alike)
 
@@ -61,19 +61,19 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.defects(table(spark, sf_dir, "messages"))
+    return pairs.defects(spread(table(spark, sf_dir, "messages").select("id", "conversation_id", "position", "role", "content", "payload")))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode_corpus(table(spark, sf_dir, "documents"))
+    return tokens.encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_questions"))
+    return leakage.find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_questions"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentence_ends(table(spark, sf_dir, "documents"))
+    return sentences.sentence_ends(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
