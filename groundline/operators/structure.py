@@ -86,3 +86,31 @@ def numeric_rows(rows: DataFrame, sheet: str, cells: str) -> DataFrame:
     """(sheet, numeric_rows): rows that hold something, but no letter."""
     filled = F.filter(cells, lambda c: F.trim(c) != "")
     return rows.groupBy(sheet).agg(F.count_if((F.size(filled) > 0) & ~F.exists(filled, lambda c: c.rlike(r"\p{L}"))).alias("numeric_rows"))
+
+
+def markdown_segments(lines: DataFrame, key: str) -> DataFrame:
+    """(key, segment, path, text, lines) of Markdown lines: a segment for each heading, and one before the first.
+
+    A single heading of level 1 that comes first is the document's title and opens no path. Horizontal rules are dropped, three line feeds
+    or more become two; lines holds the numbers of the lines that are not blank, the heading's own included.
+    """
+    found = headings(lines, key)
+    title = found.groupBy(key).agg(F.count_if(F.col("level") == 1).alias("ones"), F.min(F.struct("line", "level", "heading")).alias("first"))
+    titled = title.filter("ones = 1 and first.level = 1").select(key, F.col("first.line").alias("title_line"), F.col("first.heading").alias("title"))
+    marked = lines.join(found.select(key, "line", "heading", "path"), [key, "line"], "left").join(titled, key, "left")
+    opens = F.col("heading").isNotNull() & ~F.col("line").eqNullSafe(F.col("title_line"))
+    w = Window.partitionBy(key).orderBy("line")
+    marked = marked.withColumn("segment", F.sum(opens.cast("int")).over(w)).withColumn("opens", opens)
+    rule = F.rlike("text", F.lit(r"^\s*(-\s*){3,}$|^\s*(\*\s*){3,}$|^\s*(_\s*){3,}$"))
+    kept = marked.filter(~rule)
+    shown = F.when(F.col("heading").isNull(), F.struct("line", "text"))
+    grouped = kept.groupBy(key, "segment").agg(
+        F.max(F.when(F.col("opens"), F.col("path"))).alias("path"),
+        F.max("title").alias("title"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(shown)), lambda x: x["text"]), "\n").alias("text"),
+        F.sort_array(F.collect_list(F.when(F.col("text") != "", F.col("line")))).alias("lines"),
+    )
+    body = F.regexp_replace(F.regexp_replace("text", r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    above = F.concat(F.col("title"), F.lit(" > "))
+    path = F.when(F.startswith("path", above), F.expr("substring(path, length(title) + 4)")).otherwise(F.col("path"))
+    return grouped.select(key, "segment", path.alias("path"), body.alias("text"), "lines").filter((F.col("text") != "") | F.col("path").isNotNull())
