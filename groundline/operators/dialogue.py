@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundline.operators.ordered import last_before
+
 HISTORY = 6
 
 
@@ -38,9 +40,8 @@ def recency(updated: Column, today: Column) -> Column:
 
 def restored(messages: DataFrame) -> DataFrame:
     """Assistant messages as a reopened view shows them: a missing status means answered; the search is shown if it is not the question."""
-    w = Window.partitionBy("conversation_id").orderBy("position", "id").rowsBetween(Window.unboundedPreceding, -1)
-    question = F.last(F.when(F.col("role") == "user", F.col("content")), ignorenulls=True).over(w)
-    rows = messages.withColumn("question", question).filter("role = 'assistant'")
+    asked = F.when(F.col("role") == "user", F.col("content"))
+    rows = last_before(messages, ["conversation_id"], "position", asked, "id", "question").filter("role = 'assistant'")
     search = F.col("payload.retrieval_query")
     return rows.select("id", "conversation_id", F.coalesce("payload.status", F.lit("answered")).alias("status"), F.when(~search.eqNullSafe(F.col("question")), search).alias("shown_search"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundline.functions import text as tx
 from groundline.operators import chunking, dialogue, grounding, library, retrieval, structure
+from groundline.operators.ordered import last_before
 from groundline.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,8 +64,8 @@ def cutoff_labels(spark, sf_dir):
 @query(f"WITH {USABLE} SELECT document_id, id AS chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, id) AS rank FROM s WHERE vec_id = 0) WHERE rank <= 8")
 def scoped_topk(spark, sf_dir):
     """One query vector in the scope of each document: the 8 best of its chunks, or all of them if there are fewer."""
-    one = table(spark, sf_dir, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    scored = _chunk_vectors(spark, sf_dir).crossJoin(F.broadcast(one)).select("document_id", "chunk_id", retrieval.cosine(F.col("vector"), F.col("q")).alias("score"))
+    one = table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").scalar()
+    scored = _chunk_vectors(spark, sf_dir).withColumn("q", one).select("document_id", "chunk_id", retrieval.cosine(F.col("vector"), F.col("q")).alias("score"))
     return retrieval.top_chunks(scored, TOP, ("document_id",)).select("document_id", "chunk_id", "rank")
 
 
@@ -133,9 +134,9 @@ def provider_guard(spark, sf_dir):
 @query("SELECT m.embedding_model, m.embedding_dimensions AS declared, len(c.embedding)::INT AS width, count(*) AS n FROM embedding_schema_metadata m, document_chunks c WHERE c.embedding IS NOT NULL GROUP BY 1, 2, 3")
 def schema_guard(spark, sf_dir):
     """Widths of the stored vectors beside the declared one."""
-    meta = table(spark, sf_dir, "embedding_schema_metadata").select("embedding_model", F.col("embedding_dimensions").alias("declared"))
+    meta = table(spark, sf_dir, "embedding_schema_metadata")
     widths = table(spark, sf_dir, "document_chunks").filter("embedding is not null").groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"))
-    return widths.crossJoin(F.broadcast(meta)).select("embedding_model", "declared", "width", "n")
+    return widths.select(meta.select("embedding_model").scalar().alias("embedding_model"), meta.select("embedding_dimensions").scalar().alias("declared"), "width", "n")
 
 
 @query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(replace(text, chr(0), '')), '\\r\\n?', chr(10), 'g'),
@@ -345,8 +346,8 @@ def overlay_drop(spark, sf_dir):
 def divider_sections(spark, sf_dir):
     """The section of every chunk, carried over chunks that have none."""
     chunks = library.once(table(spark, sf_dir, "document_chunks").select("id", "document_id", "chunk_position", "section_title"))
-    carried = F.last("section_title", ignorenulls=True).over(Window.partitionBy("document_id").orderBy("chunk_position", "id"))
-    return chunks.select("id", carried.alias("carried"))
+    before = last_before(chunks, ["document_id"], "chunk_position", F.col("section_title"), "id", "before")
+    return before.select("id", F.coalesce("section_title", "before").alias("carried"))
 
 
 @query("SELECT c_nationkey AS sheet, count(*) FILTER (regexp_matches(c_mktsegment || c_name, '[A-Za-z]')) AS text_rows, count(*) FILTER (NOT regexp_matches(c_mktsegment || c_name, '[A-Za-z]')) AS numeric_rows FROM customer GROUP BY 1")
@@ -444,8 +445,8 @@ def recent_conversations(spark, sf_dir):
 def recency_buckets(spark, sf_dir):
     """Conversations by recency, seen from the day of the last change."""
     rows = library.once(table(spark, sf_dir, "conversations"))
-    today = rows.agg(F.to_date(F.max("updated_at")).alias("today"))
-    return rows.crossJoin(F.broadcast(today)).groupBy(dialogue.recency(F.col("updated_at"), F.col("today")).alias("bucket")).agg(F.count("*").alias("n"))
+    today = rows.agg(F.to_date(F.max("updated_at"))).scalar()
+    return rows.select(dialogue.recency(F.col("updated_at"), today).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {MESSAGES}, q AS (SELECT *, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY position, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question FROM m)
@@ -465,8 +466,8 @@ def answer_scorecard(spark, sf_dir):
 @query("SELECT user_id, coalesce(bool_and(ok), true) AS valid FROM (SELECT user_id, event_type <> coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') AS ok FROM events) GROUP BY 1")
 def event_order(spark, sf_dir):
     """Users whose events never repeat their type at once: the window that checks an event contract."""
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    checked = table(spark, sf_dir, "events").withColumn("ok", F.col("event_type") != F.coalesce(before, F.lit("")))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type")
+    checked = last_before(events, ["user_id"], "at", F.col("event_type"), "event_id", "before", size=86_400_000_000).withColumn("ok", F.col("event_type") != F.coalesce("before", F.lit("")))
     return checked.groupBy("user_id").agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("valid"))
 
 
@@ -475,8 +476,7 @@ def event_order(spark, sf_dir):
 def event_contract(spark, sf_dir):
     """Conversations whose turns alternate, beginning with the user."""
     turns = _messages(spark, sf_dir).filter(F.col("role").isin("user", "assistant"))
-    before = F.lag("role").over(Window.partitionBy("conversation_id").orderBy("position", "id"))
-    marked = turns.withColumn("before", before).withColumn("fine", F.when(F.col("before").isNull(), F.col("role") == "user").otherwise(F.col("role") != F.col("before")))
+    marked = last_before(turns, ["conversation_id"], "position", F.col("role"), "id", "before").withColumn("fine", F.when(F.col("before").isNull(), F.col("role") == "user").otherwise(F.col("role") != F.col("before")))
     return marked.groupBy("conversation_id").agg(F.count("*").alias("events"), F.bool_and("fine").alias("alternates"))
 
 

@@ -82,3 +82,14 @@ def test_structure(spark):
     cells = spark.createDataFrame([("s", 1, ["Label", "", "3"]), ("s", 2, ["1", "2"]), ("s", 3, ["", " "])], "sheet string, row int, cells array<string>")
     assert [r["text"] for r in structure.sheet_rows(cells, "sheet", "row", "cells").collect()] == ["Label | 3"]
     assert structure.numeric_rows(cells, "sheet", "cells").first()["numeric_rows"] == 1
+
+
+def test_running_values_over_blocks(spark):
+    from pyspark.sql import Window
+
+    from groundline.operators.ordered import last_before
+
+    rows = spark.range(400).selectExpr("id", "id % 3 as k", "cast(pmod(xxhash64(id), 90) as int) as at", "case when pmod(xxhash64(id, 1), 4) = 0 then id end as v")
+    w = Window.partitionBy("k").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = {r["id"]: r["x"] for r in rows.withColumn("x", F.last("v", ignorenulls=True).over(w)).collect()}
+    assert {r["id"]: r["x"] for r in last_before(rows, ["k"], "at", F.col("v"), "id", "x", size=7).collect()} == want
