@@ -13,6 +13,8 @@ from groundline.functions.text import terms
 
 #: Query vectors sent with each task at most; more are worked through in slices of this many.
 QUERY_SLICE = 20_000
+#: Rows of lexical query vectors that are broadcast at most (about 30 MB).
+QUERY_ROWS = 1_000_000
 #: Cutoffs of the score for vectors of a model and for lexical vectors.
 MODEL_CUTOFF, LEXICAL_CUTOFF = 0.40, 0.10
 BUCKETS = 1024
@@ -118,8 +120,15 @@ def lexical_vectors(texts: DataFrame, key: str = "id", text: str = "text") -> Da
 
 
 def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) where both share a bucket; queries is the side of a bounded set and is broadcast by the planner if small."""
-    return queries.withColumnRenamed("weight", "wq").join(docs.withColumnRenamed("weight", "wd"), "bucket").groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
+    """(query_id, doc_id, score) where both share a bucket.
+
+    There are only 1,024 buckets, so a shuffle by bucket would put much of the corpus on few tasks: up to ``QUERY_ROWS`` rows of queries are
+    sent to the documents instead, whose partitioning by document then serves the sums.
+    """
+    asked = queries.withColumnRenamed("weight", "wq")
+    if asked.count() <= QUERY_ROWS:
+        asked = F.broadcast(asked)
+    return docs.withColumnRenamed("weight", "wd").join(asked, "bucket").groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
 
 
 def rank_report(ranks: DataFrame) -> DataFrame:
