@@ -17,8 +17,9 @@ from groundline.functions.text import clean_lines, nfc
 SIZE, OVERLAP = 1000, 150
 _SENTENCE = re.compile(r"[.!?][\"')\]]*\s+")
 _ROW, _RULE = re.compile(r"^\s*\|"), re.compile(r"^\s*\|?\s*:?-{3,}")
-#: A divider's body has at most so many characters; a page counts as text below this share of images.
+# The body of a divider has at most so many characters, and its page less than this share of images; titles that open a section.
 DIVIDER_BODY, IMAGE_SHARE = 60, 0.1
+SECTION_TITLE = r"(?iu)^(chapitre|chapter|partie|part|section|module|s[ée]ance|le[çc]on|lesson|th[èe]me|unit[ée]?)\b|^[IVXLC]+[.)]\s|^\d+(\.\d+)*[.)]?\s"
 
 
 def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
@@ -109,7 +110,7 @@ def heading_and_section(segments: DataFrame, doc: str, order: list[str]) -> Data
 def divider_kind(number: Column, titled: Column, segments: Column, title: Column, body: Column, image_share: Column) -> Column:
     """named, plain or null: whether a page only announces a section. Plain pages count if a document has two or more of them."""
     able = (number > 1) & titled & (segments == 1)
-    named = title.rlike(r"(?iu)^\s*(chapitre|chapter|partie|part|section|séance|cours|module|unité|unit|annexe|appendix|lecture|td|tp)\b") & (F.char_length(body) <= DIVIDER_BODY) & ~F.contains(body, F.lit("- "))
+    named = title.rlike(SECTION_TITLE) & (F.char_length(body) <= DIVIDER_BODY) & ~F.contains(body, F.lit("- "))
     plain = (body == "") & (image_share < IMAGE_SHARE)
     return F.when(able & named, "named").when(able & plain, "plain")
 

@@ -19,8 +19,11 @@ from groundline.functions.text import nfc, squeeze
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 MARGIN, HEADING, SAME_SIZE, TITLE_AREA, SMALL_SPAN, SHIFT = 0.12, 1.2, 0.5, 0.35, 0.85, 0.1
 PAGE_NUMBER = r"^(page\s*)?\d{1,4}(\s*(/|sur|of)\s*\d{1,4})?$"
-_BULLET = re.compile(r"^(?:[•●▪■◦○‣▶➢✓]\s*|[-–—]\s+)")
-_OPENS = re.compile(r"^(?:\d{1,3}[.)]\s|[A-Za-z][.)]\s)")
+# Bullets (dashes need a space after them), beginnings of questions and of their options, and the marks of highlighted lines.
+_BULLET = re.compile(r"^(?:[•‣⁃∙▪▫■□●○◦▶▷▸►◆♦➢➤➔✓✔☐\uf0a7\uf0b7\uf0d8\uf0fc·]\s*|[*–—>-]\s+)")
+_QUESTION = re.compile(r"^(\d{1,3})\s*[.)]\s+\S")
+_OPTION = re.compile(r"^[A-Ha-h]\s*[.)]\s+\S")
+MARKED_OPTION, MARKED = " ✔ (réponse surlignée)", " [surligné]"
 PAGE = ["doc_id", "page"]
 
 
@@ -115,9 +118,9 @@ def join_lines(lines: list[dict]) -> list[str]:
         text = line["text"]
         bullet = _BULLET.match(text)
         body = f"- {text[bullet.end():].lstrip()}".rstrip() if bullet else text
-        mark = "" if not line["highlighted"] else " ✔ (réponse surlignée)" if _OPENS.match(text) else " [surligné]"
+        mark = "" if not line["highlighted"] else MARKED_OPTION if _OPTION.match(text) else MARKED
         alone = bool(items) and items[-1] == "-"
-        fresh = before is None or (not alone and bool(line["block"] != before["block"] or bullet or _OPENS.match(text) or before["highlighted"] or before["text"].rstrip()[-1:] in ".!?:;"))
+        fresh = before is None or (not alone and bool(line["block"] != before["block"] or bullet or _QUESTION.match(text) or _OPTION.match(text) or before["highlighted"] or before["text"].rstrip()[-1:] in ".!?:;"))
         if fresh:
             items.append(body + mark)
         elif re.search(r"[^\W\d_]-$", items[-1]) and body[:1].islower():

@@ -18,8 +18,14 @@ QUERY_ROWS = 1_000_000
 #: Cutoffs of the score for vectors of a model and for lexical vectors.
 MODEL_CUTOFF, LEXICAL_CUTOFF = 0.40, 0.10
 BUCKETS = 1024
-# Words too frequent in French and English to tell texts apart.
-STOP_WORDS = "au aux avec ce ces dans de des du elle en et eux il je la le les leur lui ma mais me mes moi mon ne nos notre nous on ou par pas pour qu que qui sa se ses son sur ta te tes toi ton tu un une vos votre vous est sont the of and to in is are for on with that this it as by at from an be or what how".split()
+# The French and English function words that lexical vectors leave out.
+STOP_WORDS = """
+    a an and are as at be by do does for from how in is it of on or that the this to was what
+    when where which who why will with can about into its than then there these those
+    au aux avec ce ces cet cette dans de des du elle en est et il ils je la le les leur lui
+    ma mais me mes mon ne nous on ou par pas pour qu que qui sa se ses son sont sur ta te
+    tes ton tu un une vos votre vous comment quel quelle quels quelles quoi est-ce
+""".split()
 
 
 def usable(vector: Column, width: int) -> Column:

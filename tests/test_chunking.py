@@ -71,3 +71,12 @@ def test_sections_are_carried_and_reset(spark):
     df = spark.createDataFrame(rows, "doc string, page int, divider boolean, title string, heading_path array<string>")
     got = {r["page"]: r["section_title"] for r in chunking.heading_and_section(df, "doc", ["page"]).collect()}
     assert got == {1: "Intro", 2: "Part A", 3: "Part A > One", 4: "Part A > One", 5: "Part B", 6: "Part B"}
+
+
+def test_dividers(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(2, True, 1, "Chapitre 3", "", 0.0), (1, True, 1, "Chapitre 3", "", 0.0), (2, True, 1, "Leçon 2", "- a", 0.0), (3, True, 1, "Merci", "", 0.05), (3, True, 1, "Merci", "", 0.5), (3, True, 2, "II. Suite", "", 0.0), (3, True, 1, "II. Suite", "x" * 61, 0.0)]
+    df = spark.createDataFrame(rows, "n int, titled boolean, segments int, title string, body string, share double")
+    kinds = [r[0] for r in df.select(chunking.divider_kind(*map(F.col, ("n", "titled", "segments", "title", "body", "share")))).collect()]
+    assert kinds == ["named", None, None, "plain", None, None, None]
