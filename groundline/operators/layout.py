@@ -20,7 +20,7 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 MARGIN, HEADING, SAME_SIZE, TITLE_AREA, SMALL_SPAN, SHIFT = 0.12, 1.2, 0.5, 0.35, 0.85, 0.1
 PAGE_NUMBER = r"^(page\s*)?\d{1,4}(\s*(/|sur|of)\s*\d{1,4})?$"
 # Bullets (dashes need a space after them), beginnings of questions and of their options, and the marks of highlighted lines.
-_BULLET = re.compile(r"^(?:[•‣⁃∙▪▫■□●○◦▶▷▸►◆♦➢➤➔✓✔☐\uf0a7\uf0b7\uf0d8\uf0fc·]\s*|[*–—>-]\s+)")
+_BULLET = re.compile(r"^(?:[•‣⁃∙▪▫■□●○◦▶▷▸►◆♦➢➤➔✓✔☐\uf0a7\uf0a8\uf0b7\uf0d8\uf076\uf06c\uf0fc·]\s*|[*–—>-]\s+)")
 _QUESTION = re.compile(r"^(\d{1,3})\s*[.)]\s+\S")
 _OPTION = re.compile(r"^[A-Ha-h]\s*[.)]\s+\S")
 MARKED_OPTION, MARKED = " ✔ (réponse surlignée)", " [surligné]"
