@@ -3,12 +3,15 @@
 Texts are compared by their skeleton: letters and digits alone, without case, accents and width, so that layout, hyphenation and
 punctuation do not matter. Half of an item (of its skeleton) must stand in one place of the document within an error budget.
 
-Pigeonhole: a half with a budget of ``e`` errors is cut into e + 1 pieces, of which one must be intact. Because a leaked half may begin
-anywhere in the item, the pieces of all halves are taken, that is, every substring of the piece length. Documents are searched for all
-pieces at once with rolling hashes over flat arrays; places with enough hits are verified with Myers' bit-parallel distance, and the
+Counted pigeonhole: an error destroys at most ``q`` of the half + 1 - q pieces of length q of a half, so a half with e errors keeps
+half + 1 - q(e + 1) of them. Every half, wherever it begins in the item, with e of up to ``ERRORS`` of its length is therefore verified,
+wherever its errors stand; a changed word destroys its length + q - 1 pieces, so that more changes are found when they come in words.
+All pieces of all items are searched, shared ones too, with hashes over flat arrays; their hits are counted by item and diagonal, in
+windows that overlap by the longest item. What has enough is verified with Myers' bit-parallel distance, many places at once, and the
 share of the item that stands there is measured exactly by a local alignment.
 
-Defined results: null and empty documents or items give no pair; an item shorter than a piece is found only if its whole skeleton occurs;
+Defined results: null and empty documents or items give no pair; an item whose half is shorter than a piece is found
+only if its whole skeleton occurs;
 equal items and equal documents give a pair each; rows with one key count once; extra columns are not read. The items are broadcast
 up to ``ITEMS`` code points in all; a larger set is worked through in that many slices, each over all documents.
 """
@@ -27,16 +30,17 @@ from pyspark.sql import functions as F
 from groundline.functions.codepoints import Flat, blocks
 
 #: Lengths of a piece in skeleton characters, for scripts with spaces and for those without.
-PIECE, DENSE_PIECE = 16, 8
-#: Different pieces of one half that must be intact before it is verified (pieces at consecutive offsets count each).
-HITS, DENSE_HITS = 20, 5
-#: A piece found in more items than this tells little; see Items.telling.
-SHARED = 2
+PIECE, DENSE_PIECE = 6, 3
+#: Errors, as a part of the half, up to which every half is verified wherever they stand.
+ERRORS = 0.12
 #: The errors allowed in the half, as a part of its length; and the part of the item that must be matched character by character in one
 #: place: a little under one half, since each changed word takes its own length from it.
 BUDGET, SHARE = 0.36, 0.42
 #: Code points of items that are broadcast together.
 ITEMS = 8_000_000
+#: Positions of a text whose hits are counted together, hits held at once, and places verified together.
+WINDOW, HELD, TOGETHER = 1 << 16, 4_000_000, 1024
+WIDE = 1 << 31  # score and matches in one number
 DENSE_FROM = 0x0E00  # Thai and everything after it, up to the scripts of East Asia, writes words without spaces
 
 
@@ -52,16 +56,14 @@ def folding() -> np.ndarray:
     return out
 
 
-def powers(cps: np.ndarray) -> dict[int, np.ndarray]:
-    """Hashes of all substrings of 8 and 16 code points, by doubling; each array is shorter by the length less one."""
-    out, h, n = {}, cps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1
+def pieces(cps: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all substrings of a length."""
+    n = max(0, len(cps) - length + 1)
+    h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        while n < 16:
-            base = np.uint64(pow(0x100000001B3, n, 1 << 64))
-            h = h[:-n] * base + h[n:] if len(h) > n else h[:0]
-            n *= 2
-            out[n] = h * np.uint64(0xD6E8FEB86659FD93)
-    return out
+        for k in range(length):
+            h = h * np.uint64(0x100000001B3) + cps[k : k + n] * np.uint64(0x9E3779B97F4A7C15)
+        return h * np.uint64(0xD6E8FEB86659FD93)
 
 
 class Items:
@@ -78,59 +80,60 @@ class Items:
                 self.skeletons.append(bare)
                 self.dense.append(bool(((bare >= DENSE_FROM) & (bare < 0xAC00)).sum() * 2 > len(bare)))
         self.size = np.array([len(s) for s in self.skeletons], np.int64)
-        half = -(-self.size // 2)
-        dense = np.array(self.dense, bool)
-        pieces = half - np.where(dense, DENSE_PIECE, PIECE) + 1
-        self.need = np.clip(pieces // 4, 1, np.where(dense, DENSE_HITS, HITS))
+        self.half = -(-self.size // 2)
+        length = np.where(np.array(self.dense, bool), DENSE_PIECE, PIECE)
+        self.length = length
+        self.need = np.maximum(1, self.half + 1 - length * ((ERRORS * self.half).astype(np.int64) + 1))
+        #: Diagonals that the hits of one place can spread over: all errors may be gaps.
+        self.spread = np.maximum(1, (BUDGET * self.half).astype(np.int64))
+        self.step = -(-self.spread // 2)
+        self.longest = int(self.size.max(initial=1))
+        self.short = [i for i in range(len(self.size)) if self.half[i] < length[i]]
         self.postings = {}
         for length, dense in ((PIECE, False), (DENSE_PIECE, True)):
             hashes, item, offset = [], [], []
             for i, bare in enumerate(self.skeletons):
-                if self.dense[i] == dense and len(bare) >= length:
-                    h = powers(bare)[length]
+                if self.dense[i] == dense and self.half[i] >= length:
+                    h = pieces(bare, length)
                     hashes.append(h)
                     item.append(np.full(len(h), i))
                     offset.append(np.arange(len(h)))
             if hashes:
                 h, item, offset = map(np.concatenate, (hashes, item, offset))
-                kept = self.telling(h, item)
-                h, item, offset = h[kept], item[kept], offset[kept]
                 order = np.argsort(h, kind="stable")
                 h, first = np.unique(h[order], return_index=True)
                 bits = np.zeros(1 << 22, bool)
                 bits[h >> np.uint64(42)] = True
                 self.postings[length] = (h, np.append(first, len(order)), item[order], offset[order], bits)
 
-    def telling(self, h: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """The pieces to search for: without each item's most shared pieces, those in more than ``SHARED`` items, but at most a quarter.
+    def hits(self, bare: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(position, item, offset) of every piece that occurs in the skeleton of a block of texts, by overlapping windows.
 
-        A half of an item has more pieces than the quarter left out and the errors take together, so no item is lost by it.
+        A window with too many hits is worked through by parts of the items; an item's hits in a window always come together.
         """
-        _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-        count = count[back]
-        order = np.lexsort((-count, item))
-        rank = np.empty(len(h), np.int64)
-        first = np.searchsorted(item[order], np.arange(len(self.size)))
-        rank[order] = np.arange(len(h)) - first[item[order]]
-        return (count <= SHARED) | (rank >= np.bincount(item, minlength=len(self.size))[item] // 4)
-
-    def hits(self, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, item, offset) of every piece that occurs in the skeleton of a block of texts."""
-        found = []
-        hashes = powers(bare)
         for length, (keys, first, item, offset, bits) in self.postings.items():
-            h = hashes[length]
+            h = pieces(bare, length)
             at = np.flatnonzero(bits[h >> np.uint64(42)])
             place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
             ok = keys[place] == h[at]
             at, place = at[ok], place[ok]
-            count = first[place + 1] - first[place]
-            ends = np.cumsum(count)
-            post = np.repeat(first[place] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
-            found.append((np.repeat(at, count), item[post], offset[post]))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(map(np.concatenate, zip(*found)))
+            for begin in range(0, len(h), WINDOW):
+                low, high = np.searchsorted(at, (begin, begin + WINDOW + self.longest))
+                count = first[place[low:high] + 1] - first[place[low:high]]
+                ends = np.cumsum(count)
+                parts = -(-int(ends[-1]) // HELD) if len(ends) else 0
+                cuts = np.unique(np.searchsorted(ends, np.arange(1, parts) * HELD)) if parts > 1 else []
+                for part in range(parts):
+                    found = []
+                    for some in np.split(np.arange(low, high), cuts):
+                        if len(some):
+                            n = count[some - low]
+                            post = np.repeat(first[place[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                            mine = slice(None) if parts == 1 else item[post] % parts == part
+                            found.append((np.repeat(at[some], n)[mine], item[post][mine], offset[post][mine]))
+                    found = tuple(map(np.concatenate, zip(*found)))
+                    if len(found[0]):
+                        yield found
 
 
 def myers(pattern: np.ndarray, text: np.ndarray) -> int:
@@ -157,6 +160,54 @@ def myers(pattern: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
+def distances(patterns: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
+    """myers() of each pattern and its text, for all at once: columns of words of 64 bits."""
+    n = len(patterns)
+    symbols = np.unique(np.concatenate(patterns))
+    size = np.array([len(p) for p in patterns])
+    words = -(-int(size.max()) // 64)
+    kinds = len(symbols) + 1  # the last is any other
+    peq = np.zeros((words, n * kinds), np.uint64)
+    for i, p in enumerate(patterns):
+        k = np.arange(len(p))
+        np.bitwise_or.at(peq, (k >> 6, np.searchsorted(symbols, p) + i * kinds), np.uint64(1) << (k & 63).astype(np.uint64))
+    width = max(map(len, texts), default=0)
+    column = np.empty((width, n), np.int64)
+    column[:] = np.arange(n) * kinds + len(symbols)
+    for i, t in enumerate(texts):
+        place = np.minimum(np.searchsorted(symbols, t), len(symbols) - 1)
+        column[: len(t), i] = np.where(symbols[place] == t, place, len(symbols)) + i * kinds
+    one, top = np.uint64(1), np.uint64(63)
+    edge, bit = ((size - 1) >> 6) * n + np.arange(n), ((size - 1) & 63).astype(np.uint64)
+    pv, mv = [np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64) for _ in range(words)], [np.zeros(n, np.uint64) for _ in range(words)]
+    score, best = size.copy(), size.copy()
+    ph, mh = np.zeros((words, n), np.uint64), np.zeros((words, n), np.uint64)
+    for symbol in column:
+        carry = None
+        xvs = []
+        for w in range(words):
+            eq = peq[w].take(symbol)
+            x = eq & pv[w]
+            total = part = x + pv[w]
+            if carry is not None:
+                total = part + carry
+            if w + 1 < words:
+                carry = ((part < x) | (total < part)).astype(np.uint64)
+            xvs.append(eq | mv[w])
+            xh = (total ^ pv[w]) | eq
+            ph[w] = mv[w] | ~(xh | pv[w])
+            mh[w] = pv[w] & xh
+        score += ((ph.take(edge) >> bit) & one).view(np.int64) - ((mh.take(edge) >> bit) & one).view(np.int64)
+        np.minimum(best, score, out=best)
+        for w in range(words):
+            p, m = ph[w] << one, mh[w] << one
+            if w:
+                p, m = p | ph[w - 1] >> top, m | mh[w - 1] >> top
+            pv[w] = m | ~(xvs[w] | p)
+            mv[w] = p & xvs[w]
+    return best
+
+
 def share(item: np.ndarray, text: np.ndarray) -> float:
     """The part of the item matched by the best local alignment (match 1, anything else -1): what stands in one place, in order."""
     n = len(text)
@@ -165,52 +216,57 @@ def share(item: np.ndarray, text: np.ndarray) -> float:
     for c in item:
         same = text == c
         # score and matches are carried in one number, so that the maximum takes both along
-        diag = np.where(same, score[:-1] + 1, score[:-1] - 1) * 4096 + np.where(same, kept[:-1] + 1, kept[:-1])
-        up = (score[1:] - 1) * 4096 + kept[1:]
+        diag = np.where(same, score[:-1] + 1, score[:-1] - 1) * WIDE + np.where(same, kept[:-1] + 1, kept[:-1])
+        up = (score[1:] - 1) * WIDE + kept[1:]
         row = np.concatenate([[0], np.maximum(np.maximum(diag, up), 0)])
-        row = np.maximum.accumulate(row + place * 4096) - place * 4096  # gaps along the text
-        row = np.where(row < 4096, 0, row)
-        score, kept = row >> 12, row & 4095
+        row = np.maximum.accumulate(row + place * WIDE) - place * WIDE  # gaps along the text
+        row = np.where(row < WIDE, 0, row)
+        score, kept = row >> 31, row & (WIDE - 1)
         top = int(row.max())
-        if top >> 12 > best:
-            best, most = top >> 12, top & 4095
+        if top >> 31 > best:
+            best, most = top >> 31, top & (WIDE - 1)
     return most / len(item)
 
 
-def places(items: Items, bare: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, item, begin of the half, from, to): stretches of the block with enough different pieces of one half of one item."""
-    at, item, offset = items.hits(bare)
-    if not len(at):
-        return
-    doc = owner[at]
-    order = np.lexsort((at, item, doc))
-    at, item, offset, doc = at[order], item[order], offset[order], doc[order]
-    size = items.size[item]
-    fresh = np.ones(len(at), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > size[1:] // 2)
-    start = np.flatnonzero(fresh)
-    count = np.diff(np.append(start, len(at)))
-    enough = count >= items.need[item[start]]
-    for a, n in zip(start[enough].tolist(), count[enough].tolist()):
-        i, length = int(item[a]), int(size[a])
-        half = -(-length // 2)
-        begins = np.arange(0, length - half + 1, max(1, length // 16))
-        pieces = np.unique(offset[a : a + n])
-        per_half = np.searchsorted(pieces, begins + half) - np.searchsorted(pieces, begins)
-        best = int(per_half.argmax())
-        if per_half[best] >= items.need[i]:
-            begin = int(begins[best])
-            inside = (offset[a : a + n] >= begin) & (offset[a : a + n] < begin + half)
-            lead = np.sort((at[a : a + n] - offset[a : a + n])[inside] + begin)
-            near = np.searchsorted(lead, lead + half // 2, "right") - np.arange(len(lead))
-            from_ = int(near.argmax())
-            yield int(doc[a]), i, begin, int(lead[from_]) - half // 8, int(lead[from_ + near[from_] - 1]) + half + half // 8
-
-
-def contained(item: np.ndarray, begin: int, text: np.ndarray, low: int, high: int) -> bool:
+def places(items: Items, bare: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, list[int], int, int]]:
+    """(text, item, begins of halves, least and greatest diagonal): where the block has enough different pieces of one half of one item."""
+    gap = 4 * items.longest  # texts share no diagonals
+    texts = np.arange(int(owner[-1]) + 1)
+    starts = np.searchsorted(owner, texts) + texts * gap
+    for at, item, offset in items.hits(bare):
+        lead = at - offset + owner[at] * gap
+        base = int(lead.min())
+        bucket = (lead - base) // items.step[item]
+        buckets = int(bucket.max()) + 3
+        run, offset = np.divmod(np.sort((item * buckets + bucket) * items.longest + offset), items.longest)
+        opens = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        new = np.append(True, (run[1:] != run[:-1]) | (offset[1:] != offset[:-1]))
+        count = np.add.reduceat(new.astype(np.int64), opens)
+        run = run[opens]
+        ends = np.append(opens[1:], len(offset))
+        last = np.searchsorted(run, run + 3)  # every place is within three neighbouring buckets
+        total = np.append(0, np.cumsum(count))
+        for r in np.flatnonzero(total[last] - total[:-1] >= items.need[run // buckets]).tolist():
+            i = int(run[r]) // buckets
+            low, high = int(opens[r]), int(ends[last[r] - 1])
+            kept = np.unique(offset[low:high])
+            half, reach = int(items.half[i]), int(items.half[i] - items.length[i] + 1)
+            each = np.searchsorted(kept, kept + reach) - np.arange(len(kept))
+            best = int(each.argmax())
+            if each[best] >= items.need[i]:
+                grid = np.arange(0, items.size[i] - half + 1, max(1, int(items.size[i]) // 16))
+                inside = np.searchsorted(kept, grid + reach) - np.searchsorted(kept, grid)
+                near = grid[inside >= max(1, items.need[i] - half // 16 - 1)]
+                near = near[np.argsort(-inside[inside >= max(1, items.need[i] - half // 16 - 1)], kind="stable")]
+                first = min(int(kept[best]), int(items.size[i]) - half)
+                begin, end = (base + (int(x) % buckets + n) * int(items.step[i]) for x, n in ((run[r], 0), (run[last[r] - 1], 1)))
+                doc = int(np.searchsorted(starts - 2 * items.longest, begin, "right")) - 1
+                yield doc, i, [first, *[b for b in near.tolist() if b != first]], begin - doc * gap, end - doc * gap
+
+
+def contained(item: np.ndarray, begin: int, errors: int, text: np.ndarray, low: int, high: int) -> bool:
     """Whether the half of the item stands in the stretch within the budget, and half of the item in one place around it."""
     half = -(-len(item) // 2)
-    errors = myers(item[begin : begin + half], text[max(0, low) : high])
     if errors > int(BUDGET * half):
         return False
     if half - errors >= SHARE * len(item):  # so much of the item is matched by the half alone
@@ -218,6 +274,15 @@ def contained(item: np.ndarray, begin: int, text: np.ndarray, low: int, high: in
     return share(item, text[max(0, low - begin - half // 2) : high + len(item) - begin - half // 2]) >= SHARE
 
 
+def whole(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """(text, item) for the items too short for pieces, where the whole skeleton occurs."""
+    if items.short:
+        strings = ["".join(map(chr, t.tolist())) for t in texts]
+        for i in items.short:
+            wanted = "".join(map(chr, items.skeletons[i].tolist()))
+            yield from ((d, i) for d, t in enumerate(strings) if wanted in t)
+
+
 def find_block(items: Items, texts: list[str | None]) -> list[tuple[int, int]]:
     """(text, item) of every pair found in a block of texts, as numbers."""
     flat = Flat(texts)
@@ -228,10 +293,33 @@ def find_block(items: Items, texts: list[str | None]) -> list[tuple[int, int]]:
     owner = np.repeat(np.arange(len(texts)), flat.lens + 1)[keep]
     ends = np.flatnonzero(bare == 0xFFFFFFFF)
     first = np.concatenate([[0], ends[:-1] + 1])
-    found: set[tuple[int, int]] = set()
-    for doc, item, begin, low, high in places(items, bare, owner):
-        if (doc, item) not in found and contained(items.skeletons[item], begin, bare[first[doc] : ends[doc]], low - int(first[doc]), high - int(first[doc])):
-            found.add((doc, item))
+    bodies = [bare[a:b] for a, b in zip(first.tolist(), ends.tolist())]
+    found = set(whole(items, bodies))
+    waiting: list[tuple[int, int, list[int], int, int]] = []
+
+    def verify() -> None:
+        left = waiting[:]
+        waiting.clear()
+        while left := [c for c in left if c[2] and (c[0], c[1]) not in found]:
+            left.sort(key=lambda c: c[4] - c[3] + items.size[c[1]])
+            for k in range(0, len(left), TOGETHER):
+                some = []
+                for doc, i, begins, low, high in left[k : k + TOGETHER]:
+                    begin, half, spread = begins.pop(0), int(items.half[i]), int(items.spread[i])
+                    low, high = low - int(first[doc]) + begin - spread, high - int(first[doc]) + begin + half + spread
+                    some.append((doc, i, begins, begin, low, high))
+                errors = distances([items.skeletons[i][b : b + items.half[i]] for _, i, _, b, _, _ in some], [bodies[d][max(0, low) : max(0, high)] for d, _, _, _, low, high in some])
+                for (doc, i, begins, begin, low, high), e in zip(some, errors.tolist()):
+                    if (doc, i) not in found and contained(items.skeletons[i], begin, e, bodies[doc], low, high):
+                        found.add((doc, i))
+                    # a half that begins n further or earlier has at most n errors less
+                    begins[:] = [b for b in begins if e - abs(b - begin) <= items.spread[i]]
+
+    for place in places(items, bare, owner):
+        waiting.append(place)
+        if len(waiting) >= 8 * TOGETHER:
+            verify()
+    verify()
     return sorted(found)
 
 

@@ -88,3 +88,54 @@ def test_slices_of_items_give_the_same(spark, monkeypatch):
     q, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(items, "doc_id long, text string")
     monkeypatch.setattr(leakage, "ITEMS", 1000)
     assert sorted(tuple(r) for r in leakage.find_leaks(d, q).collect()) == [(i, i) for i in range(6)]
+
+
+def test_many_distances_at_once():
+    rng = np.random.default_rng(1)
+    patterns = [rng.integers(1, 4, n).astype(np.uint32) for n in rng.integers(1, 200, 80)]
+    texts = [rng.integers(0, 4, n).astype(np.uint32) for n in rng.integers(0, 300, 80)]
+    assert leakage.distances(patterns, texts).tolist() == [leakage.myers(p, t) for p, t in zip(patterns, texts)]
+
+
+def spoiled(text, errors):
+    """A text with errors of one character spread evenly, so that no run between two of them is long."""
+    text = list(text)
+    for k in range(errors):
+        text[int((k + 0.5) * len(text) / errors)] = "ø"
+    return "".join(text)
+
+
+def test_every_half_within_the_promised_errors():
+    rng = random.Random(8)
+    bare = lambda t: "".join(c for c in t.lower() if c.isalnum())
+    texts = [bare(passage(rng)) for _ in range(9)]
+    texts += ["".join(rng.choice("有限记忆的估计量在二十次试验后取代零方差电路") for _ in range(120)), texts[0], texts[0]]  # shared pieces are searched too
+    items = leakage.Items(list(range(len(texts))), texts)
+    docs, want = [], set()
+    for i, text in enumerate(texts):
+        half = -(-len(text) // 2)
+        for begin in (0, len(text) // 3, len(text) - half):
+            docs.append(bare(passage(rng)) + spoiled(text[begin : begin + half], int(leakage.ERRORS * half)) + bare(passage(rng)))
+            want |= {(len(docs) - 1, j) for j, other in enumerate(texts) if other == text}
+    assert want <= set(leakage.find_block(items, docs))
+
+
+def test_windows_and_parts_give_the_same(monkeypatch):
+    rng = random.Random(9)
+    texts = [passage(rng) for _ in range(5)]
+    docs = [passage(rng) + " ".join(texts) + passage(rng), "", texts[2], passage(rng) + texts[3][: len(texts[3]) * 2 // 3]]
+    items = leakage.Items(list(range(5)), texts)
+    whole = leakage.find_block(items, docs)
+    assert {(0, i) for i in range(5)} | {(2, 2), (3, 3)} == set(whole)
+    for name, value in (("WINDOW", 100), ("HELD", 50), ("TOGETHER", 1)):
+        monkeypatch.setattr(leakage, name, value)
+    assert leakage.find_block(items, docs) == whole
+
+
+def test_short_and_long_items():
+    long = " ".join(passage(random.Random(10)) for _ in range(14))
+    assert len(long) > 5000
+    items = leakage.Items([0, 1], ["Yes, it is.", long])
+    assert leakage.find_block(items, ["It says: yes it is so.", "Yes, it was.", long[: len(long) * 3 // 5]]) == [(0, 0), (2, 1)]
+    item = np.arange(9000) % 5000 + np.arange(9000) // 5000 * 7000
+    assert leakage.share(item, item[:6000]) == 6000 / 9000
