@@ -1,12 +1,13 @@
 """Problem 5: the defect of each answer that follows a question.
 
-Refusals are found by what they repeat: the openings of all answers are clustered by MinHash over shingles of five words, links are
-verified by their Jaccard similarity (0.8 or more), and a cluster that recurs over unrelated prompts is a refusal template if a tenth of
-its answers or more are marked as abstained, whatever the status of the single answer says. Openings too rare to recur are held against
-a short list of phrases. Copies, languages and endings are checked by expressions on each pair.
+Refusals are found by what they repeat: openings of 24 words are candidates of each other by MinHash over shingles of five words, every
+candidate is verified by its Jaccard similarity (0.8 or more), openings of the same first six words belong together, and clusters are the
+connected components. A cluster that recurs over unrelated prompts is a refusal template if a tenth of its answers or more are marked as
+abstained, whatever the status of the single answer says. Openings too rare to recur are held against a short list of phrases. Copies,
+languages and endings are checked by expressions on each pair.
 
-Only distinct openings are clustered (their answers are counted before), and a bucket links each opening to one representative, so a
-bucket shared by a third of all answers costs one comparison for each of its distinct openings.
+Only distinct openings are clustered (their answers are counted before), and only openings that begin differently are compared. Bands
+find 99.7 % of the pairs at a similarity of 0.8, and more above it.
 
 Defined results: an answer pairs with every user message at the position just before it; of several pairs the first defect in order
 counts; copies of a row count once; null contents count as empty; rows without id, conversation or position form no pair.
@@ -24,7 +25,7 @@ from groundline.llm.dialogues import ASSISTANT, USER, role_of, says_something
 from groundline.session import checkpoint
 
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
-OPENING, SHINGLE, SIMILARITY, HASHES, ROWS = 6, 5, 0.8, 12, 3
+OPENING, HEAD, SHINGLE, SIMILARITY, HASHES, ROWS = 24, 6, 5, 0.8, 24, 3
 #: Distinct prompts that make a template recur, and the part of its answers that must be marked as abstained.
 PROMPTS, ABSTAINED = 3, 0.1
 #: Words that may introduce a question that is only given back.
@@ -137,15 +138,30 @@ def shingles(opening: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, cluster): the least node of the connected component of each node of the edges (a, b)."""
+    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("cluster")))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("cluster").alias("near"))
+        new = checkpoint(labels.join(near, F.col("node") == F.col("a")).select("node", F.least("cluster", "near").alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved")))
+        labels = new.select("node", "cluster")
+        if not new.filter("moved").take(1):
+            return labels
+
+
 def clustered(openings: DataFrame) -> DataFrame:
-    """(opening, cluster): the least opening that shares a MinHash band and passes the Jaccard check, else the opening itself."""
-    signed = openings.select("opening", shingles(F.col("opening")).alias("s"))
-    bands = [F.xxhash64(*[F.array_min(F.transform("s", lambda x, k=k: F.xxhash64(F.lit(k), x))) for k in range(b, b + ROWS)], F.lit(b)) for b in range(0, HASHES, ROWS)]
-    buckets = signed.select("opening", "s", F.explode(F.array(*bands)).alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min(F.struct("opening", "s")).alias("head"))
-    joint = F.size(F.array_intersect("s", "head.s")) / F.size(F.array_union("s", "head.s"))
-    linked = buckets.join(heads, "bucket").filter(joint >= SIMILARITY)
-    return linked.groupBy("opening").agg(F.min("head.opening").alias("cluster"))
+    """(opening, cluster): openings of the same first words, and those joined by a pair of openings that passes the Jaccard check."""
+    signed = openings.select("opening", F.substring_index("opening", " ", HEAD).alias("head"), shingles(F.col("opening")).alias("s"))
+    # no default argument: transform() would take a second parameter of the function for the place in the array
+    least_hash = lambda k: F.array_min(F.transform("s", lambda x: F.xxhash64(F.lit(k), x)))
+    bands = [F.xxhash64(*[least_hash(k) for k in range(b, b + ROWS)], F.lit(b)) for b in range(0, HASHES, ROWS)]
+    buckets = checkpoint(signed.select("head", "s", F.explode(F.array(*bands)).alias("bucket")))
+    other = buckets.select(F.col("head").alias("head2"), F.col("s").alias("s2"), "bucket")
+    joint = F.size(F.array_intersect("s", "s2")) / F.size(F.array_union("s", "s2"))
+    linked = buckets.join(other, "bucket").filter((F.col("head") < F.col("head2")) & (joint >= SIMILARITY))
+    found = components(linked.select(F.col("head").alias("a"), F.col("head2").alias("b")).distinct())
+    return signed.join(found, F.col("head") == F.col("node"), "left").select("opening", F.coalesce("cluster", "head").alias("cluster"))
 
 
 def defects(messages: DataFrame) -> DataFrame:

@@ -82,3 +82,19 @@ def test_defects(spark):
     rows += [("lone", "z", 5, "assistant", "It is 3.", None, None), ("w", None, 0, "user", "x", None, None)]
     got = {r["message_id"]: r["defect"] for r in pairs.defects(messages(spark, rows)).collect()}
     assert got == want and not set(fine) & set(got)
+
+
+def test_templates_with_a_greeting_or_a_variant_in_their_first_words(spark):
+    tail = "assist on this one because the handouts of this course hold no part that deals with what you would like to know today"
+    starts = ["At present we are unable to", "Hello, at present we are unable to", "Well, hello, at present we are unable to"]
+    rows = []
+    for i, start in enumerate(starts):
+        rows.append((f"q{i}", f"c{i}", 0, "user", f"What is number {i}?", None, None))
+        rows.append((f"a{i}", f"c{i}", 1, "assistant", f"{start} {tail}.", "abstained" if i == 0 else "answered", None))
+    got = {r["message_id"]: r["defect"] for r in pairs.defects(messages(spark, rows)).collect()}
+    assert got == {f"a{i}": "refusal" for i in range(3)}
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([("e", "d"), ("d", "c"), ("b", "c"), ("a", "b"), ("x", "y")], "a string, b string")
+    assert {tuple(r) for r in pairs.components(edges).collect()} == {*((n, "a") for n in "abcde"), ("x", "x"), ("y", "x")}
