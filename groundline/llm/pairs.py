@@ -3,8 +3,9 @@
 Refusals are found by what they repeat: openings of 24 words are candidates of each other by MinHash over shingles of five words, every
 candidate is verified by its Jaccard similarity (0.8 or more), openings of the same first six words belong together, and clusters are the
 connected components. A cluster that recurs over unrelated prompts is a refusal template if a tenth of its answers or more are marked as
-abstained, whatever the status of the single answer says. Openings too rare to recur are held against a short list of phrases. Copies,
-languages and endings are checked by expressions on each pair.
+abstained, whatever the status of the single answer says. Recurrence only adds evidence: an answer marked abstained counts in any cluster
+of that share, and every answer is held against a short list of phrases. Copies, languages and endings are checked by expressions on each
+pair.
 
 Only distinct openings are clustered (their answers are counted before), and only openings that begin differently are compared. Bands
 find 99.7 % of the pairs at a similarity of 0.8, and more above it.
@@ -175,7 +176,7 @@ def defects(messages: DataFrame) -> DataFrame:
     totals = named.groupBy("cluster").agg((F.sum("a") / F.sum("n")).alias("rate"), F.sum("prompts").alias("asked"))
     templates = named.join(totals, "cluster").select("opening", (F.col("rate") >= ABSTAINED).alias("marked"), (F.col("asked") >= PROMPTS).alias("recurs"))
     judged = pairs.join(templates, "opening")
-    refusal = F.when(F.col("recurs"), F.col("marked")).otherwise(F.col("abstained") | F.col("cue"))
+    refusal = F.col("cue") | (F.col("marked") & (F.col("recurs") | F.col("abstained")))
     rank = F.lit(None).cast("int")
     for number, flag in reversed(list(enumerate([F.col("empty"), F.col("copy"), refusal, F.col("language"), F.col("truncated")]))):
         rank = F.when(flag, number).otherwise(rank)

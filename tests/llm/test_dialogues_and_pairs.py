@@ -98,3 +98,14 @@ def test_templates_with_a_greeting_or_a_variant_in_their_first_words(spark):
 def test_components(spark):
     edges = spark.createDataFrame([("e", "d"), ("d", "c"), ("b", "c"), ("a", "b"), ("x", "y")], "a string, b string")
     assert {tuple(r) for r in pairs.components(edges).collect()} == {*((n, "a") for n in "abcde"), ("x", "x"), ("y", "x")}
+
+
+def test_recurrence_switches_no_check_off(spark):
+    rows = []
+    for i in range(3):
+        rows += [(f"q{i}", f"c{i}", 0, "user", f"What is number {i}?", None, None), (f"a{i}", f"c{i}", 1, "assistant", "Sorry, I can't help with that request.", None, None)]
+    for i in range(12):
+        text = "According to the handouts of the course, " + ("I cannot answer." if i == 0 else f"the value is {i}.")
+        rows += [(f"r{i}", f"d{i}", 0, "user", f"Which is number {i}?", None, None), (f"b{i}", f"d{i}", 1, "assistant", text, "abstained" if i == 0 else "answered", None)]
+    got = {r["message_id"]: r["defect"] for r in pairs.defects(messages(spark, rows)).collect()}
+    assert got == {m: "refusal" for m in ("a0", "a1", "a2", "b0")}
