@@ -47,14 +47,17 @@ NAMES = {
     "de": "german|allemand|deutsch|alemán",
     "es": "spanish|espagnol|spanisch|español",
 }
-# Phrases of refusals, for openings that do not recur; abbreviations that no text ends with.
+# Common phrases of refusals in four languages, for openings that do not recur; abbreviations that no text ends with (one
+# letter in small writing only: a text may end with a label such as "type P.").
 CUES = (
-    r"\bje ne (peux|puis|suis|trouve|donne)\b.*\b(pas|rien)\b|impossible de vous|pas assez d'éléments|non trouvé dans|sort du périmètre|m'abstenir|passer mon tour|aucun extrait ne|rien dans les supports|question liée au cours"
-    r"|\bi (can't|cannot|am not|do not|could not|have to pass)\b|\bi'm (unable|not able|sorry)\b|^sorry\b|not found in the|outside the scope|does not cover|no excerpt lets|nothing in the sheets|related to the course"
-    r"|\bkann ich\b.*\bnicht\b|nicht gefunden|leider keine|außerhalb des kurses|für eine antwort nicht"
-    r"|no puedo\b|no encontrado|no encuentro|queda fuera del|no basta para|no pronunciarme"
+    r"\bje (ne|n') ?(peux|puis|suis|trouve|dispose)( malheureusement)? (pas|rien)\b|\bil m'est impossible\b|\bje n'ai pas (assez|suffisamment|trouvé)\b|\bje préfère m'abstenir\b|\bje ne (peux|puis) donc (pas|rien)\b|\bnon trouvé dans\b"
+    r"|\bi (can't|cannot|could not|couldn't|am not able to|am not allowed to|do not have enough|don't have enough)\b|\bi'm (unable|not able|not allowed|sorry)\b|^sorry\b|\bnot found in the\b|\boutside the scope\b|\bi would rather not\b|\bi have to pass\b"
+    r"|\bkann ich (leider )?nicht\b|\bich kann (das |dazu |leider )*nicht\b|\bnicht gefunden\b|\bleider keine\b|\bfür eine antwort nicht\b"
+    r"|\bno (puedo|encuentro|he encontrado)\b|\bno encontrado\b|\bqueda fuera\b|\bno basta para responder\b|\bprefiero no\b"
 )
-UNFINISHED = r"(?i)(^|[\s(])(p|pp|pág|fig|abb|app|cf|vgl|no|dr|prof|mme|mr|lt|e\.g|i\.e|p\. ?ex|z\. ?b|d\. ?h|voir|see)\.$"
+UNFINISHED = r"(^|[\s(])(pp?|págs?|[Ff]igs?|Abb|[Aa]pp|[Cc]f|[Vv]gl|nr|Nr|n°|Drs?|Dra|Prof|Mme|Mr|Mrs|Lt|e\.g|i\.e|[Pp]\. ?ex|[Pp]\. ?ej|[Zz]\. ?B|d\. ?h|c\.-à-d|[Vv]oir|[Ss]iehe|[Ss]ee|[Vv]éase|([Ll]ab|[Ss]heet|[Ee]xercise|[Qq]uestion) no|([Ss]elon|[Aa]ccording to|[Ll]aut|[Ss]egún) \p{Lu})\.$"
+#: The last line of a text is the mark of a list item and nothing else.
+BARE_ITEM = r"\n[ \t]*(\d{1,3}[.)]|\p{L}\)|[-*•+–])$"
 
 
 @cache
@@ -95,12 +98,12 @@ def is_copy(question: Column, answer: Column) -> Column:
 
 
 def is_truncated(answer: Column) -> Column:
-    """The text stops inside a code block, a formula, a bracket or a sentence."""
+    """The text stops inside a code block, a formula, a bracket or a sentence, or at the mark of an empty list item."""
     text = F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?U)(\s*\[\d+(,\s*\d+)*\])*\s*$", "")
     odd = lambda mark: F.regexp_count(text, F.lit(mark)) % 2 == 1
     ended = text.rlike(r"[.!?…。！？؟।][\s»”\"“‟’'」』)\]*_]*$") | text.rlike(r"(```|\$|\|)$")
     bare = text.rlike(r"^\s*[\d.,%°\s-]+$") | text.rlike(r"(?i)^\s*(oui|non|yes|no|ja|nein|sí)\s*$")
-    return odd("```") | odd(r"\$") | (F.regexp_count(text, F.lit(r"\(")) > F.regexp_count(text, F.lit(r"\)"))) | (~ended & ~bare) | text.rlike(UNFINISHED)
+    return odd("```") | odd(r"\$") | odd(r"\$\$") | text.rlike(BARE_ITEM) | (F.regexp_count(text, F.lit(r"\(")) > F.regexp_count(text, F.lit(r"\)"))) | (~ended & ~bare) | text.rlike(UNFINISHED)
 
 
 def answer_pairs(messages: DataFrame) -> DataFrame:

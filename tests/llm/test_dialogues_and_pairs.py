@@ -72,11 +72,12 @@ def test_defects(spark):
         want[pair(f"What is number {i}?", f"The handouts say nothing at all about item {i}.", status)] = "refusal"
     want[pair("And for the bound?", "Sorry, I can't help with that request.", None)] = "refusal"
     want[pair("Que vaut le seuil de la zone 3 ?", "The threshold of the zone is 4 and it does not change.")] = "language"
-    for text in ("The value is 3 and the", "The sum is $x_{k", "See below.\n```\nfor i in x", "It holds for the rate (", "The list:\n1. The first one is done.\n2. the"):
+    for text in ("The value is 3 and the", "The sum is $x_{k", "See below.\n```\nfor i in x", "It holds for the rate (", "The list:\n1. The first one is done.\n2. the", "The list:\n1. The first one is done.\n2.", "- It holds.\n- ", "It holds as in $$x = 3", "It holds (for 3), cf.", "It is the bound, according to K."):
         want[pair("What does the value say?", text)] = "truncated"
-    fine = [pair("What is it?", t) for t in ("It is 3.", "Yes.", "It holds. [2]", "It is so.\n```\nx = 1\n```", "The end…", "It is $x = 3$", "42")]
+    fine = [pair("What is it?", t) for t in ("It is 3.", "Yes.", "It holds. [2]", "It is so.\n```\nx = 1\n```", "The end…", "It is $x = 3$", "42", "No.", "It is the one of type P.", "It holds.\n$$x = 3$$", "It holds.\n1. The first.\n2. The second.")]
     fine += [pair("Réponds en anglais : que vaut le seuil ?", "The threshold is 4 and it does not change.")]
     fine += [pair("What is a lattice?", "What is a lattice? It is a partially ordered set with joins and meets.")]
+    fine += [pair(f"Et pour le lot {i} ?", f"Je ne peux que confirmer : le seuil {i} est le plus grand sur un pas.") for i in range(2)]
     fine += [pair(f"Which is number {i}?", f"One can not answer without the graph {i} here, which is the sum.") for i in range(4)]
     rows.append((rows[0][0], *rows[0][1:]))  # delivered twice
     rows += [("lone", "z", 5, "assistant", "It is 3.", None, None), ("w", None, 0, "user", "x", None, None)]
