@@ -3,12 +3,15 @@
 Refusals are found by what they repeat: openings of 24 words are candidates of each other by MinHash over shingles of five words, every
 candidate is verified by its Jaccard similarity (0.8 or more), openings of the same first six words belong together, and clusters are the
 connected components. A cluster that recurs over unrelated prompts is a refusal template if a tenth of its answers or more are marked as
-abstained, whatever the status of the single answer says. Recurrence only adds evidence: an answer marked abstained counts in any cluster
-of that share, and every answer is held against a short list of phrases. Copies, languages and endings are checked by expressions on each
-pair.
+abstained, whatever the status of the single answer says. Where a cluster does not recur, because a slot stands in its first words, the
+openings of the same first four words are judged in its place. Recurrence only adds evidence: an answer marked abstained counts in any
+cluster of that share, and every answer is held against a short list of common phrases. Copies, languages and endings are checked by
+expressions on each pair; the words of a content are cut once and looked up.
 
-Only distinct openings are clustered (their answers are counted before), and only openings that begin differently are compared. Bands
-find 99.7 % of the pairs at a similarity of 0.8, and more above it.
+Only distinct openings are clustered (their answers are counted before), only bands that join openings of different first words are kept,
+and shingles travel as hashes. In a band every opening is first compared with one of them; only what this leaves in another component is
+compared with the rest, so a template that a third of all answers open with costs one comparison for each. Bands find 99.7 % of the pairs
+at a similarity of 0.8, and more above it.
 
 Defined results: an answer pairs with every user message at the position just before it; of several pairs the first defect in order
 counts; copies of a row count once; null contents count as empty; rows without id, conversation or position form no pair.
@@ -26,7 +29,7 @@ from groundline.llm.dialogues import ASSISTANT, USER, role_of, says_something
 from groundline.session import checkpoint
 
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
-OPENING, HEAD, SHINGLE, SIMILARITY, HASHES, ROWS = 24, 6, 5, 0.8, 24, 3
+OPENING, HEAD, SHORT_HEAD, SHINGLE, SIMILARITY, HASHES, ROWS = 24, 6, 4, 5, 0.8, 24, 3
 #: Distinct prompts that make a template recur, and the part of its answers that must be marked as abstained.
 PROMPTS, ABSTAINED = 3, 0.1
 #: Words that may introduce a question that is only given back.
@@ -40,7 +43,7 @@ WORDS = {
     "es": "el los las del y es una por con para qué cómo según cuando lo al pero sí cuál dónde más este esta son sin bajo antes dos".split(),
 }
 # Letters and marks that tell a language from the three others.
-LETTERS = {"fr": r"[èêçœûîàë]|\b(l|d|qu|s|n|c)['’]", "de": "[äöüß]", "es": "[ñ¿¡áíóú]"}
+LETTERS = {"fr": r"[èêçœûîàë]|\b([ldsnc]|qu)['’]", "de": "[äöüß]", "es": "[ñ¿¡áíóú]"}
 NAMES = {
     "fr": "french|français|französisch|francés",
     "en": "english|anglais|englisch|inglés",
@@ -75,10 +78,13 @@ def words_of(text: Column) -> Column:
 def language_of(text: Column) -> Column:
     """fr, en, de or es, whichever has most of its frequent words and own letters in the text; null if none has, or two have as many."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
+    words = F.split(lowered, r"[^\p{L}]+")
     scores = []
-    for name, words in WORDS.items():
-        pattern = rf"(?U)\b({'|'.join(sorted(set(words)))})\b" + (f"|{LETTERS[name]}" if name in LETTERS else "")
-        scores.append(F.struct(F.regexp_count(lowered, F.lit(pattern)).alias("n"), F.lit(name).alias("name")))
+    for name, known in WORDS.items():
+        score = F.size(F.array_intersect(words, F.array(*map(F.lit, sorted(set(known))))))  # different words; repeats tell no more
+        if name in LETTERS:
+            score = score + F.when(lowered.rlike(LETTERS[name]), 1).otherwise(0)
+        scores.append(F.struct(score.alias("n"), F.lit(name).alias("name")))
     ranked = F.sort_array(F.array(*scores), asc=False)
     return F.when(ranked[0]["n"] > ranked[1]["n"], ranked[0]["name"])
 
@@ -136,10 +142,10 @@ def answer_pairs(messages: DataFrame) -> DataFrame:
 
 
 def shingles(opening: Column) -> Column:
-    """The distinct runs of five words of an opening; a shorter opening is one shingle."""
+    """Hashes of the distinct runs of five words of an opening; a shorter opening is one shingle."""
     words = F.split(opening, " ")
     count = F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(words, i, SHINGLE))))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,25 +166,42 @@ def clustered(openings: DataFrame) -> DataFrame:
     # no default argument: transform() would take a second parameter of the function for the place in the array
     least_hash = lambda k: F.array_min(F.transform("s", lambda x: F.xxhash64(F.lit(k), x)))
     bands = [F.xxhash64(*[least_hash(k) for k in range(b, b + ROWS)], F.lit(b)) for b in range(0, HASHES, ROWS)]
-    buckets = checkpoint(signed.select("head", "s", F.explode(F.array(*bands)).alias("bucket")))
-    other = buckets.select(F.col("head").alias("head2"), F.col("s").alias("s2"), "bucket")
+    slim = checkpoint(signed.select(F.xxhash64("opening").alias("o"), F.xxhash64("head").alias("h"), F.explode(F.array(*bands)).alias("bucket")))
+    mixed = slim.groupBy("bucket").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("bucket")
+    near = slim.join(mixed, "bucket").join(signed.select(F.xxhash64("opening").alias("o"), "head", "s"), "o").select("bucket", "head", "s")
+    near = checkpoint(near)
     joint = F.size(F.array_intersect("s", "s2")) / F.size(F.array_union("s", "s2"))
-    linked = buckets.join(other, "bucket").filter((F.col("head") < F.col("head2")) & (joint >= SIMILARITY))
-    found = components(linked.select(F.col("head").alias("a"), F.col("head2").alias("b")).distinct())
-    return signed.join(found, F.col("head") == F.col("node"), "left").select("opening", F.coalesce("cluster", "head").alias("cluster"))
+    first = near.groupBy("bucket").agg(F.min(F.struct("head", "s")).alias("_")).select("bucket", F.col("_.head").alias("head2"), F.col("_.s").alias("s2"))
+    to_first = near.join(first, "bucket").filter((F.col("head") != F.col("head2")) & (joint >= SIMILARITY)).select(F.col("head2").alias("a"), F.col("head").alias("b")).distinct()
+    found = components(to_first)
+    of = lambda c: F.coalesce(c, F.col("head"))
+    placed = near.join(found, F.col("head") == F.col("node"), "left").select("bucket", "head", "s", of(F.col("cluster")).alias("c"))
+    anchor = first.join(found, F.col("head2") == F.col("node"), "left").select("bucket", F.coalesce("cluster", "head2").alias("main"))
+    apart = placed.join(anchor, "bucket").filter("c <> main").select("bucket", F.col("head").alias("head2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
+    rest = placed.join(apart, "bucket").filter((F.col("c") != F.col("c2")) & (joint >= SIMILARITY)).select(F.col("head").alias("a"), F.col("head2").alias("b")).distinct()
+    found = components(checkpoint(to_first.unionByName(rest)))
+    return signed.join(found, F.col("head") == F.col("node"), "left").select("opening", of(F.col("cluster")).alias("cluster"))
+
+
+def templates(openings: DataFrame) -> DataFrame:
+    """(opening, marked, recurs) of openings (opening, n, a, prompts): whether its cluster, or else its first four words, recur over
+    prompts, and whether a tenth of the answers are marked as abstained there."""
+    rate = (F.sum("a") / F.sum("n")).alias("rate")
+    named = openings.join(clustered(openings), "opening").withColumn("short", F.substring_index("opening", " ", SHORT_HEAD))
+    totals = named.groupBy("cluster").agg(rate, F.sum("prompts").alias("asked"))
+    short = named.groupBy("short").agg(rate.alias("short_rate"), F.sum("prompts").alias("short_asked"))
+    both = named.join(totals, "cluster").join(short, "short")
+    own = F.col("asked") >= PROMPTS
+    return both.select("opening", (F.when(own | (F.col("short_asked") < PROMPTS), F.col("rate")).otherwise(F.col("short_rate")) >= ABSTAINED).alias("marked"), (own | (F.col("short_asked") >= PROMPTS)).alias("recurs"))
 
 
 def defects(messages: DataFrame) -> DataFrame:
     """(message_id, defect) of every answer with a defect."""
     pairs = checkpoint(answer_pairs(messages))
-    answers = pairs.groupBy("opening", "message_id").agg(F.min("prompt").alias("prompt"), F.max("abstained").alias("abstained"), F.max("cue").alias("cue"))
+    answers = pairs.groupBy("opening", "message_id").agg(F.min("prompt").alias("prompt"), F.max("abstained").alias("abstained"))
     counted = answers.groupBy("opening", "prompt").agg(F.count("*").alias("n"), F.count_if("abstained").alias("a"))
-    openings = counted.groupBy("opening").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.count("*").alias("prompts"))
-    openings = checkpoint(openings)
-    named = openings.join(clustered(openings), "opening")
-    totals = named.groupBy("cluster").agg((F.sum("a") / F.sum("n")).alias("rate"), F.sum("prompts").alias("asked"))
-    templates = named.join(totals, "cluster").select("opening", (F.col("rate") >= ABSTAINED).alias("marked"), (F.col("asked") >= PROMPTS).alias("recurs"))
-    judged = pairs.join(templates, "opening")
+    openings = checkpoint(counted.groupBy("opening").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.count("*").alias("prompts")))
+    judged = pairs.join(templates(openings), "opening")
     refusal = F.col("cue") | (F.col("marked") & (F.col("recurs") | F.col("abstained")))
     rank = F.lit(None).cast("int")
     for number, flag in reversed(list(enumerate([F.col("empty"), F.col("copy"), refusal, F.col("language"), F.col("truncated")]))):

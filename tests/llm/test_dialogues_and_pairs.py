@@ -110,3 +110,26 @@ def test_recurrence_switches_no_check_off(spark):
         rows += [(f"r{i}", f"d{i}", 0, "user", f"Which is number {i}?", None, None), (f"b{i}", f"d{i}", 1, "assistant", text, "abstained" if i == 0 else "answered", None)]
     got = {r["message_id"]: r["defect"] for r in pairs.defects(messages(spark, rows)).collect()}
     assert got == {m: "refusal" for m in ("a0", "a1", "a2", "b0")}
+
+
+def test_clusters_equal_brute_force(spark):
+    tails = [f"assist with {x} on this one because the handouts hold no part that deals with what you would like to know of it today" for x in ("the sums", "any proof", "those")]
+    texts = [f"{start}we are unable to {tail}" for start in ("", "hello ", "well hello ", "at present ") for tail in tails] + ["short one", "another short one", "a b a b a b a b", *(f"row {i} of a table with nothing in common" for i in range(5))]
+    got = {r["opening"]: r["cluster"] for r in pairs.clustered(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
+    runs = {t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts}
+    label = {t: t for t in texts}
+    for _ in texts:
+        for a in texts:
+            for b in texts:
+                if a.split()[:6] == b.split()[:6] or len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert {(a, b) for a in texts for b in texts if got[a] == got[b]} == {(a, b) for a in texts for b in texts if label[a] == label[b]}
+
+
+def test_a_slot_in_the_first_words(spark):
+    rows = []
+    for i, word in enumerate("alpha beta gamma delta".split()):
+        rows += [(f"q{i}", f"c{i}", 0, "user", f"What is {word}?", None, None), (f"a{i}", f"c{i}", 1, "assistant", f"The handouts leave out {word} altogether.", "abstained" if i == 0 else None, None)]
+        rows += [(f"r{i}", f"d{i}", 0, "user", f"Where is {word}?", None, None), (f"b{i}", f"d{i}", 1, "assistant", f"The handouts put it {word} of the middle.", "answered", None)]
+    got = {r["message_id"]: r["defect"] for r in pairs.defects(messages(spark, rows)).collect()}
+    assert got == {f"a{i}": "refusal" for i in range(4)}
