@@ -21,9 +21,11 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,10 @@ ITEMS = 8_000_000
 #: Positions of a text whose hits are counted together, hits held at once, and places verified together.
 WINDOW, HELD, TOGETHER = 1 << 16, 4_000_000, 1024
 WIDE = 1 << 31  # score and matches in one number
+DIRECTORY = np.uint64(42)  # bits of a hash below those that its slot is found by
+COUNTED, ALIGNED = 2048, 128  # places whose pieces are counted together, and that are aligned together
+CELLS = 1 << 23  # pairs of item and diagonal bucket that are counted at once before the hits are sorted
+_KEPT: "dict[str, Items]" = {}
 DENSE_FROM = 0x0E00  # Thai and everything after it, up to the scripts of East Asia, writes words without spaces
 
 
@@ -66,6 +72,15 @@ def pieces(cps: np.ndarray, length: int) -> np.ndarray:
         return h * np.uint64(0xD6E8FEB86659FD93)
 
 
+def directory(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """(the first of the sorted keys with each leading bits, -1 where there is none; the most keys that share them, less one)."""
+    top = keys >> DIRECTORY
+    slots = np.full(1 << 22, -1, np.int32)
+    opens = np.flatnonzero(np.append(True, top[1:] != top[:-1]))
+    slots[top[opens]] = opens
+    return slots, int(np.diff(np.append(opens, len(keys))).max()) - 1
+
+
 class Items:
     """The items of a slice with the postings of all their pieces."""
 
@@ -96,26 +111,27 @@ class Items:
                 if self.dense[i] == dense and self.half[i] >= length:
                     h = pieces(bare, length)
                     hashes.append(h)
-                    item.append(np.full(len(h), i))
-                    offset.append(np.arange(len(h)))
+                    item.append(np.full(len(h), i, np.int32))
+                    offset.append(np.arange(len(h), dtype=np.int32))
             if hashes:
                 h, item, offset = map(np.concatenate, (hashes, item, offset))
                 order = np.argsort(h, kind="stable")
                 h, first = np.unique(h[order], return_index=True)
-                bits = np.zeros(1 << 22, bool)
-                bits[h >> np.uint64(42)] = True
-                self.postings[length] = (h, np.append(first, len(order)), item[order], offset[order], bits)
+                self.postings[length] = (h, np.append(first, len(order)), item[order], offset[order], *directory(h))
 
     def hits(self, bare: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(position, item, offset) of every piece that occurs in the skeleton of a block of texts, by overlapping windows.
 
         A window with too many hits is worked through by parts of the items; an item's hits in a window always come together.
         """
-        for length, (keys, first, item, offset, bits) in self.postings.items():
+        for length, (keys, first, item, offset, slots, most) in self.postings.items():
             h = pieces(bare, length)
-            at = np.flatnonzero(bits[h >> np.uint64(42)])
-            place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-            ok = keys[place] == h[at]
+            place = slots[h >> DIRECTORY]
+            at = np.flatnonzero(place >= 0)
+            place, wanted = place[at], h[at]
+            for _ in range(most):  # keys of one slot follow each other
+                place += (keys[place] < wanted) & (place + 1 < len(keys))
+            ok = keys[place] == wanted
             at, place = at[ok], place[ok]
             for begin in range(0, len(h), WINDOW):
                 low, high = np.searchsorted(at, (begin, begin + WINDOW + self.longest))
@@ -208,37 +224,56 @@ def distances(patterns: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray
     return best
 
 
-def share(item: np.ndarray, text: np.ndarray) -> float:
-    """The part of the item matched by the best local alignment (match 1, anything else -1): what stands in one place, in order."""
-    n = len(text)
-    place = np.arange(n + 1)
-    score, kept, best, most = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), 0, 0
-    for c in item:
-        same = text == c
-        # score and matches are carried in one number, so that the maximum takes both along
-        diag = np.where(same, score[:-1] + 1, score[:-1] - 1) * WIDE + np.where(same, kept[:-1] + 1, kept[:-1])
-        up = (score[1:] - 1) * WIDE + kept[1:]
-        row = np.concatenate([[0], np.maximum(np.maximum(diag, up), 0)])
-        row = np.maximum.accumulate(row + place * WIDE) - place * WIDE  # gaps along the text
-        row = np.where(row < WIDE, 0, row)
-        score, kept = row >> 31, row & (WIDE - 1)
-        top = int(row.max())
-        if top >> 31 > best:
-            best, most = top >> 31, top & (WIDE - 1)
-    return most / len(item)
+def shares(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
+    """The part of each item matched by the best local alignment with its text (match 1, anything else -1): what stands in one place, in
+    order. All pairs advance together, a row of the item at a time."""
+    count, width = len(items), max(map(len, texts), default=0)
+    size = np.array([len(i) for i in items], np.int64)
+    grid = np.full((count, width), 0xFFFFFFFF, np.uint32)
+    rows = np.full((int(size.max(initial=0)), count), 0xFFFFFFFE, np.uint32)  # what pads an item matches nothing
+    for k, (item, text) in enumerate(zip(items, texts)):
+        grid[k, : len(text)], rows[: len(item), k] = text, item
+    place = np.arange(width + 1) * WIDE
+    # score and matches are carried in one number, so that the maximum takes both along
+    cells, best = np.zeros((count, width + 1), np.int64), np.zeros(count, np.int64)
+    for c in rows:
+        same = grid == c[:, None]
+        diag = cells[:, :-1] + np.where(same, WIDE + 1, -WIDE)
+        cells[:, 0] = 0
+        np.maximum(diag, cells[:, 1:] - WIDE, out=cells[:, 1:])
+        np.maximum.accumulate(cells + place, axis=1, out=cells)  # gaps along the text
+        cells -= place
+        cells[cells < WIDE] = 0
+        top = cells.max(axis=1)
+        best = np.where(top >> 31 > best >> 31, top, best)
+    return (best & (WIDE - 1)) / size
 
 
 def places(items: Items, bare: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, list[int], int, int]]:
     """(text, item, begins of halves, least and greatest diagonal): where the block has enough different pieces of one half of one item."""
     gap = 4 * items.longest  # texts share no diagonals
-    texts = np.arange(int(owner[-1]) + 1)
+    texts, step = np.arange(int(owner[-1]) + 1), items.step.astype(np.int32)
     starts = np.searchsorted(owner, texts) + texts * gap
+    shifted = np.arange(len(bare)) + owner * gap
     for at, item, offset in items.hits(bare):
-        lead = at - offset + owner[at] * gap
-        base = int(lead.min())
-        bucket = (lead - base) // items.step[item]
+        base = int(shifted[at[0]]) - items.longest  # hits come by position
+        lead = shifted[at[0] : at[-1] + 1] - base
+        if lead[-1] < 1 << 30:
+            lead = lead.astype(np.int32)
+        bucket = (lead[at - at[0]] - offset) // step[item]
         buckets = int(bucket.max()) + 3
-        run, offset = np.divmod(np.sort((item * buckets + bucket) * items.longest + offset), items.longest)
+        wide = (buckets >> 2) + 2
+        if len(items.size) * wide <= CELLS:  # any three neighbouring buckets lie in two neighbouring cells of four
+            cell = item * wide + (bucket >> 2)
+            many = np.bincount(cell, minlength=len(items.size) * wide).reshape(-1, wide)
+            full = np.zeros(many.shape, bool)
+            full[:, :-1] = many[:, :-1] + many[:, 1:] >= items.need[:, None]
+            full[:, 1:] |= full[:, :-1].copy()
+            held = full.ravel()[cell]
+            item, bucket, offset = item[held], bucket[held], offset[held]
+            if not len(item):
+                continue
+        run, offset = np.divmod(np.sort((item.astype(np.int64) * buckets + bucket) * items.longest + offset), items.longest)
         opens = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
         new = np.append(True, (run[1:] != run[:-1]) | (offset[1:] != offset[:-1]))
         count = np.add.reduceat(new.astype(np.int64), opens)
@@ -246,32 +281,41 @@ def places(items: Items, bare: np.ndarray, owner: np.ndarray) -> Iterator[tuple[
         ends = np.append(opens[1:], len(offset))
         last = np.searchsorted(run, run + 3)  # every place is within three neighbouring buckets
         total = np.append(0, np.cumsum(count))
-        for r in np.flatnonzero(total[last] - total[:-1] >= items.need[run // buckets]).tolist():
-            i = int(run[r]) // buckets
-            low, high = int(opens[r]), int(ends[last[r] - 1])
-            kept = np.unique(offset[low:high])
-            half, reach = int(items.half[i]), int(items.half[i] - items.length[i] + 1)
-            each = np.searchsorted(kept, kept + reach) - np.arange(len(kept))
-            best = int(each.argmax())
-            if each[best] >= items.need[i]:
-                grid = np.arange(0, items.size[i] - half + 1, max(1, int(items.size[i]) // 16))
-                inside = np.searchsorted(kept, grid + reach) - np.searchsorted(kept, grid)
-                near = grid[inside >= max(1, items.need[i] - half // 16 - 1)]
-                near = near[np.argsort(-inside[inside >= max(1, items.need[i] - half // 16 - 1)], kind="stable")]
-                first = min(int(kept[best]), int(items.size[i]) - half)
-                begin, end = (base + (int(x) % buckets + n) * int(items.step[i]) for x, n in ((run[r], 0), (run[last[r] - 1], 1)))
-                doc = int(np.searchsorted(starts - 2 * items.longest, begin, "right")) - 1
-                yield doc, i, [first, *[b for b in near.tolist() if b != first]], begin - doc * gap, end - doc * gap
-
-
-def contained(item: np.ndarray, begin: int, errors: int, text: np.ndarray, low: int, high: int) -> bool:
-    """Whether the half of the item stands in the stretch within the budget, and half of the item in one place around it."""
-    half = -(-len(item) // 2)
-    if errors > int(BUDGET * half):
-        return False
-    if half - errors >= SHARE * len(item):  # so much of the item is matched by the half alone
-        return True
-    return share(item, text[max(0, low - begin - half // 2) : high + len(item) - begin - half // 2]) >= SHARE
+        some = np.flatnonzero(total[last] - total[:-1] >= items.need[run // buckets])
+        for k in range(0, len(some), COUNTED):
+            r = some[k : k + COUNTED]
+            i = run[r] // buckets
+            low, size = opens[r], ends[last[r] - 1] - opens[r]
+            post = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            seen = np.zeros((len(r), items.longest + 1), np.int16)
+            seen[np.repeat(np.arange(len(r)), size), offset[post] + 1] = 1
+            upto = np.cumsum(seen, axis=1, dtype=np.int16)
+            reach = (items.half - items.length + 1)[i]
+            ahead = np.minimum(np.arange(items.longest + 1) + reach[:, None], items.longest)
+            each = np.take_along_axis(upto, ahead, axis=1) - upto
+            best = each.argmax(axis=1)
+            for n in np.flatnonzero(each[np.arange(len(r)), best] >= items.need[i]).tolist():
+                yield place_of(items, int(i[n]), each[n], int(best[n]), base, int(run[r[n]]) % buckets, int(run[last[r[n]] - 1]) % buckets, starts, gap)
+
+
+def place_of(items: Items, i: int, each: np.ndarray, best: int, base: int, begin: int, end: int, starts: np.ndarray, gap: int) -> tuple[int, int, list[int], int, int]:
+    """One place: its halves are the one with most pieces, then those of a grid that come near enough to be worth a look, by their pieces."""
+    grid = np.arange(0, items.size[i] - items.half[i] + 1, max(1, int(items.size[i]) // 16))
+    inside = each[grid]
+    near = inside >= max(1, items.need[i] - int(items.half[i]) // 16 - 1)
+    order = grid[near][np.argsort(-inside[near], kind="stable")].tolist()
+    first = min(best, int(items.size[i] - items.half[i]))
+    begin, end = base + begin * int(items.step[i]), base + (end + 1) * int(items.step[i])
+    doc = int(np.searchsorted(starts - 2 * items.longest, begin, "right")) - 1
+    return doc, i, [first, *[b for b in order if b != first]], begin - doc * gap, end - doc * gap
+
+
+def known_items(name: str, sent: Broadcast) -> Items:
+    """The items of a broadcast, built once in a worker and kept until another broadcast comes."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Items(*sent.value)
+    return _KEPT[name]
 
 
 def whole(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -309,11 +353,21 @@ def find_block(items: Items, texts: list[str | None]) -> list[tuple[int, int]]:
                     low, high = low - int(first[doc]) + begin - spread, high - int(first[doc]) + begin + half + spread
                     some.append((doc, i, begins, begin, low, high))
                 errors = distances([items.skeletons[i][b : b + items.half[i]] for _, i, _, b, _, _ in some], [bodies[d][max(0, low) : max(0, high)] for d, _, _, _, low, high in some])
+                near = []
                 for (doc, i, begins, begin, low, high), e in zip(some, errors.tolist()):
-                    if (doc, i) not in found and contained(items.skeletons[i], begin, e, bodies[doc], low, high):
-                        found.add((doc, i))
+                    half, size = int(items.half[i]), int(items.size[i])
+                    if (doc, i) not in found and e <= int(BUDGET * half):
+                        if half - e >= SHARE * size:  # so much of the item is matched by the half alone
+                            found.add((doc, i))
+                        else:
+                            near.append((doc, i, bodies[doc][max(0, low - begin - half // 2) : high + size - begin - half // 2]))
                     # a half that begins n further or earlier has at most n errors less
                     begins[:] = [b for b in begins if e - abs(b - begin) <= items.spread[i]]
+                near = [x for x in near if (x[0], x[1]) not in found]
+                for n in range(0, len(near), ALIGNED):
+                    part = near[n : n + ALIGNED]
+                    parts = shares([items.skeletons[i] for _, i, _ in part], [t for _, _, t in part])
+                    found.update((doc, i) for (doc, i, _), x in zip(part, parts.tolist()) if x >= SHARE)
 
     for place in places(items, bare, owner):
         waiting.append(place)
@@ -335,8 +389,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         rows = wanted.filter(F.pmod(F.xxhash64("k"), F.lit(slices)) == part).collect()  # at most about ITEMS code points
         sent = spark.sparkContext.broadcast(([r["k"] for r in rows], [r["t"] for r in rows]))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = Items(*sent.value)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=uuid4().hex) -> Iterator[pa.RecordBatch]:
+            known = known_items(name, sent)
             for block in blocks(batches, text):
                 pairs = find_block(known, block.column(text).to_pylist())
                 keys = block.column(key).take(pa.array([d for d, _ in pairs], pa.int64()))

@@ -34,8 +34,8 @@ def test_bit_parallel_distance():
 
 def test_share_of_an_item():
     item = np.arange(100)
-    assert leakage.share(item, np.concatenate([np.full(30, 500), item[:60], np.full(30, 500)])) == 0.6
-    assert leakage.share(item, np.full(50, 500)) == 0
+    assert leakage.shares([item, item[:50]], [np.concatenate([np.full(30, 500), item[:60], np.full(30, 500)]), item]).tolist() == [0.6, 1]
+    assert leakage.shares([item], [np.full(50, 500)])[0] == 0
 
 
 def test_found_and_not_found(spark):
@@ -138,4 +138,4 @@ def test_short_and_long_items():
     items = leakage.Items([0, 1], ["Yes, it is.", long])
     assert leakage.find_block(items, ["It says: yes it is so.", "Yes, it was.", long[: len(long) * 3 // 5]]) == [(0, 0), (2, 1)]
     item = np.arange(9000) % 5000 + np.arange(9000) // 5000 * 7000
-    assert leakage.share(item, item[:6000]) == 6000 / 9000
+    assert leakage.shares([item], [item[:6000]])[0] == 6000 / 9000
