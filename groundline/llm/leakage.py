@@ -41,9 +41,11 @@ BUDGET, SHARE = 0.36, 0.42
 #: Code points of items that are broadcast together.
 ITEMS = 8_000_000
 #: Positions of a text whose hits are counted together, hits held at once, and places verified together.
-WINDOW, HELD, TOGETHER = 1 << 16, 4_000_000, 1024
+WINDOW, HELD, TOGETHER = 1 << 16, 4_000_000, 2048
 WIDE = 1 << 31  # score and matches in one number
 DIRECTORY = np.uint64(42)  # bits of a hash below those that its slot is found by
+#: Bytes of documents worked through together.
+BLOCK = 4_000_000
 COUNTED, ALIGNED = 2048, 128  # places whose pieces are counted together, and that are aligned together
 CELLS = 1 << 23  # pairs of item and diagonal bucket that are counted at once before the hits are sorted
 _KEPT: "dict[str, Items]" = {}
@@ -251,7 +253,7 @@ def shares(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
 
 def places(items: Items, bare: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, list[int], int, int]]:
     """(text, item, begins of halves, least and greatest diagonal): where the block has enough different pieces of one half of one item."""
-    gap = 4 * items.longest  # texts share no diagonals
+    gap = 3 * items.longest  # texts share no diagonals
     texts, step = np.arange(int(owner[-1]) + 1), items.step.astype(np.int32)
     starts = np.searchsorted(owner, texts) + texts * gap
     shifted = np.arange(len(bare)) + owner * gap
@@ -282,10 +284,14 @@ def places(items: Items, bare: np.ndarray, owner: np.ndarray) -> Iterator[tuple[
         last = np.searchsorted(run, run + 3)  # every place is within three neighbouring buckets
         total = np.append(0, np.cumsum(count))
         some = np.flatnonzero(total[last] - total[:-1] >= items.need[run // buckets])
-        for k in range(0, len(some), COUNTED):
-            r = some[k : k + COUNTED]
+        # places that begin within three neighbouring buckets are one place, a little wider
+        third = run[some] // buckets * buckets + run[some] % buckets // 3
+        begins = np.flatnonzero(np.append(True, third[1:] != third[:-1])) if len(some) else some
+        heads, tails = some[begins], last[some[np.append(begins[1:], len(some)) - 1]] - 1 if len(some) else some
+        for k in range(0, len(heads), COUNTED):
+            r, tail = heads[k : k + COUNTED], tails[k : k + COUNTED]
             i = run[r] // buckets
-            low, size = opens[r], ends[last[r] - 1] - opens[r]
+            low, size = opens[r], ends[tail] - opens[r]
             post = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
             seen = np.zeros((len(r), items.longest + 1), np.int16)
             seen[np.repeat(np.arange(len(r)), size), offset[post] + 1] = 1
@@ -295,7 +301,7 @@ def places(items: Items, bare: np.ndarray, owner: np.ndarray) -> Iterator[tuple[
             each = np.take_along_axis(upto, ahead, axis=1) - upto
             best = each.argmax(axis=1)
             for n in np.flatnonzero(each[np.arange(len(r)), best] >= items.need[i]).tolist():
-                yield place_of(items, int(i[n]), each[n], int(best[n]), base, int(run[r[n]]) % buckets, int(run[last[r[n]] - 1]) % buckets, starts, gap)
+                yield place_of(items, int(i[n]), each[n], int(best[n]), base, int(run[r[n]]) % buckets, int(run[tail[n]]) % buckets, starts, gap)
 
 
 def place_of(items: Items, i: int, each: np.ndarray, best: int, base: int, begin: int, end: int, starts: np.ndarray, gap: int) -> tuple[int, int, list[int], int, int]:
@@ -391,7 +397,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, name=uuid4().hex) -> Iterator[pa.RecordBatch]:
             known = known_items(name, sent)
-            for block in blocks(batches, text):
+            for block in blocks(batches, text, BLOCK):
                 pairs = find_block(known, block.column(text).to_pylist())
                 keys = block.column(key).take(pa.array([d for d, _ in pairs], pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([known.keys[i] for _, i in pairs], item_type), keys], [item_key, key])
