@@ -3,8 +3,9 @@
 Centroids are fitted on a bounded sample with a penalty on full clusters, so that lists stay balanced; every vector is indexed. A vector
 goes to its nearest centroid and, near a boundary, to each further one within a ratio of that distance, up to ``LISTS``; the same rule
 selects the lists it searches. Centroids are found through an in-memory graph: a few pivots, then hops over each centroid's neighbours.
-Two tables with centroids of their own make it unlikely that a pair is parted in both. A list of more than ``LIST_ROWS`` vectors is cut
-into blocks and every vector of the list searches all of them, so nothing is left out of a crowded list.
+Two tables with centroids of their own make it unlikely that a pair is parted in both. A list of more than about ``LIST_ROWS`` vectors (by
+the sample's share) is cut into blocks, and every block of searching vectors is held against every block of the list in a task of its own,
+so nothing is left out of a crowded list and no task holds all of it.
 
 Copies of one vector are indexed once and expanded afterwards, each class by its least ids, so a class of a third of all rows adds a few
 rows for each of its members.
@@ -18,6 +19,7 @@ neighbours; the norm does not matter; rows with one id count once; an empty tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +123,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, width)
 
 
+def _crowded(graphs: list[Graph], sample: np.ndarray, count: int) -> dict[int, int]:
+    """The number of blocks of each list that has more than LIST_ROWS of all rows, by its share of the sample."""
+    blocks = {}
+    for number, graph in enumerate(graphs):
+        sizes = np.bincount(graph.lists(sample)[1], minlength=len(graph.centroids)) * (count / len(sample))
+        blocks.update({int(p) * len(graphs) + number: int(-(-sizes[p] // LIST_ROWS)) for p in np.flatnonzero(sizes > LIST_ROWS)})
+    return blocks
+
+
 def nearest(vectors: DataFrame, k: int, width: int, least: float = -1.0) -> DataFrame:
     """(a, b, cosine): for each row of vectors (id, embedding), all usable and different, its k nearest others of cosine at least least."""
     spark = vectors.sparkSession
@@ -141,53 +152,50 @@ def nearest(vectors: DataFrame, k: int, width: int, least: float = -1.0) -> Data
             row, place = graph.lists(rows)
             yield row, place * TABLES + number
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(centroids * TABLES, np.int64)
-        for batch in batches:
-            for _, place in assigned(batch):
-                total += np.bincount(place, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["list", "n"])
-
-    sizes = vectors.select("embedding").mapInArrow(counted, "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
-    crowded = spark.sparkContext.broadcast({r["list"]: -(-r["n"] // LIST_ROWS) for r in sizes.filter(F.col("n") > LIST_ROWS).collect()})
+    crowded = spark.sparkContext.broadcast(_crowded(graphs.value, sample, count))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 batch = whole.slice(start, 2048)
+                names = np.fromiter((crc32(i.encode()) for i in batch.column("id").to_pylist()), np.int64, batch.num_rows)
                 for row, place in assigned(batch):
-                    cut = np.array([crowded.value.get(p, 1) for p in place.tolist()])
-                    own = (row + start + np.abs(place * 7919)) % cut
-                    again = np.repeat(np.arange(len(row)), cut)
-                    block = np.arange(len(again)) - np.repeat(np.cumsum(cut) - cut, cut)
+                    cut = np.array([crowded.value.get(p, 1) for p in place.tolist()], np.int64)
+                    own = names[row] % cut  # by the id, so that a task that runs again deals out alike
+                    copies = 2 * cut - 1  # its block against each, then each other against its block
+                    again = np.repeat(np.arange(len(row)), copies)
+                    turn, mine, cuts = np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies), own[again], cut[again]
+                    other = np.where(turn < cuts, turn, (mine + 1 + turn - cuts) % cuts)
+                    query = turn < cuts
+                    block = np.where(query, mine * cuts + other, other * cuts + mine)
                     rows = batch.take(pa.array(row[again]))
-                    flags = [pa.array(place[again]), pa.array(block.astype(np.int32)), pa.array(block == own[again])]
-                    yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("embedding"), *flags], ["id", "embedding", "list", "block", "member"])
+                    flags = [pa.array(place[again]), pa.array(block), pa.array(query), pa.array(~query | (other == mine))]
+                    yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("embedding"), *flags], ["id", "embedding", "list", "block", "query", "member"])
 
     def compared(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy()
         rows = unit(_matrix(group.column("embedding").combine_chunks(), width))
-        member = np.flatnonzero(group.column("member").to_numpy())
+        query, member = (np.flatnonzero(group.column(c).to_numpy()) for c in ("query", "member"))
         inside = rows[member]
         a, b, cosine = [], [], []
-        for i in range(0, len(rows), 1024):
-            score = rows[i : i + 1024] @ inside.T
-            mine = np.searchsorted(member, np.arange(i, i + len(score)))
-            is_member = (mine < len(member)) & (member[np.minimum(mine, len(member) - 1)] == np.arange(i, i + len(score))) if len(member) else np.zeros(len(score), bool)
-            score[np.flatnonzero(is_member), mine[is_member]] = -2
-            hit = np.flatnonzero((score >= least).any(axis=1)) if len(member) else np.zeros(0, np.int64)
+        for i in range(0, len(query) if len(member) else 0, 1024):
+            asked = query[i : i + 1024]
+            score = rows[asked] @ inside.T
+            itself = np.minimum(np.searchsorted(member, asked), len(member) - 1)
+            same = np.flatnonzero(member[itself] == asked)
+            score[same, itself[same]] = -2
+            hit = np.flatnonzero((score >= least).any(axis=1))
             if len(hit):
                 best = top(score[hit], k)
                 value = np.take_along_axis(score[hit], best, axis=1)
                 r, c = np.nonzero((value >= least) & (value > -1.5))
-                a.append(hit[r] + i)
+                a.append(asked[hit[r]])
                 b.append(member[best[r, c]])
                 cosine.append(value[r, c])
         cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         return pa.table({"a": pa.array(ids[cat(a, np.int64)], pa.string()), "b": pa.array(ids[cat(b, np.int64)], pa.string()), "cosine": pa.array(cat(cosine, np.float64))})
 
-    lists = vectors.select("id", "embedding").mapInArrow(placed, "id string, embedding array<float>, list long, block int, member boolean")
+    lists = vectors.select("id", "embedding").mapInArrow(placed, "id string, embedding array<float>, list long, block long, query boolean, member boolean")
     found = lists.groupBy("list", "block").applyInArrow(compared, "a string, b string, cosine double")
     once = found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
