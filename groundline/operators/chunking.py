@@ -23,23 +23,23 @@ SECTION_TITLE = r"(?iu)^(chapitre|chapter|partie|part|section|module|s[ée]ance|
 
 
 def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """One page cut into windows of at most size characters, each ending at the best boundary of its second half."""
+    """One page cut into windows of at most size characters, each ending at the best boundary of its second half.
+
+    A window ends before a blank line, a line feed or a space, and after a sentence with the white space behind it.
+    """
     if size < 1 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap smaller than size")
     out, start = [], 0
     while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
+        limit = end = min(start + size, len(text))
+        if limit < len(text):
             low = start + max(1, size // 2)
-            marks = [m.end() for m in _SENTENCE.finditer(text, low, end)]
-            choices = (text.rfind("\n\n", low, end) + 2, text.rfind("\n", low, end) + 1, marks[-1] if marks else 0, max(text.rfind(" ", low, end), text.rfind("\n", low, end)) + 1)
-            end = next((c for c in choices if c > low), end)
-        piece = text[start:end]
-        if piece.strip():
-            out.append(piece)
-        if end == len(text):
-            break
-        start = max(start + 1, end - overlap)
+            sentences = (m.end() for m in _SENTENCE.finditer(text, start, limit))
+            ends = (text.rfind("\n\n", low, limit), text.rfind("\n", low, limit), max(sentences, default=-1), text.rfind(" ", low, limit))
+            end = next((e for e in ends if e >= low), limit)
+        if not text[start:end].isspace():
+            out.append(text[start:end])
+        start = len(text) if end == len(text) else max(start + 1, end - overlap)
     return out
 
 
@@ -87,6 +87,16 @@ def packed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [] if t is None else pack(t))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def cut(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: [] if t is None else windows(t))
+
+
+def page_windows(pages: DataFrame, keys: tuple[str, ...], text: str = "text") -> DataFrame:
+    """(keys, position, chunk): every cleaned page cut into overlapping windows, without regard to lines. A narrow map."""
+    return pages.select(*keys, F.posexplode(cut(clean_lines(nfc(F.col(text))))).alias("position", "chunk"))
+
+
 def page_chunks(pages: DataFrame, keys: tuple[str, ...], text: str = "text") -> DataFrame:
     """(keys, position, chunk) of every page; pages without text have no chunk. A narrow map: no row leaves its partition."""
     return pages.select(*keys, F.posexplode(packed(clean_lines(nfc(F.col(text))))).alias("position", "chunk"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,8 @@ from pyspark.sql import functions as F
 
 from groundline.functions.text import terms
 
-#: Query vectors sent with each task at most; more are worked through in slices of this many.
-QUERY_SLICE = 20_000
-#: Rows of lexical query vectors that are broadcast at most (about 30 MB).
-QUERY_ROWS = 1_000_000
+#: Numbers of query vectors sent with each task at most (32 MB), more are worked through in slices; queries and rows scored together.
+QUERY_CELLS, QUERY_BLOCK, ROW_BLOCK = 4_000_000, 256, 2048
 #: Cutoffs of the score for vectors of a model and for lexical vectors.
 MODEL_CUTOFF, LEXICAL_CUTOFF = 0.40, 0.10
 BUCKETS = 1024
@@ -58,43 +57,97 @@ def top_chunks(scored: DataFrame, k: int, keys: tuple[str, ...] = (), key: str =
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def batch_top(queries: DataFrame, chunks: DataFrame, k: int, width: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank) of the k best chunks for every query, exactly.
-
-    queries has (query_id, vector), chunks (chunk_id, vector), both usable. The queries of a slice are sent to the tasks as one matrix;
-    each task keeps its k best for each query while it reads, so the shuffle carries k rows for a query and task, not all scores.
+class Best:
+    """The k best different ids of every query (and scope) among the rows that a task has seen; equal scores by the lesser id."""
+
+    def __init__(self, queries: int, k: int):
+        self.queries, self.k = queries, k
+        self.group, self.score, self.name = np.zeros(0, np.int64), np.zeros(0), None
+        self.scopes: dict = {}
+
+    def add(self, matrix: np.ndarray, rows: np.ndarray, names: np.ndarray, scopes: list | None = None) -> None:
+        """Score rows against all queries, a block of each at a time; scopes must be sorted if given."""
+        cuts = [0, len(rows)] if scopes is None else [0, *[i for i in range(1, len(scopes)) if scopes[i] != scopes[i - 1]], len(rows)]
+        number = [self.scopes.setdefault(None if scopes is None else scopes[a], len(self.scopes)) for a in cuts[:-1]] if len(rows) else []
+        group, score, place = [self.group], [self.score], []
+        for q in range(0, self.queries, QUERY_BLOCK):
+            all_scores = np.round(matrix[q : q + QUERY_BLOCK] @ rows.T, 12)
+            for scope, a, b in zip(number, cuts, cuts[1:]):
+                part = all_scores[:, a:b]
+                keep = part >= np.partition(part, b - a - self.k, axis=1)[:, b - a - self.k, None] if b - a > self.k else np.ones(part.shape, bool)
+                r, c = np.nonzero(keep)
+                group.append((r + q) + scope * self.queries)
+                score.append(part[r, c])
+                place.append(c + a)
+        new = names[np.concatenate(place)] if place else names[:0]
+        name = new if self.name is None else np.concatenate([self.name, new])
+        group, score = np.concatenate(group), np.concatenate(score)
+        _, code = np.unique(name, return_inverse=True)
+        order = np.lexsort((code, -score, group))
+        group, score, name, code = group[order], score[order], name[order], code[order]
+        fresh = np.append(True, (group[1:] != group[:-1]) | (code[1:] != code[:-1]))[: len(group)]  # copies of a row stand together
+        group, score, name = group[fresh], score[fresh], name[fresh]
+        first = np.searchsorted(group, group)
+        kept = np.arange(len(group)) - first < self.k
+        self.group, self.score, self.name = group[kept], score[kept], name[kept]
+
+    def batch(self, ids: list, id_type: pa.DataType, query_type: pa.DataType, key: str, scope: str | None) -> pa.RecordBatch:
+        columns = {"query_id": pa.array([ids[g] for g in (self.group % self.queries).tolist()], query_type), key: pa.array(self.name, id_type), "score": pa.array(self.score)}
+        if scope:
+            back = list(self.scopes)
+            columns[scope] = pa.array([back[g] for g in (self.group // self.queries).tolist()], pa.string())
+        return pa.RecordBatch.from_pydict(columns)
+
+
+def search(queries: DataFrame, rows: DataFrame, k: int, width: int, vectors: Callable[[pa.RecordBatch], np.ndarray], key: str, scope: str | None = None) -> DataFrame:
+    """(query_id, key, [scope,] score, rank) of the k best rows of every query (in every scope), exactly.
+
+    The queries (query_id, vector) of a slice are sent to the tasks as one matrix of a bounded size; each task keeps its k best for each
+    query while it reads, so the shuffle carries k rows for a query (and scope) and task, not all scores. vectors makes unit vectors of a batch.
     """
-    spark = chunks.sparkSession
-    number = max(1, -(-queries.count() // QUERY_SLICE))
+    spark = rows.sparkSession
+    slice_ = max(1, QUERY_CELLS // width)
+    number = max(1, -(-queries.count() // slice_))
+    key_type, query_type = rows.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+    schema = f"query_id {query_type}, {key} {key_type}, score double" + (f", {scope} string" if scope else "")
     out = None
     for part in range(number):
-        taken = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(number)) == part).select(F.col("query_id").cast("string").alias("q"), "vector").orderBy("q").toArrow()
-        ids = taken.column("q").to_pylist()
+        taken = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(number)) == part).select("query_id", "vector").orderBy("query_id").toArrow()
         matrix = np.asarray(taken.column("vector").combine_chunks().flatten(), np.float64).reshape(-1, width)
-        sent = spark.sparkContext.broadcast((ids, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
+        sent = spark.sparkContext.broadcast((taken.column("query_id").to_pylist(), unit(matrix)))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
-            best_score, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), object)
-            for batch in batches:
-                rows = np.asarray(batch.column("vector").flatten(), np.float64).reshape(-1, width)
-                rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-                names = np.array(batch.column("chunk_id").to_pylist(), object)
-                order = np.argsort(names, kind="stable")  # equal scores are kept by id
-                score = np.concatenate([best_score, matrix @ rows[order].T], axis=1)
-                label = np.concatenate([best_id, np.broadcast_to(names[order], (len(ids), len(names)))], axis=1)
-                by = np.argsort(label, axis=1, kind="stable") if best_id.size else None
-                if by is not None:
-                    score, label = np.take_along_axis(score, by, 1), np.take_along_axis(label, by, 1)
-                keep = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                best_score, best_id = np.take_along_axis(score, keep, 1), np.take_along_axis(label, keep, 1)
-            if best_id.size:
-                query = np.repeat(np.array(ids, object), best_id.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(query, pa.string()), pa.array(best_id.ravel(), pa.string()), pa.array(best_score.ravel())], ["query_id", "chunk_id", "score"])
-
-        one = chunks.select("chunk_id", "vector").mapInArrow(scan, "query_id string, chunk_id string, score double")
+            best = Best(len(ids), k)
+            for whole in batches:
+                for start in range(0, whole.num_rows, ROW_BLOCK):
+                    batch = whole.slice(start, ROW_BLOCK)
+                    if scope:
+                        batch = batch.sort_by(scope)
+                    names = batch.column(key).to_numpy(zero_copy_only=False)
+                    once = np.sort(np.unique(names, return_index=True)[1])  # a copy would take the place of another row
+                    if len(once) < len(names):
+                        batch, names = batch.take(pa.array(once)), names[once]
+                    best.add(matrix, vectors(batch), names, batch.column(scope).to_pylist() if scope else None)
+            if best.name is not None:
+                yield best.batch(ids, kinds[key_type], kinds[query_type], key, scope).select([f.split()[0] for f in schema.split(", ")])
+
+        one = rows.mapInArrow(scan, schema)
         out = one if out is None else out.unionByName(one)
-    return top_chunks(out, k, ("query_id",))
+    keys = ("query_id", scope) if scope else ("query_id",)
+    return top_chunks(out.groupBy(*keys, key).agg(F.max("score").alias("score")), k, keys, key=key)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def batch_top(queries: DataFrame, chunks: DataFrame, k: int, width: int, scope: str | None = None) -> DataFrame:
+    """The k best chunks (chunk_id, vector[, scope]) for every query vector, exactly; copies of a chunk count once. All vectors are usable."""
+    vectors = lambda batch: unit(np.asarray(batch.column("vector").flatten(), np.float64).reshape(-1, width))
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
+    return search(asked, chunks.select("chunk_id", "vector", *([scope] if scope else [])), k, width, vectors, "chunk_id", scope)
 
 
 def labelled(ranked: DataFrame, cutoff: float, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -103,38 +156,88 @@ def labelled(ranked: DataFrame, cutoff: float, keys: tuple[str, ...] = ()) -> Da
     return kept.withColumn("label", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")))
 
 
-def bucket_of(term: Column) -> tuple[Column, Column]:
+def bucket_of(term: str) -> tuple[int, float]:
     """(bucket, sign) of a term in the hashing trick: from the first four bytes of its SHA-256, and the last bit of the fifth."""
-    digest = F.sha2(term, 256)
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % BUCKETS
-    odd = F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2
-    return bucket.cast("int"), F.when(odd == 1, 1.0).otherwise(-1.0)
+    digest = sha256(term.encode()).digest()
+    return int.from_bytes(digest[:4], "big") % BUCKETS, 1.0 if digest[4] & 1 else -1.0
 
 
-def lexical_vectors(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """Sparse unit vectors (key, bucket, weight) of texts: signed hashing of terms, weighted 1 + ln(count).
+def _hashing_input(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, terms, own): the terms of every text that is not blank, and the bucket of the text as a whole."""
+    kept = texts.filter(F.col(text).rlike(r"[^\s\p{Z}]"))
+    own = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long") % BUCKETS
+    return kept.select(key, F.filter(terms(F.col(text)), lambda w: ~w.isin(STOP_WORDS)).alias("terms"), own.cast("int").alias("own"))
+
+
+def hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, weight) of the unit vectors of a batch (terms, own); each distinct term is hashed once.
 
-    Each distinct term of a text is hashed once; a text of stop words alone has no vector. The terms are partitioned by text once, and the
-    counts, the buckets and the norms all follow that partitioning.
+    Signed hashing of terms, weighted 1 + ln(count). A text whose terms leave nothing (stop words alone, or terms that cancel each other out)
+    has the bucket of the text itself.
     """
-    found = texts.select(key, F.explode(F.filter(terms(F.col(text)), lambda w: ~w.isin(STOP_WORDS))).alias("term")).repartition(key)
-    counted = found.groupBy(key, "term").count()
-    bucket, sign = bucket_of(F.col("term"))
-    summed = counted.select(key, bucket.alias("bucket"), (sign * (1 + F.log(F.col("count").cast("double")))).alias("w")).groupBy(key, "bucket").agg(F.sum("w").alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return summed.select(key, "bucket", F.when(norm > 0, F.col("w") / norm).alias("weight")).filter("weight is not null and weight <> 0")
+    lists = batch.column("terms")
+    words = lists.flatten().dictionary_encode()
+    places = [bucket_of(w) for w in words.dictionary.to_pylist()]
+    bucket, sign = np.array([p for p, _ in places], np.int64), np.array([s for _, s in places])
+    row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+    kinds = max(1, len(places))
+    pair, count = np.unique(row * kinds + np.asarray(words.indices, np.int64), return_counts=True)
+    term = pair % kinds
+    cell, at = np.unique(pair // kinds * BUCKETS + bucket[term], return_inverse=True)
+    weight = np.bincount(at, weights=sign[term] * (1 + np.log(count)), minlength=len(cell))
+    row = cell // BUCKETS
+    norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=batch.num_rows))
+    bare = np.flatnonzero(norm == 0)
+    held = weight != 0
+    row, bucket, weight = row[held], (cell % BUCKETS)[held], weight[held]
+    return np.append(row, bare), np.append(bucket, np.asarray(batch.column("own"))[bare]), np.append(weight / norm[row], np.ones(len(bare)))
+
+
+def term_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n, docs): occurrences of every term and the texts that hold it. Each batch is counted as it is read, so that one row for each
+    of its different terms is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            words = lists.flatten().dictionary_encode()
+            kinds, code = len(words.dictionary), np.asarray(words.indices, np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            held = np.unique(row * max(1, kinds) + code) % max(1, kinds)
+            counts = [pa.array(np.bincount(c, minlength=kinds)) for c in (code, held)]
+            yield pa.RecordBatch.from_arrays([words.dictionary, *counts], ["term", "n", "docs"])
+
+    listed = texts.filter(F.col(text).isNotNull()).select(terms(F.col(text)).alias("terms"))
+    return listed.mapInArrow(run, "term string, n long, docs long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) where both share a bucket.
+def lexical_vectors(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """Sparse unit vectors (key, bucket, weight) of texts, made inside each row: nothing is shuffled. A null or blank text has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, bucket, weight = hashed(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), pa.array(bucket.astype(np.int32)), pa.array(weight)], [key, "bucket", "weight"])
+
+    return _hashing_input(texts, key, text).mapInArrow(run, f"{key} {texts.schema[key].dataType.simpleString()}, bucket int, weight double")
+
 
-    There are only 1,024 buckets, so a shuffle by bucket would put much of the corpus on few tasks: up to ``QUERY_ROWS`` rows of queries are
-    sent to the documents instead, whose partitioning by document then serves the sums.
+def lexical_top(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", text: str = "text", digits: int = 9) -> DataFrame:
+    """(query_id, key, score, rank) of the k documents whose hashed terms are closest to the text of each query (query_id, text).
+
+    Scores are rounded to digits, so that copies of a text tie and rank by key.
     """
-    asked = queries.withColumnRenamed("weight", "wq")
-    if asked.count() <= QUERY_ROWS:
-        asked = F.broadcast(asked)
-    return docs.withColumnRenamed("weight", "wd").join(asked, "bucket").groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
+
+    def dense(batch: pa.RecordBatch) -> np.ndarray:
+        row, bucket, weight = hashed(batch)
+        out = np.zeros((batch.num_rows, BUCKETS))
+        out[row, bucket] = weight
+        return out
+
+    vector = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.element_at("w", b), F.lit(0.0)))
+    sparse = lexical_vectors(queries, "query_id").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("w"))
+    found = search(sparse.select("query_id", vector.alias("vector")), _hashing_input(docs, key, text), k, BUCKETS, dense, key)
+    return found.withColumn("score", F.round("score", digits))
 
 
 def rank_report(ranks: DataFrame) -> DataFrame:

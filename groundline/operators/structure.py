@@ -66,13 +66,22 @@ def weighted_mode(rows: DataFrame, keys: list[str], value: str, weight: Column)
     return summed.groupBy(*keys).agg(F.min(F.struct((-F.col("w")).alias("neg"), F.col(value).alias("v"))).alias("best")).select(*keys, F.col("best.v").alias(value), (-F.col("best.neg")).alias("weight"))
 
 
+#: A page whose body has fewer letters and digits than this is a step of the page that follows it under the same title.
+BARE_BODY = 20
+
+
 def without_overlays(pages: DataFrame, doc: str) -> DataFrame:
-    """Pages (doc, page, title, lines) without those that the next page builds upon, and without verbatim repeats of a kept page."""
+    """Pages (doc, page, title, lines, letters) without overlay steps and without verbatim repeats of a page that stays.
+
+    A step is a page whose next page has the same title, which is not null or empty, and holds all its lines, or has a body of BARE_BODY
+    letters and digits or more where its own has fewer. lines are hashes of the lines in order, so that no text is shuffled.
+    """
     w = Window.partitionBy(doc).orderBy("page")
     nxt = lambda c: F.lead(c).over(w)
-    built = (nxt("page") == F.col("page") + 1) & nxt("title").eqNullSafe(F.col("title")) & (F.size(F.array_except("lines", nxt("lines"))) == 0)
+    grows = F.size(F.array_except("lines", nxt("lines"))) == 0
+    built = (nxt("page") == F.col("page") + 1) & (F.col("title") != "") & (nxt("title") == F.col("title")) & (grows | ((F.col("letters") < BARE_BODY) & (nxt("letters") >= BARE_BODY)))
     kept = pages.withColumn("built", F.coalesce(built, F.lit(False))).filter(~F.col("built")).drop("built")
-    again = F.row_number().over(Window.partitionBy(doc, F.sort_array("lines")).orderBy("page"))
+    again = F.row_number().over(Window.partitionBy(doc, F.xxhash64("lines"), F.xxhash64(F.lit(1), "lines")).orderBy("page"))
     return kept.withColumn("again", again).filter("again = 1").drop("again")
 
 

@@ -29,8 +29,9 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable vectors as they are read; a search counts copies of a chunk once."""
     rows = table(spark, sf_dir, "document_chunks").filter(retrieval.usable(F.col("embedding"), WIDTH))
-    return library.once(rows.select("id", "document_id", "course_id", "physical_page_number", F.col("embedding").alias("vector"))).withColumnRenamed("id", "chunk_id")
+    return rows.select(F.col("id").alias("chunk_id"), "document_id", "course_id", F.col("embedding").alias("vector"))
 
 
 def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,14 +47,14 @@ USABLE = """
 """
 
 
-@query(f"WITH {USABLE} SELECT vec_id::VARCHAR AS query_id, id AS chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 8")
+@query(f"WITH {USABLE} SELECT vec_id::VARCHAR AS query_id, id AS chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 12) DESC, id) AS rank FROM s) WHERE rank <= 8")
 def batch_topk(spark, sf_dir):
     """The 8 best chunks of the whole library for every query vector."""
     found = retrieval.batch_top(_query_vectors(spark, sf_dir), _chunk_vectors(spark, sf_dir), TOP, WIDTH)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH {USABLE}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, id) AS rank FROM s)
+@query(f"""WITH {USABLE}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 12) DESC, id) AS rank FROM s)
     SELECT vec_id::VARCHAR AS query_id, id AS chunk_id, row_number() OVER (PARTITION BY vec_id ORDER BY rank) AS label FROM r WHERE rank <= 8 AND score >= 0.40""")
 def cutoff_labels(spark, sf_dir):
     """Labels of the retrieved chunks that reach the cutoff, which is applied after the limit."""
@@ -61,12 +62,22 @@ def cutoff_labels(spark, sf_dir):
     return retrieval.labelled(found, retrieval.MODEL_CUTOFF, ("query_id",)).select("query_id", "chunk_id", "label")
 
 
-@query(f"WITH {USABLE} SELECT document_id, id AS chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, id) AS rank FROM s WHERE vec_id = 0) WHERE rank <= 8")
+@query(f"WITH {USABLE} SELECT vec_id::VARCHAR AS query_id, course_id, id AS chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, course_id ORDER BY round(score, 12) DESC, id) AS rank FROM s) WHERE rank <= 8")
 def scoped_topk(spark, sf_dir):
-    """One query vector in the scope of each document: the 8 best of its chunks, or all of them if there are fewer."""
-    one = table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").scalar()
-    scored = _chunk_vectors(spark, sf_dir).withColumn("q", one).select("document_id", "chunk_id", retrieval.cosine(F.col("vector"), F.col("q")).alias("score"))
-    return retrieval.top_chunks(scored, TOP, ("document_id",)).select("document_id", "chunk_id", "rank")
+    """Every query vector in the scope of each course: the 8 best of its chunks, or all of them if there are fewer."""
+    found = retrieval.batch_top(_query_vectors(spark, sf_dir), _chunk_vectors(spark, sf_dir), TOP, WIDTH, scope="course_id")
+    return found.select("query_id", "course_id", "chunk_id", "rank")
+
+
+LARGEST = "SELECT document_id FROM document_chunks GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1"
+
+
+@query(f"WITH {USABLE} SELECT vec_id::VARCHAR AS query_id, id AS chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 12) DESC, id) AS rank FROM s WHERE document_id = ({LARGEST})) WHERE rank <= 8")
+def narrow_scope_complete(spark, sf_dir):
+    """Every query vector in the scope of one document, the one with most chunks: a narrow scope is searched whole, its filter in the scan."""
+    name = table(spark, sf_dir, "document_chunks").groupBy("document_id").count().orderBy(F.desc("count"), "document_id").first()
+    rows = retrieval.in_scope(_chunk_vectors(spark, sf_dir), document_id=name["document_id"] if name else None)
+    return retrieval.batch_top(_query_vectors(spark, sf_dir), rows, TOP, WIDTH).select("query_id", "chunk_id", "rank")
 
 
 @query("""SELECT CASE WHEN embedding IS NULL THEN 'null' WHEN len(embedding) <> 64 THEN 'dimension' WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 'not finite'
@@ -173,15 +184,35 @@ def page_chunks(spark, sf_dir):
     return chunking.page_chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ("doc_id",)).select("doc_id", "position", F.char_length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
+CLEAN = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(replace(text, chr(0), '')), '\\r\\n?', chr(10), 'g'),
+    '[\\t\\f\\v ]+', ' ', 'g'), '(?m)^ ', '', 'g'), '(?m) $', '', 'g'), '\\n{2,}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g')"""
+WHITE = "\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}"
+
+
+@query(rf"""WITH RECURSIVE n AS (SELECT doc_id, {CLEAN} AS t FROM documents WHERE text IS NOT NULL),
+    w AS (SELECT doc_id, t, 0 AS start, 0 AS stop, false AS made FROM n WHERE t <> ''
+      UNION ALL SELECT doc_id, t, CASE WHEN made THEN greatest(start + 1, stop - 150) ELSE start END, CASE WHEN made THEN NULL ELSE
+          CASE WHEN start + 1000 >= length(t) THEN length(t)
+            WHEN contains(substr(t, start + 501, 500), chr(10) || chr(10)) THEN start + 500 + length(regexp_extract(substr(t, start + 501, 500), '^((?s:.*))\n\n', 1))
+            WHEN contains(substr(t, start + 501, 500), chr(10)) THEN start + 500 + length(regexp_extract(substr(t, start + 501, 500), '^((?s:.*))\n', 1))
+            WHEN length(regexp_extract(substr(t, start + 1, 1000), '^((?s:.*)[.!?]["'')\]]*[{WHITE}]+)', 1)) >= 500 THEN start + length(regexp_extract(substr(t, start + 1, 1000), '^((?s:.*)[.!?]["'')\]]*[{WHITE}]+)', 1))
+            WHEN contains(substr(t, start + 501, 500), ' ') THEN start + 500 + length(regexp_extract(substr(t, start + 501, 500), '^((?s:.*)) ', 1))
+            ELSE start + 1000 END END, NOT made FROM w WHERE NOT made OR stop < length(t)),
+    p AS (SELECT doc_id, start, substr(t, start + 1, stop - start) AS piece FROM w WHERE made)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS position, length(piece)::INT AS n_chars, md5(piece) AS digest FROM p WHERE regexp_matches(piece, '[^{WHITE}]')""")
+def long_line_split(spark, sf_dir):
+    """Every document cleaned and cut into windows of at most 1,000 characters with an overlap of 150, whatever its lines."""
+    return chunking.page_windows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ("doc_id",)).select("doc_id", "position", F.char_length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
+
+
 STOPS = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
 TERMS = "regexp_extract_all(strip_accents(replace(lower({0}), 'ß', 'ss')), '[\\pL\\pN_]+')"
 
 
-@query(f"SELECT term, count(*) AS n, count(DISTINCT item_id) AS items FROM (SELECT item_id, unnest({TERMS.format('text')}) AS term FROM eval_questions) WHERE length(term) > 1 GROUP BY 1")
+@query(f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents) WHERE length(term) > 1 GROUP BY 1")
 def term_counts(spark, sf_dir):
-    """Occurrences and items of every term of the evaluation texts."""
-    found = table(spark, sf_dir, "eval_questions").select("item_id", F.explode(tx.terms(F.col("text"))).alias("term"))
-    return found.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("items"))
+    """Occurrences and documents of every term of the corpus."""
+    return retrieval.term_counts(spread(table(spark, sf_dir, "documents").select("text")))
 
 
 def _vectors(name: str, source: str, key: str) -> str:
@@ -189,28 +220,28 @@ def _vectors(name: str, source: str, key: str) -> str:
     return f"""
     {name}_t AS (SELECT {key}, term, count(*) AS n FROM (SELECT {key}, unnest({TERMS.format('text')}) AS term FROM {source}) WHERE length(term) > 1 AND term NOT IN ({STOPS}) GROUP BY 1, 2),
     {name}_b AS (SELECT {key}, (('0x' || {digest}[1:8])::BIGINT % 1024)::INT AS bucket, sum(CASE WHEN ('0x' || {digest}[9:10])::INT % 2 = 1 THEN 1 ELSE -1 END * (1 + ln(n))) AS w FROM {name}_t GROUP BY 1, 2),
-    {name} AS (SELECT {key}, bucket, w / norm AS weight FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY {key})) AS norm FROM {name}_b) WHERE norm > 0 AND w <> 0)"""
+    {name}_n AS (SELECT {key}, bucket, w / norm AS weight FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY {key})) AS norm FROM {name}_b) WHERE norm > 0 AND w <> 0),
+    {name} AS (SELECT * FROM {name}_n UNION ALL SELECT {key}, (('0x' || sha256(text)[1:8])::BIGINT % 1024)::INT, 1.0 FROM {source}
+               WHERE regexp_matches(text, '[^\\s\\p{{Z}}]') AND {key} NOT IN (SELECT {key} FROM {name}_n))"""
 
 
-@query(f"WITH {_vectors('v', 'eval_questions', 'item_id')} SELECT item_id, bucket, round(weight, 6) AS weight FROM v")
+@query(f"WITH {_vectors('v', 'documents', 'doc_id')} SELECT doc_id, bucket, round(weight, 6) AS weight FROM v")
 def lexical_vectors(spark, sf_dir):
-    """Hashed term vectors of the evaluation texts, as sparse rows."""
-    return retrieval.lexical_vectors(table(spark, sf_dir, "eval_questions"), "item_id").select("item_id", "bucket", F.round("weight", 6).alias("weight"))
+    """Hashed term vectors of the corpus, as sparse rows."""
+    return retrieval.lexical_vectors(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id").select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc_id, score, rank): the 8 documents whose vectors are closest to the passage of each evaluation item."""
-    asked = retrieval.lexical_vectors(table(spark, sf_dir, "eval_questions"), "item_id").withColumnRenamed("item_id", "query_id")
-    docs = retrieval.lexical_vectors(spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")), "doc_id")
-    scored = retrieval.lexical_scores(asked, docs).withColumn("score", F.round("score", 9))
-    return retrieval.top_chunks(scored, TOP, ("query_id",), key="doc_id")
+    asked = table(spark, sf_dir, "eval_questions").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.lexical_top(asked, spread(table(spark, sf_dir, "documents").select("doc_id", "text")), TOP)
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """_ranked with whether a target of the item matches the document's title and text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "title", "text")
     targets = table(spark, sf_dir, "eval_questions").select(F.col("item_id").alias("query_id"), "targets")
-    found = _ranked(spark, sf_dir).join(docs, "doc_id").join(F.broadcast(targets), "query_id")
+    found = _ranked(spark, sf_dir).join(targets, "query_id").join(docs, "doc_id")
     hit = F.exists("targets", lambda t: F.contains(F.coalesce("title", F.lit("")), t["source"]) & F.contains(F.coalesce("text", F.lit("")), t["match"]))
     return found.withColumn("hit", hit)
 
@@ -331,14 +362,21 @@ def dominant_mode(spark, sf_dir):
     return structure.weighted_mode(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linenumber", F.col("l_quantity"))
 
 
-@query(f"""WITH {CHUNKS}, p AS (SELECT document_id, physical_page_number AS page, min(section_title) AS title, list_sort(list_distinct(list(text))) AS lines FROM k GROUP BY 1, 2),
-    n AS (SELECT *, lead(page) OVER w AS np, lead(title) OVER w AS nt, lead(lines) OVER w AS nl FROM p WINDOW w AS (PARTITION BY document_id ORDER BY page)),
-    f AS (SELECT * FROM n WHERE NOT coalesce(np = page + 1 AND nt IS NOT DISTINCT FROM title AND len(list_filter(lines, lambda x: NOT list_contains(nl, x))) = 0, false))
+@query(f"""WITH {CHUNKS}, p AS (SELECT document_id, physical_page_number AS page, min(section_title) AS title, string_split(string_agg(text, chr(10) ORDER BY chunk_position, id), chr(10)) AS lines FROM k GROUP BY 1, 2),
+    c AS (SELECT *, length(regexp_replace(array_to_string(lines, ''), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS letters FROM p),
+    n AS (SELECT *, lead(page) OVER w AS np, lead(title) OVER w AS nt, lead(lines) OVER w AS nl, lead(letters) OVER w AS nn FROM c WINDOW w AS (PARTITION BY document_id ORDER BY page)),
+    f AS (SELECT * FROM n WHERE NOT coalesce(np = page + 1 AND title <> '' AND nt = title AND (len(list_filter(lines, lambda x: NOT list_contains(nl, x))) = 0 OR (letters < 20 AND nn >= 20)), false))
     SELECT document_id, page FROM f QUALIFY row_number() OVER (PARTITION BY document_id, lines ORDER BY page) = 1""")
 def overlay_drop(spark, sf_dir):
-    """Pages that stay when overlays and repeats of a page are dropped."""
-    chunks = library.once(table(spark, sf_dir, "document_chunks").select("id", "document_id", "physical_page_number", "section_title", "text"))
-    pages = chunks.groupBy("document_id", F.col("physical_page_number").alias("page")).agg(F.min("section_title").alias("title"), F.collect_set("text").alias("lines"))
+    """Pages that stay when overlay steps and repeats of a page are dropped."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))
+    letters = F.char_length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))
+    chunks = library.once(table(spark, sf_dir, "document_chunks").filter("text is not null").select("id", "document_id", "physical_page_number", "section_title", "chunk_position", lines.alias("lines"), letters.alias("letters")))
+    pages = chunks.groupBy("document_id", F.col("physical_page_number").alias("page")).agg(
+        F.min("section_title").alias("title"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk_position", "id", "lines"))), lambda x: x["lines"])).alias("lines"),
+        F.sum("letters").alias("letters"),
+    )
     return structure.without_overlays(pages, "document_id").select("document_id", "page")
 
 
@@ -358,60 +396,106 @@ def sheet_rows(spark, sf_dir):
     return structure.numeric_rows(rows, "sheet", "cells").join(text, "sheet", "left").select("sheet", F.coalesce("text_rows", F.lit(0)).alias("text_rows"), "numeric_rows")
 
 
-@query(f"""WITH {CHUNKS}, e AS (SELECT id, x.p AS page, x.b AS b, x.l AS l FROM (SELECT id, unnest(locations) AS x FROM k) WHERE x.s < 200 AND x.e > 0)
+@query(f"""WITH {CHUNKS}, e AS (SELECT id, x.p AS page, x.b AS b, x.l AS l FROM (SELECT id, length(text) AS n, unnest(locations) AS x FROM k) WHERE x.s < n AND x.e > 0)
     SELECT id, page, count(DISTINCT b) AS boxes, count(DISTINCT l) AS lines FROM e GROUP BY 1, 2""")
 def highlights_by_page(spark, sf_dir):
-    """Distinct boxes and lines of each page that overlap the first 200 characters of a chunk."""
-    chunks = library.once(table(spark, sf_dir, "document_chunks").select("id", "locations"))
-    located = chunks.select("id", grounding.overlapping(F.col("locations"), F.lit(0), F.lit(200)).alias("locations"))
+    """Distinct boxes and lines of each page that a chunk's text stands on: what an excerpt without a verified quote shows."""
+    chunks = library.once(table(spark, sf_dir, "document_chunks").select("id", "locations", F.char_length("text").alias("n")))
+    located = chunks.select("id", grounding.overlapping(F.col("locations"), F.lit(0), F.col("n")).alias("locations"))
     return grounding.highlights(located, "id").select("id", "page", F.size("boxes").cast("long").alias("boxes"), F.size("lines").cast("long").alias("lines"))
 
 
 MESSAGES = "m AS (SELECT DISTINCT ON (id) * REPLACE (lower(trim(role)) AS role) FROM messages WHERE conversation_id IS NOT NULL AND position IS NOT NULL)"
 
 
+ALL_MESSAGES = "m AS (SELECT DISTINCT ON (id) * REPLACE (lower(trim(role)) AS role) FROM messages)"
+
+
+def _all_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.once(table(spark, sf_dir, "messages").withColumn("role", F.lower(F.trim("role"))))
+
+
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that have a place in a conversation."""
     rows = table(spark, sf_dir, "messages").filter("conversation_id is not null and position is not null")
     return library.once(rows.withColumn("role", F.lower(F.trim("role"))))
 
 
-@query(f"""WITH {MESSAGES}, c AS (SELECT id, i AS claim, payload.claims[i].citations AS sources FROM m, unnest(range(1, len(payload.claims) + 1)) AS u(i)),
+@query(f"""WITH {ALL_MESSAGES}, c AS (SELECT id, i AS claim, payload.claims[i].citations AS sources FROM m, unnest(range(1, len(payload.claims) + 1)) AS u(i)),
     s AS (SELECT id, claim, sources[j] AS source, j AS place FROM c, unnest(range(1, len(sources) + 1)) AS u(j)),
     u AS (SELECT id, claim, source, min(place) AS place FROM s GROUP BY 1, 2, 3),
     n AS (SELECT id, source, row_number() OVER (PARTITION BY id ORDER BY min((claim, place))) AS number FROM u GROUP BY 1, 2)
     SELECT id, (claim - 1)::INT AS claim, source, number FROM u JOIN n USING (id, source)""")
 def citation_numbers(spark, sf_dir):
     """Sources of every claim, numbered by first use in their answer."""
-    claims = _messages(spark, sf_dir).select("id", F.posexplode("payload.claims").alias("claim", "c")).select("id", "claim", F.col("c.citations").alias("sources"))
+    claims = _all_messages(spark, sf_dir).select("id", F.posexplode("payload.claims").alias("claim", "c")).select("id", "claim", F.col("c.citations").alias("sources"))
     return grounding.citation_numbers(claims, "id").select("id", "claim", "source", "number")
 
 
-@query(f"""WITH {MESSAGES}, c AS (SELECT id, unnest(payload.citations) AS j FROM m), p AS (SELECT id, (j->>'$.number')::INT AS number, j->>'$.document_id' AS document_id FROM c)
+@query(f"""WITH {ALL_MESSAGES}, c AS (SELECT id, unnest(payload.citations) AS j FROM m), p AS (SELECT id, (j->>'$.number')::INT AS number, j->>'$.document_id' AS document_id FROM c)
     SELECT p.id, p.number, p.document_id, d.id IS NOT NULL AS known FROM p LEFT JOIN (SELECT DISTINCT id FROM course_documents) d ON d.id = p.document_id""")
 def citation_documents(spark, sf_dir):
     """Citations parsed from JSON and looked up in the library; unknown documents stay."""
-    each = _messages(spark, sf_dir).select("id", F.explode("payload.citations").alias("j")).select("id", F.from_json("j", "number int, document_id string, excerpt string").alias("c"))
+    each = _all_messages(spark, sf_dir).select("id", F.explode("payload.citations").alias("j")).select("id", F.from_json("j", "number int, document_id string, excerpt string").alias("c"))
     known = table(spark, sf_dir, "course_documents").select(F.col("id").alias("document_id")).distinct().withColumn("known", F.lit(True))
     cited = each.select("id", "c.number", "c.document_id")
     return cited.join(known, "document_id", "left").select("id", "number", "document_id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-@query(f"""WITH {MESSAGES}, c AS (SELECT id, content, unnest(payload.citations) AS j FROM m), p AS (SELECT id, content, (j->>'$.number')::INT AS number, j->>'$.excerpt' AS quote FROM c)
-    SELECT id, number, CASE WHEN length(quote) >= 3 AND instr(content, quote) > 0 THEN instr(content, quote) - 1 END AS start FROM p WHERE content IS NOT NULL AND quote IS NOT NULL""")
+def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, content, number, quote) of every citation of every answer."""
+    each = _all_messages(spark, sf_dir).filter("content is not null").select("id", "content", F.explode("payload.citations").alias("j"))
+    return each.select("id", "content", F.from_json("j", "number int, document_id string, excerpt string").alias("c")).select("id", "content", "c.number", F.col("c.excerpt").alias("quote")).filter("quote is not null")
+
+
+BARE = "regexp_replace(strip_accents(lower({0})), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+@query(f"""WITH {ALL_MESSAGES}, c AS (SELECT id, content, unnest(payload.citations) AS j FROM m), p AS (SELECT id, content, (j->>'$.number')::INT AS number, j->>'$.excerpt' AS quote FROM c)
+    SELECT id, number, length({BARE.format('quote')}) >= 3 AND contains({BARE.format('content')}, {BARE.format('quote')}) AS exact FROM p WHERE content IS NOT NULL AND quote IS NOT NULL""")
 def quote_verify_exact(spark, sf_dir):
-    """Where the excerpt of each citation stands in its answer, character for character."""
-    each = _messages(spark, sf_dir).filter("content is not null").select("id", "content", F.explode("payload.citations").alias("j"))
-    quoted = each.select("id", "content", F.from_json("j", "number int, document_id string, excerpt string").alias("c")).select("id", "content", "c.number", F.col("c.excerpt").alias("quote")).filter("quote is not null")
-    place = F.instr("content", F.col("quote"))
-    return quoted.select("id", "number", F.when((F.char_length("quote") >= grounding.LEAST) & (place > 0), place - 1).alias("start"))
+    """Whether the excerpt of each citation stands in its answer, letter for letter and digit for digit."""
+    found = _quoted(spark, sf_dir).select("id", "number", tx.skeleton("content").alias("c"), tx.skeleton("quote").alias("q"))
+    return found.select("id", "number", ((F.char_length("q") >= grounding.LEAST) & F.contains("c", F.col("q"))).alias("exact"))
 
 
 @query()
 def quote_verify(spark, sf_dir):
-    """The same with case, accents, layout and small changes allowed: spans by letters and digits, then by similarity."""
-    each = _messages(spark, sf_dir).filter("content is not null").select("id", "content", F.explode("payload.citations").alias("j"))
-    quoted = each.select("id", "content", F.from_json("j", "number int, document_id string, excerpt string").alias("c")).select("id", "content", "c.number", F.col("c.excerpt").alias("quote")).filter("quote is not null")
-    return grounding.verified_quotes(quoted, "content", "quote").select("id", "number", "span.start", "span.end")
+    """Spans of the excerpts in their answers, by letters and digits, else by similarity."""
+    return grounding.verified_quotes(_quoted(spark, sf_dir), "content", "quote").select("id", "number", "span.start", "span.end")
+
+
+@query(f"SELECT DISTINCT id, md5({BARE.format('excerpt')}) AS digest FROM (SELECT id, unnest(payload.citations)->>'$.excerpt' AS excerpt FROM messages) WHERE excerpt IS NOT NULL")
+def skeleton_text(spark, sf_dir):
+    """The letters and digits of every cited excerpt, as a digest: what quotes are compared by."""
+    return _quoted_all(spark, sf_dir).select("id", F.md5(tx.skeleton("quote")).alias("digest")).distinct()
+
+
+def _quoted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "messages").select("id", F.explode("payload.citations").alias("j"))
+    return each.select("id", F.get_json_object("j", "$.excerpt").alias("quote")).filter("quote is not null")
+
+
+@query()
+def locate_lines(spark, sf_dir):
+    """The source lines of every chunk sought again in its text: how many there are, how many are found, and how far their text reaches."""
+    chunks = library.once(table(spark, sf_dir, "document_chunks").filter("size(locations) > 0").select("id", "text", "locations"))
+    line = lambda x: F.struct(F.substring("text", x["s"] + 1, x["e"] - x["s"]).alias("text"), x["p"].alias("p"), x["b"].alias("b"), x["l"].alias("l"))
+    found = grounding.located(chunks.select("id", "text", F.transform("locations", line).alias("lines"), F.size("locations").alias("n")), "text", "lines")
+    return found.select("id", F.col("n").alias("lines"), F.size("locations").alias("found"), F.aggregate("locations", F.lit(0), lambda most, x: F.greatest(most, x["e"])).alias("reach"))
+
+
+QUOTE = r"[.!?…][ \n]+([^.!?…]{12,})"
+
+
+@query()
+def citation_assembly(spark, sf_dir):
+    """Every chunk with locations, cited by its second sentence: the verified quote and the pages, boxes and lines it stands on."""
+    chunks = library.once(table(spark, sf_dir, "document_chunks").filter("size(locations) > 0").select("id", "text", "locations"))
+    sources = chunks.select("id", F.lit(0).alias("claim"), F.lit(0).alias("place"), F.lit(1).alias("label"), F.regexp_extract("text", QUOTE, 1).alias("quote"))
+    done = grounding.citations(sources, chunks.withColumn("label", F.lit(1)), "id")
+    count = lambda part: F.aggregate("highlights", F.lit(0), lambda n, h: n + F.size(h[part]))
+    return done.select("id", "number", F.size("quotes").alias("quotes"), F.transform("highlights", lambda h: h["page"]).alias("pages"), count("boxes").alias("boxes"), count("lines").alias("lines"))
 
 
 @query(f"""WITH {MESSAGES}, s AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY position DESC, id) AS back FROM m WHERE role = 'user' OR (role = 'assistant' AND coalesce(payload.status, '') = 'answered')),
@@ -456,11 +540,11 @@ def rewritten_searches(spark, sf_dir):
     return dialogue.restored(_messages(spark, sf_dir))
 
 
-@query(f"""WITH {MESSAGES} SELECT coalesce(payload.status, 'none') AS status, count(*) AS answers, count(*) FILTER (coalesce(len(payload.citations), 0) > 0) AS with_citations, sum(coalesce(len(payload.citations), 0))::BIGINT AS citations
+@query(f"""WITH {ALL_MESSAGES} SELECT coalesce(payload.status, 'none') AS status, count(*) AS answers, count(*) FILTER (coalesce(len(payload.citations), 0) > 0) AS with_citations, sum(coalesce(len(payload.citations), 0))::BIGINT AS citations
     FROM m WHERE role = 'assistant' GROUP BY 1""")
 def answer_scorecard(spark, sf_dir):
     """Outcomes of all answers."""
-    return dialogue.scorecard(_messages(spark, sf_dir))
+    return dialogue.scorecard(_all_messages(spark, sf_dir))
 
 
 @query("SELECT user_id, coalesce(bool_and(ok), true) AS valid FROM (SELECT user_id, event_type <> coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') AS ok FROM events) GROUP BY 1")

@@ -15,7 +15,10 @@ def test_windows_are_bounded_overlap_and_cover():
 
 def test_windows_prefer_paragraph_then_sentence():
     text = "a" * 600 + "\n\n" + "b" * 300 + ". " + "c" * 500
-    assert chunking.windows(text)[0] == "a" * 600 + "\n\n"
+    assert chunking.windows(text)[0] == "a" * 600
+    assert chunking.windows("a" * 600 + " " + "b" * 600)[:2] == ["a" * 600, "a" * 150 + " " + "b" * 600]
+    text = "a" * 498 + "." + "\n" + "b" * 800
+    assert chunking.windows(text)[0] == "a" * 498 + ".\n"  # the white space behind a sentence reaches the second half
     text = "a" * 600 + ". " + "b" * 800
     assert chunking.windows(text)[0] == "a" * 600 + ". "
 

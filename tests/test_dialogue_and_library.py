@@ -74,8 +74,10 @@ def test_structure(spark):
     lines = structure.numbered_lines(spark.createDataFrame([(1, text)], "id int, text string"), "id")
     assert [(r["line"], r["path"]) for r in structure.headings(lines, "id").orderBy("line").collect()] == [(1, "Title"), (3, "Title > One"), (7, "Title > One > Deep"), (9, "Title > Two")]
     assert [(r["first_line"], r["last_line"]) for r in structure.blocks(lines, "id").orderBy("first_line").collect()] == [(1, 7), (9, 10)]
-    pages = spark.createDataFrame([("d", 1, "t", ["a"]), ("d", 2, "t", ["a", "b"]), ("d", 3, "u", ["c"]), ("d", 4, "v", ["c"]), ("d", 6, "v", ["c", "d"])], "doc string, page int, title string, lines array<string>")
-    assert sorted(r["page"] for r in structure.without_overlays(pages, "doc").collect()) == [2, 3, 6]
+    rows = [(1, "t", ["a"], 30), (2, "t", ["a", "b"], 40), (3, "u", ["c"], 30), (4, "v", ["c"], 30), (6, "v", ["c", "d"], 30)]
+    rows += [(10, None, ["e"], 30), (11, None, ["e", "f"], 30), (20, "w", ["x"], 19), (21, "w", ["y"], 20), (30, "", ["p"], 5), (31, "", ["p", "q"], 40)]
+    pages = spark.createDataFrame([("d", *r) for r in rows], "doc string, page int, title string, lines array<string>, letters int")
+    assert sorted(r["page"] for r in structure.without_overlays(pages, "doc").collect()) == [2, 3, 6, 10, 11, 21, 30, 31]
     quiz = "\n".join(f"{i}. Question\na) x\nb) y" for i in range(1, 5))
     quiz_lines = structure.numbered_lines(spark.createDataFrame([(1, quiz), (2, "1. a\n\n\n\n2. b")], "id int, text string"), "id")
     assert [tuple(r) for r in structure.questions(quiz_lines, "id").collect()] == [(1, 4)]
