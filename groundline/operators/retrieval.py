@@ -107,13 +107,14 @@ def search(queries: DataFrame, rows: DataFrame, k: int, width: int, vectors: Cal
     """
     spark = rows.sparkSession
     slice_ = max(1, QUERY_CELLS // width)
-    number = max(1, -(-queries.count() // slice_))
+    few = queries.select("query_id", "vector").limit(slice_ + 1).toArrow()  # one pass where one slice holds them
+    number = 1 if few.num_rows <= slice_ else -(-queries.count() // slice_)
     key_type, query_type = rows.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
     schema = f"query_id {query_type}, {key} {key_type}, score double" + (f", {scope} string" if scope else "")
     out = None
     for part in range(number):
-        taken = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(number)) == part).select("query_id", "vector").orderBy("query_id").toArrow()
+        taken = few if number == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(number)) == part).select("query_id", "vector").toArrow()
         matrix = np.asarray(taken.column("vector").combine_chunks().flatten(), np.float64).reshape(-1, width)
         sent = spark.sparkContext.broadcast((taken.column("query_id").to_pylist(), unit(matrix)))
 
