@@ -20,6 +20,16 @@ def courses(documents: DataFrame) -> DataFrame:
     return documents.groupBy("subject", "course_id").agg(F.count("id").alias("documents"), F.coalesce(F.sum("page_count"), F.lit(0)).alias("pages"))
 
 
+def subjects(documents: DataFrame) -> DataFrame:
+    """(subject, courses, first_seen) of every subject; shown in order of first_seen."""
+    return documents.groupBy("subject").agg(F.countDistinct("course_id").alias("courses"), F.min("created_at").alias("first_seen"))
+
+
+def one(rows: DataFrame, value: str, key: str = "id") -> DataFrame:
+    """The row of an id, or none; the filter reaches the scan."""
+    return rows.filter(F.col(key) == value).limit(1)
+
+
 def listing(documents: DataFrame, course_id: str | None = None) -> DataFrame:
     """Documents with the title shown (the file's name where there is none) and the kind of viewer."""
     rows = documents if course_id is None else documents.filter(F.col("course_id") == course_id)

@@ -5,6 +5,7 @@ One writer at a time; a reader opens the snapshot that the pointer names, so it
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,24 +22,26 @@ class Store:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    def _current(self, table: str) -> str | None:
-        path = self._path(f"{table}/_pointer")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return None
-        return self.spark.read.text(path.toString()).orderBy(F.desc("value")).first()[0].split("\t")[1]
+    def _versions(self) -> list[tuple[str, dict[str, str]]]:
+        """The snapshots in order, each with the version of every table."""
+        path = self._path("_pointer")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return []
+        return sorted((number, json.loads(names)) for number, names in (r[0].split("\t") for r in self.spark.read.text(path.toString()).collect()))  # a line for each snapshot
 
     def read(self, table: str) -> DataFrame | None:
-        version = self._current(table)
-        return None if version is None else self.spark.read.parquet(f"{self.folder}/{table}/{version}")
+        known = self._versions()
+        return self.spark.read.parquet(f"{self.folder}/{table}/{known[-1][1][table]}") if known and table in known[-1][1] else None
 
-    def write(self, table: str, rows: DataFrame, partition: str | None = None) -> None:
-        """Write the snapshot in full, then name it current; a failure before the last step leaves the old one in place."""
-        version = uuid.uuid4().hex
-        number = self.spark.read.text(f"{self.folder}/{table}/_pointer").count() if self._current(table) else 0
-        writer = rows.write.partitionBy(partition) if partition else rows.write
-        writer.parquet(f"{self.folder}/{table}/{version}")
-        self.spark.createDataFrame([(f"{number:012d}\t{version}",)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/{table}/_pointer")
+    def write(self, tables: dict[str, tuple[DataFrame, str | None]]) -> None:
+        """Write the tables (rows, partition column) in full, then name them all current in one record, so that no reader sees half an import."""
+        known = self._versions()
+        current = dict(known[-1][1]) if known else {}
+        for table, (rows, partition) in tables.items():
+            current[table] = uuid.uuid4().hex
+            writer = rows.write.partitionBy(partition) if partition else rows.write
+            writer.parquet(f"{self.folder}/{table}/{current[table]}")
+        self.spark.createDataFrame([(f"{len(known):012d}\t{json.dumps(current)}",)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/_pointer")
 
 
 def import_documents(store: Store, documents: DataFrame, chunks: DataFrame, width: int) -> DataFrame:
@@ -68,8 +71,7 @@ def import_documents(store: Store, documents: DataFrame, chunks: DataFrame, widt
     new_chunks = chunks.join(fresh.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     old_chunks = held.join(kept.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     if not fresh.isEmpty():
-        store.write("chunks", old_chunks.select(*chunks.columns).unionByName(new_chunks), "course_id")
-        store.write("documents", all_documents)
+        store.write({"chunks": (old_chunks.select(*chunks.columns).unionByName(new_chunks), "course_id"), "documents": (all_documents, None)})
     return report
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundline.functions import text as tx
-from groundline.operators import chunking, dialogue, grounding, library, retrieval, structure
+from groundline.operators import chunking, dialogue, events, grounding, imports, library, retrieval, structure
 from groundline.operators.ordered import last_before
 from groundline.session import spread, table
+from groundline.streaming import claims
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -428,8 +429,8 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, (claim - 1)::INT AS claim, source, number FROM u JOIN n USING (id, source)""")
 def citation_numbers(spark, sf_dir):
     """Sources of every claim, numbered by first use in their answer."""
-    claims = _all_messages(spark, sf_dir).select("id", F.posexplode("payload.claims").alias("claim", "c")).select("id", "claim", F.col("c.citations").alias("sources"))
-    return grounding.citation_numbers(claims, "id").select("id", "claim", "source", "number")
+    each = _all_messages(spark, sf_dir).select("id", F.posexplode("payload.claims").alias("claim", "c")).select("id", "claim", F.col("c.citations").alias("sources"))
+    return grounding.citation_numbers(each, "id").select("id", "claim", "source", "number")
 
 
 @query(f"""WITH {ALL_MESSAGES}, c AS (SELECT id, unnest(payload.citations) AS j FROM m), p AS (SELECT id, (j->>'$.number')::INT AS number, j->>'$.document_id' AS document_id FROM c)
@@ -550,20 +551,87 @@ def answer_scorecard(spark, sf_dir):
 @query("SELECT user_id, coalesce(bool_and(ok), true) AS valid FROM (SELECT user_id, event_type <> coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') AS ok FROM events) GROUP BY 1")
 def event_order(spark, sf_dir):
     """Users whose events never repeat their type at once: the window that checks an event contract."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type")
-    checked = last_before(events, ["user_id"], "at", F.col("event_type"), "event_id", "before", size=86_400_000_000).withColumn("ok", F.col("event_type") != F.coalesce("before", F.lit("")))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type")
+    checked = last_before(rows, ["user_id"], "at", F.col("event_type"), "event_id", "before", size=86_400_000_000).withColumn("ok", F.col("event_type") != F.coalesce("before", F.lit("")))
     return checked.groupBy("user_id").agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("valid"))
 
 
 @query(f"""WITH {MESSAGES} SELECT conversation_id, count(*) AS events, bool_and(CASE WHEN before IS NULL THEN role = 'user' ELSE role <> before END) AS alternates FROM
     (SELECT *, lag(role) OVER (PARTITION BY conversation_id ORDER BY position, id) AS before FROM m WHERE role IN ('user', 'assistant')) GROUP BY 1""")
-def event_contract(spark, sf_dir):
+def turn_order(spark, sf_dir):
     """Conversations whose turns alternate, beginning with the user."""
     turns = _messages(spark, sf_dir).filter(F.col("role").isin("user", "assistant"))
     marked = last_before(turns, ["conversation_id"], "position", F.col("role"), "id", "before").withColumn("fine", F.when(F.col("before").isNull(), F.col("role") == "user").otherwise(F.col("role") != F.col("before")))
     return marked.groupBy("conversation_id").agg(F.count("*").alias("events"), F.bool_and("fine").alias("alternates"))
 
 
+EVENTS = f"""{ALL_MESSAGES}, a AS (SELECT id, payload, payload.status AS status, coalesce(len(payload.claims), 0) AS n FROM m WHERE role = 'assistant'),
+    ts AS (SELECT id, list_concat(list_concat(['conversation', 'status'], list_transform(range(n), lambda x: 'claim')),
+        CASE status WHEN 'answered' THEN ['citations', 'completed'] WHEN 'abstained' THEN ['abstention'] WHEN 'error' THEN ['error'] ELSE [] END) AS kinds FROM a),
+    ev AS (SELECT id, i - 1 AS seq, kinds[i] AS type FROM ts, unnest(range(1, len(kinds) + 1)) AS u(i))"""
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.told(_all_messages(spark, sf_dir).filter("role = 'assistant'").select("id", "payload"))
+
+
+@query(f"""WITH {EVENTS}, w AS (SELECT *, lag(type) OVER o AS before, lead(type) OVER o IS NULL AS last FROM ev WINDOW o AS (PARTITION BY id ORDER BY seq))
+    SELECT id, bool_and(CASE WHEN before IS NULL THEN type = 'conversation' WHEN before = 'conversation' THEN type IN ('status', 'abstention', 'error') WHEN before = 'status' THEN type IN ('status', 'claim', 'abstention', 'error')
+      WHEN before = 'claim' THEN type IN ('claim', 'citations', 'abstention', 'error') WHEN before = 'citations' THEN type IN ('completed', 'error') ELSE false END
+      AND (NOT last OR type IN ('completed', 'abstention', 'error'))) AS valid FROM w GROUP BY 1""")
+def event_contract(spark, sf_dir):
+    """Whether the events that each stored answer stands for follow the protocol of an answer stream."""
+    return dialogue.contract_errors(_told(spark, sf_dir), "id")
+
+
+@query(f"SELECT id, CASE WHEN status IS NULL OR status NOT IN ('answered', 'abstained', 'error') THEN 'no end' END AS fault FROM ({f'WITH {EVENTS} SELECT id, status FROM a'})")
+def stream_faults(spark, sf_dir):
+    """What a reader would reject in the streams of all stored answers, written as lines of JSON and read again."""
+    return events.faults(events.as_lines(_told(spark, sf_dir)), "id")
+
+
+@query(f"""WITH {EVENTS} SELECT id, CASE status WHEN 'answered' THEN 'answered' WHEN 'abstained' THEN 'abstained' WHEN 'error' THEN 'error' ELSE 'open' END AS status,
+    md5(CASE WHEN status = 'abstained' THEN '' ELSE coalesce(list_reduce(list_transform(payload.claims, lambda c: c.text), lambda x, y: x || chr(10) || y), '') END) AS claims FROM a WHERE n > 0
+    UNION ALL SELECT id, CASE status WHEN 'answered' THEN 'answered' WHEN 'abstained' THEN 'abstained' WHEN 'error' THEN 'error' ELSE 'open' END, md5('') FROM a WHERE n = 0""")
+def shown_answers(spark, sf_dir):
+    """What a reader holds after the events of each stored answer."""
+    return events.shown(_told(spark, sf_dir), "id").select("id", "status", F.md5(F.array_join("claims", "\n")).alias("claims"))
+
+
+@query(f"""WITH {EVENTS}, s AS (SELECT id, status AS stored, CASE WHEN status = 'answered' AND coalesce(len(payload.citations), 0) > 0 THEN 'answered' WHEN status = 'abstained' THEN 'abstained' ELSE 'error' END AS status, n, coalesce(len(payload.citations), 0) AS c FROM a)
+    SELECT stored, status, count(*) AS answers, sum(CASE WHEN status = 'answered' THEN n ELSE 0 END)::BIGINT AS claims, sum(CASE WHEN status = 'answered' THEN c ELSE 0 END)::BIGINT AS citations FROM s GROUP BY 1, 2""")
+def settled_answers(spark, sf_dir):
+    """Stored statuses beside those that the outcome gives, with the claims and citations that stay."""
+    rows = events.settled(_all_messages(spark, sf_dir).filter("role = 'assistant'").select("id", "payload"))
+    return rows.groupBy("stored", "status").agg(F.count("*").alias("answers"), F.sum("claims").cast("long").alias("claims"), F.sum("citations").cast("long").alias("citations"))
+
+
+@query(f"""WITH {EVENTS}, k AS (SELECT id, unnest(payload.citations)->>'$.number' AS label FROM a), c AS (SELECT id, i - 1 AS claim, trim(payload.claims[i].text) AS text, payload.claims[i].citations AS cited FROM a, unnest(range(1, n + 1)) AS u(i)),
+    s AS (SELECT DISTINCT c.id, claim, text, label::INT AS label FROM c, unnest(cited) AS x(label) WHERE text <> '' AND EXISTS (SELECT 1 FROM k WHERE k.id = c.id AND k.label::INT = x.label))
+    SELECT id AS answer_id, claim::INT AS claim, md5(text) AS digest, count(*)::INT AS sources FROM s GROUP BY 1, 2, 3""")
+def claims_from_json(spark, sf_dir):
+    """The claims of every stored answer, written as a model's JSON, cut into fragments and parsed again; labels without a citation are dropped."""
+    answers = _all_messages(spark, sf_dir).filter("role = 'assistant' and size(payload.claims) > 0")
+    source = lambda n: F.struct(F.concat(F.lit("S"), n.cast("string")).alias("id"))
+    written = F.to_json(F.struct(F.transform("payload.claims", lambda c: F.struct(c["text"].alias("text"), F.transform(c["citations"], source).alias("sources"))).alias("claims")))
+    pieces = answers.select(F.col("id").alias("answer_id"), written.alias("j")).select("answer_id", "j", F.posexplode(F.sequence(F.lit(1), F.char_length("j"), F.lit(40))).alias("seq", "at"))
+    evidence = answers.select(F.col("id").alias("answer_id"), F.explode("payload.citations").alias("c")).select("answer_id", F.get_json_object("c", "$.number").cast("int").alias("label"))
+    found = claims.validated(claims.parse_answers(pieces.select("answer_id", "seq", F.substring("j", F.col("at"), F.lit(40)).alias("fragment"))), evidence)
+    return found.select("answer_id", "claim", F.md5("text").alias("digest"), F.size("sources").alias("sources"))
+
+
+@query(f"WITH {DOCS} SELECT d.id, count(k.id) AS chunks FROM d LEFT JOIN (SELECT DISTINCT id, document_id FROM document_chunks) k ON k.document_id = d.id GROUP BY 1")
+def document_chunk_counts(spark, sf_dir):
+    """The chunks that the library holds of each document."""
+    return imports.chunks_of(library.once(table(spark, sf_dir, "document_chunks").select("id", "document_id")), library.once(table(spark, sf_dir, "course_documents")))
+
+
+@query(f"WITH {DOCS} SELECT subject, count(DISTINCT course_id) AS courses, epoch_us(min(created_at)) AS first_seen FROM d GROUP BY 1")
+def subjects(spark, sf_dir):
+    """The subjects of the library with their courses, by when they came."""
+    return library.subjects(library.once(table(spark, sf_dir, "course_documents"))).select("subject", "courses", F.unix_micros("first_seen").alias("first_seen"))
+
+
 @query(f"""WITH {DOCS}, {CHUNKS} SELECT k.id, md5(concat_ws('|', coalesce(d.course_id, ''), coalesce(d.title, d.source_filename, ''), coalesce(k.section_title, ''), k.physical_page_number::VARCHAR, k.text)) AS digest
     FROM k JOIN d ON d.id = k.document_id AND d.course_id = k.course_id""")
 def prompt_payload(spark, sf_dir):

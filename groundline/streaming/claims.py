@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -69,18 +70,26 @@ def _rows(answer: str, start: int, claims: list[dict], finished: bool) -> pd.Dat
 
 
 def parse_answers(fragments: DataFrame) -> DataFrame:
-    """Claims of whole answers (answer_id, seq, fragment). An answer is one response of a model, so its fragments fit into a task."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        parser, found = ClaimParser(), []
-        try:
-            for fragment in rows.drop_duplicates("seq").sort_values("seq")["fragment"]:
-                found += parser.feed(fragment or "")
-        except ValueError:
-            pass  # what closed before the fault stands, and the answer is not finished
-        return _rows(key[0], 0, found, parser.finished)
-
-    return fragments.groupBy("answer_id").applyInPandas(run, OUTPUT)
+    """Claims of whole answers (answer_id, seq, fragment). An answer is one response of a model, so its fragments fit into a row."""
+    whole = fragments.groupBy("answer_id").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("seq", "fragment")))).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for answer, parts in zip(batch.column("answer_id").to_pylist(), batch.column("parts").to_pylist()):
+                parser, found, last = ClaimParser(), [], None
+                try:
+                    for part in parts:
+                        if part["seq"] != last:
+                            found += parser.feed(part["fragment"] or "")
+                        last = part["seq"]
+                except ValueError:
+                    pass  # what closed before the fault stands, and the answer is not finished
+                rows += [(answer, n, json.dumps(c, ensure_ascii=False), parser.finished) for n, c in enumerate(found)]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["answer_id", "claim", "value", "finished"])
+
+    return whole.mapInArrow(run, OUTPUT)
 
 
 class ClaimStream(StatefulProcessor):
@@ -117,8 +126,11 @@ def claim_stream(fragments: DataFrame) -> DataFrame:
     return fragments.groupBy("answer_id").transformWithStateInPandas(ClaimStream(), OUTPUT, "Append", "None")
 
 
-def validated(claims: DataFrame) -> DataFrame:
-    """(answer_id, claim, text, sources) of usable claims: text that is not blank and known labels S<n>, each once, in order."""
+def validated(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(answer_id, claim, text, sources) of usable claims: text that is not blank and labels of evidence (answer_id, label), each once, in order."""
     parsed = claims.select("answer_id", "claim", F.from_json("value", "text string, sources array<struct<id: string, quote: string>>").alias("c"))
-    labels = F.array_distinct(F.filter(F.transform("c.sources", lambda s: F.try_element_at(F.regexp_extract_all(F.upper(F.trim(s["id"])), F.lit(r"^S(\d+)$"), 1), F.lit(1)).cast("int")), lambda n: n.isNotNull()))
-    return parsed.select("answer_id", "claim", F.col("c.text").alias("text"), labels.alias("sources")).filter((F.trim("text") != "") & (F.size("sources") > 0))
+    labels = F.transform("c.sources", lambda s: F.try_element_at(F.regexp_extract_all(F.upper(F.trim(s["id"])), F.lit(r"^S?(\d+)$"), 1), F.lit(1)).cast("int"))
+    known = evidence.groupBy("answer_id").agg(F.collect_set(F.col("label").cast("int")).alias("known"))
+    both = parsed.join(known, "answer_id")
+    sources = F.array_distinct(F.filter(labels, lambda n: F.array_contains("known", n)))
+    return both.select("answer_id", "claim", F.trim("c.text").alias("text"), sources.alias("sources")).filter((F.col("text") != "") & (F.size("sources") > 0))

@@ -5,36 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from groundline.operators import chunking, library
-from groundline.sources import files
+from groundline.operators import imports
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
-def text_chunks(raw: DataFrame, subject: str, course: str) -> DataFrame:
-    """(document_id, source, checksum, chunk_position, text) of text and Markdown files."""
-    checksum = F.sha2("content", 256)
-    rows = raw.filter(F.lower("path").rlike(r"\.(md|markdown|txt)$")).select(F.element_at(F.split("path", "/"), -1).alias("source"), checksum.alias("checksum"), files.decoded(F.col("content")).alias("text"))
-    named = rows.withColumn("document_id", library.document_id(F.lit(subject), F.lit(course), F.col("source"), F.col("checksum")))
-    return chunking.page_chunks(named, ("document_id", "source", "checksum")).select("document_id", "source", "checksum", F.col("position").alias("chunk_position"), F.col("chunk").alias("text"))
-
-
-def store(batch: DataFrame, target: str) -> None:
-    """Chunks of documents that the store does not hold yet, one folder for each document, so that a repeated batch writes the same."""
-    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(target)
+def store(batch: DataFrame, target: str, number: int) -> None:
+    """The chunks of a batch in a folder of its number, so that a repeated batch writes the same."""
+    batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
 
 def watch(spark: SparkSession, folder: str, target: str, checkpoint: str, subject: str, course: str, then: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Import what is in the folder and has not been imported; run again for what has come since."""
+    """Import what is in the folder and has not been imported; run again for what has come since. then gets the report of every file."""
     stream = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", True).load(folder)
 
-    def each(batch: DataFrame, _: int) -> None:
-        chunks = text_chunks(batch, subject, course)
-        store(chunks, target)
+    def each(batch: DataFrame, number: int) -> None:
+        chunks, report = imports.prepare(batch, subject, course)
+        store(chunks, target, number)
         if then:
-            then(chunks)
+            then(report)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

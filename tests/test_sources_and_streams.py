@@ -5,6 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from groundline.operators import events, imports
 from groundline.sources import files
 from groundline.streaming import claims, ingest
 
@@ -79,7 +80,8 @@ def test_claim_batch_and_validation(spark):
     rows = [("a", i // 7, ANSWER[i : i + 7]) for i in range(0, len(ANSWER), 7)] + [("cut", 0, ANSWER[:120]), ("bad", 0, '{"claims": [1]}'), ("none", 0, "x")]
     got = claims.parse_answers(spark.createDataFrame(rows, "answer_id string, seq int, fragment string"))
     assert sorted((r["answer_id"], r["claim"], r["finished"]) for r in got.collect()) == [("a", 0, True), ("a", 1, True), ("cut", 0, False)]
-    assert sorted((r["answer_id"], r["claim"], r["sources"]) for r in claims.validated(got).collect()) == [("a", 0, [1]), ("a", 1, [2]), ("cut", 0, [1])]
+    assert sorted((r["answer_id"], r["claim"], r["sources"]) for r in claims.validated(got, spark.createDataFrame([("a", 1), ("a", 2), ("cut", 1)], "answer_id string, label int")).collect()) == [("a", 0, [1]), ("a", 1, [2]), ("cut", 0, [1])]
+    assert claims.validated(got, spark.createDataFrame([("a", 7)], "answer_id string, label int")).count() == 0
 
 
 def test_claim_stream_waits_for_missing_fragments(spark, tmp_path):
@@ -101,12 +103,46 @@ def test_claim_stream_waits_for_missing_fragments(spark, tmp_path):
 def test_import_is_incremental(spark, tmp_path):
     folder = tmp_path / "course"
     folder.mkdir()
-    (folder / "a.md").write_text("# A\ntext")
+    (folder / "a.md").write_text("# Title\n\n## One *a*\nfirst\n\n## Two\n\n### Three\nlast")
+    (folder / "p.pdf").write_bytes(b"%PDF")
     seen = []
-    run = lambda: ingest.watch(spark, str(folder), str(tmp_path / "store"), str(tmp_path / "cp"), "s", "c", lambda b: seen.append(b.select("source").distinct().count())).awaitTermination()
+    run = lambda: ingest.watch(spark, str(folder), str(tmp_path / "store"), str(tmp_path / "cp"), "s", "c", lambda b: seen.extend(tuple(r) for r in b.collect())).awaitTermination()
     run()
     (folder / "b.txt").write_text("more text")
+    (folder / "c.txt").write_text(" ")
+    (folder / "d.exe").write_text("x")
     run()
-    assert sum(seen) == 2
-    stored = spark.read.parquet(str(tmp_path / "store"))
-    assert sorted(r["source"] for r in stored.select("source").distinct().collect()) == ["a.md", "b.txt"]
+    assert sorted(seen) == [("a.md", "prepared", 2), ("b.txt", "prepared", 1), ("c.txt", "no text", 0), ("d.exe", "unsupported", 0), ("p.pdf", "no reader", 0)]
+    stored = spark.read.parquet(str(tmp_path / "store")).orderBy("source", "chunk_position").collect()
+    assert [(r["source"], r["chunk_position"], r["section_title"], r["text"]) for r in stored] == [("a.md", 0, "One a", "One a\nfirst"), ("a.md", 1, "Two > Three", "Three\nlast"), ("b.txt", 0, None, "more text")]
+
+
+def test_plain_dividers_need_company(spark):
+    rows = [("d", 1, None, None, ["A"]), ("d", 2, "plain", "Practice", []), ("d", 3, None, None, ["B"])] + [("e", p, "plain" if p % 2 else None, f"P{p}", []) for p in range(1, 5)]
+    got = {(r["doc"], r["page"]): r["section_title"] for r in imports.with_sections(spark.createDataFrame(rows, "doc string, page int, kind string, title string, heading_path array<string>"), "doc", ["page"]).collect()}
+    assert got == {("d", 1): "A", ("d", 2): "A", ("d", 3): "B", ("e", 1): "P1", ("e", 2): "P1", ("e", 3): "P3", ("e", 4): "P3"}
+
+
+def test_event_streams(spark):
+    kind = "id string, payload struct<status: string, claims: array<struct<text: string, citations: array<int>>>, citations: array<string>>"
+    answers = [("a", ("answered", [("x", [1]), ("y", [1])], ["{}"])), ("b", ("answered", [("x", [1])], [])), ("c", ("abstained", [("x", [1])], None)), ("d", ("error", [("x", [1])], None)), ("e", None), ("f", (None, None, None))]
+    messages = spark.createDataFrame(answers, kind)
+    told = events.told(messages)
+    assert [r["type"] for r in told.filter("id = 'a'").orderBy("seq").collect()] == ["conversation", "status", "claim", "claim", "citations", "completed"]
+    got = {r["id"]: (r["status"], r["claims"]) for r in events.shown(told, "id").collect()}
+    assert got == {"a": ("answered", ["x", "y"]), "b": ("answered", ["x"]), "c": ("abstained", []), "d": ("error", ["x"]), "e": ("open", []), "f": ("open", [])}
+    got = {r["id"]: (r["status"], r["claims"], r["citations"]) for r in events.settled(messages).collect()}
+    assert got == {"a": ("answered", 2, 1), "b": ("error", 0, 0), "c": ("abstained", 0, 0), "d": ("error", 0, 0), "e": ("error", 0, 0), "f": ("error", 0, 0)}
+    lines = events.as_lines(told).select("id", "seq", "line")
+    extra = [("a", 9, '{"version": 2, "type": "status"}'), ("c", 1, '{"version": 2, "type": "status", "colour": "red"}'), ("g", 0, "no json"), ("g", 1, '{"version": 2, "type": "error"}'), ("h", 0, '{"version": 1, "type": "error"}')]
+    got = {r["id"]: r["fault"] for r in events.faults(lines.unionByName(spark.createDataFrame(extra, "id string, seq int, line string")), "id").collect()}
+    assert got == {"a": "event after the end", "b": None, "c": "not an event", "d": None, "e": "no end", "f": "no end", "g": "not an event", "h": "not an event"}
+
+
+def test_small_rules(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a **b** **c", "x *y* `z`")], "t string, h string")
+    assert tuple(rows.select(events.balanced_emphasis(F.col("t")), imports.plain_heading(F.col("h"))).first()) == ("a b c", "x y z")
+    scopes = spark.createDataFrame([((None, "c", None), (None, "c", None)), (("s", "c", None), (None, "c", None))], "a struct<subject: string, course_id: string, document_id: string>, b struct<subject: string, course_id: string, document_id: string>")
+    assert [r[0] for r in scopes.select(events.same_scope(F.col("a"), F.col("b"))).collect()] == [True, False]
