@@ -1,8 +1,9 @@
 """Problem 6: encode every text of a corpus with a public byte-level BPE vocabulary.
 
-Pre-tokenisation works on whole blocks of texts at once. Every code point gets a class, a five-state machine is run over the classes as
-an associative scan, and the state before a code point, its class and the class after it tell whether a piece starts there. Pieces are
-slices of the UTF-8 buffer; each distinct piece is merged once per worker and then looked up.
+Pre-tokenisation works on whole blocks of texts at once. Every code point gets a class, a nine-state machine is run over the classes as an
+associative scan (runs, blanks that are glued to what follows, and contractions, which only an apostrophe that begins a piece can open),
+and the state before a code point with its class tells whether a piece starts there. Pieces are slices of the UTF-8 buffer; each distinct
+piece is merged once per worker and then looked up. The vocabulary is read once by the driver and sent to the workers (1 MB).
 
 Defined results: a null text and an empty text give an empty list; text that spells a special token is ordinary text; equal texts give
 equal lists; other columns are not read. One row comes out for every row that goes in.
@@ -14,9 +15,12 @@ import base64
 import os
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +34,10 @@ CACHE = 400_000
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
 
-LETTER, NUMBER, OTHER, BLANK, SPACE, END = range(6)  # classes; BLANK is the plain space, END lies between two texts
-START, IN_LETTER, IN_NUMBER, IN_OTHER, IN_SPACE = range(5)  # states: what the code point before was
+# classes; BLANK is the plain space, END lies between two texts, SHORT and LONG are letters that can end or go on with a contraction
+LETTER, NUMBER, OTHER, BLANK, SPACE, END, APOSTROPHE, SHORT, LONG = range(9)
+# states: what the code point before was; MARK is an apostrophe that begins a piece, HALF and DONE lie inside and behind a contraction
+START, IN_LETTER, IN_NUMBER, IN_OTHER, IN_SPACE, GLUE, MARK, HALF, DONE = range(9)
 
 
 @cache
@@ -40,62 +46,82 @@ def classes() -> np.ndarray:
     out = np.full(0x110000, OTHER, np.uint8)
     out[major == ord("L")], out[major == ord("N")] = LETTER, NUMBER
     out[list(WHITE)] = SPACE
-    out[0x20] = BLANK
+    out[0x20], out[ord("'")] = BLANK, APOSTROPHE
+    out[[ord(c) for c in CONTRACTIONS if len(c) == 1]] = SHORT
     return out
 
 
+def _step(kind: int, state: int) -> int:
+    if state == HALF and kind in (LETTER, SHORT, LONG):
+        return DONE
+    if state == MARK and kind in (SHORT, LONG):
+        return DONE if kind == SHORT else HALF
+    if kind == APOSTROPHE:
+        return IN_OTHER if state in (IN_OTHER, MARK, GLUE) else MARK
+    return {NUMBER: IN_NUMBER, OTHER: IN_OTHER, BLANK: GLUE, SPACE: IN_SPACE, END: START}.get(kind, IN_LETTER)
+
+
+def _begins(kind: int, state: int) -> bool:
+    goes_on = {
+        LETTER: (IN_LETTER, GLUE, HALF),
+        NUMBER: (IN_NUMBER, GLUE),
+        OTHER: (IN_OTHER, MARK, GLUE),
+        APOSTROPHE: (IN_OTHER, MARK, GLUE),
+        BLANK: (IN_SPACE, GLUE),
+        SPACE: (IN_SPACE, GLUE),
+        END: (),
+    }
+    return state not in goes_on.get(kind, (IN_LETTER, GLUE, HALF, MARK))
+
+
 @cache
-def machine() -> np.ndarray:
-    """The next state by class; every state leads to the same one, except that END starts anew."""
-    to = {LETTER: IN_LETTER, NUMBER: IN_NUMBER, OTHER: IN_OTHER, BLANK: IN_SPACE, SPACE: IN_SPACE, END: START}
-    return np.array([[to[c]] * 5 for c in range(6)], np.uint8)
+def machine() -> tuple[np.ndarray, np.ndarray]:
+    """(the next state, whether a piece starts) by class and state before."""
+    pairs = [[(k, s) for s in range(9)] for k in range(9)]
+    return np.array([[_step(*p) for p in row] for row in pairs], np.uint8), np.array([[_begins(*p) for p in row] for row in pairs])
 
 
 def piece_starts(flat: Flat) -> np.ndarray:
     """True at every code point where a piece starts, and at every separator."""
     kind = classes()[flat.cps]
     kind[flat.seps] = END
-    before = scan(machine(), kind)
+    following = np.append(flat.cps[1:], 0)
+    for word in CONTRACTIONS:
+        if len(word) == 2:
+            kind[(flat.cps == ord(word[0])) & (following == ord(word[1]))] = LONG
+    steps, begins = machine()
+    starts = begins[kind, scan(steps, kind)]
     white = (kind == BLANK) | (kind == SPACE)
-    after = np.append(kind[1:], END)
-    ends_run = white & (after < BLANK)  # the last white space before a visible code point stands apart from its run
-    starts = (before != np.array([IN_LETTER, IN_NUMBER, IN_OTHER, IN_SPACE, IN_SPACE, 255])[kind]) | ends_run
-    starts[1:] &= ~((kind[:-1] == BLANK) & (kind[1:] < BLANK))  # a plain space is glued to what follows
-    mark = np.flatnonzero((flat.cps == ord("'")) & starts)
-    if len(mark):
-        cps, size = np.append(flat.cps, np.zeros(3, np.uint32)), np.zeros(len(mark), np.int64)
-        for word in CONTRACTIONS:
-            hit = (size == 0) & np.logical_and.reduce([cps[mark + 1 + i] == ord(c) for i, c in enumerate(word)])
-            size[hit] = len(word)
-        mark, size = mark[size > 0], size[size > 0]
-        starts[mark + 1] = False
-        starts[mark[size == 2] + 2] = False
-        starts[mark + 1 + size] = True
-    starts[flat.seps] = True
-    return starts
+    visible = np.append(~white[1:] & (kind[1:] != END), False)
+    return starts | (white & visible)  # the last white space before a visible code point stands apart from its run
 
 
-@cache
-def ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
-        return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
+def ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in data.splitlines() if line.strip())}
 
 
 def merge(piece: bytes, rank: dict[bytes, int]) -> list[int]:
-    """Pair merging as defined: the adjacent pair of least rank first, the leftmost among equals."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: rank.get(parts[i] + parts[i + 1], 1 << 60))
-        if parts[best] + parts[best + 1] not in rank:
-            break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
-    return [rank[p] for p in parts]
-
-
-@cache
-def merger(path: str):
+    """Pair merging as defined: the adjacent pair of least rank first, the leftmost among equals; n log n in the length of the piece."""
+    parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
+    left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+    waiting = [(rank[a + b], i, len(a + b)) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank]
+    heapify(waiting)
+    while waiting:
+        _, i, size = heappop(waiting)
+        j = right[i]
+        if parts[i] is None or j >= len(parts) or len(parts[i]) + len(parts[j]) != size:
+            continue  # one of both has grown or gone since
+        parts[i], parts[j], right[i] = parts[i] + parts[j], None, right[j]
+        if right[j] < len(parts):
+            left[right[j]] = i
+        for a, b in ((left[i], i), (i, right[i])):
+            if a >= 0 and b < len(parts) and parts[a] + parts[b] in rank:
+                heappush(waiting, (rank[parts[a] + parts[b]], a, len(parts[a]) + len(parts[b])))
+    return [rank[p] for p in parts if p is not None]
+
+
+def merger(rank: dict[bytes, int]):
     """The merge of one piece: the compiled one where its library is there, else the plain one above."""
-    rank = ranks(path)
     try:
         import tiktoken
 
@@ -108,9 +134,9 @@ def merger(path: str):
 class Pieces(dict):
     """Piece -> its number; the ids of all pieces lie in one array, so that a block is encoded by two lookups."""
 
-    def __init__(self, path: str):
+    def __init__(self, merge):
         super().__init__()
-        self.merge, self.ids, self.first = merger(path), [], [0]
+        self.merge, self.ids, self.first = merge, [], [0]
 
     def __missing__(self, piece: bytes) -> int:
         self.ids += self.merge(piece)
@@ -119,12 +145,42 @@ class Pieces(dict):
         return number
 
 
+class Vocabulary:
+    """A vocabulary with the pieces that a worker has merged."""
+
+    def __init__(self, data: bytes):
+        self.merge = merger(ranks(data))
+        self.pieces = Pieces(self.merge)
+
+    def known(self) -> Pieces:
+        if len(self.pieces) > CACHE:
+            self.pieces = Pieces(self.merge)
+        return self.pieces
+
+
+@cache
+def read(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
+
 @cache
-def _pieces(path: str) -> list[Pieces]:
-    return [Pieces(path)]
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(read(path))
 
 
-def encode_block(texts: list[str | None], path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_KEPT: dict[str, Vocabulary] = {}
+
+
+def _sent_vocabulary(name: str, sent: Broadcast) -> Vocabulary:
+    """The vocabulary of a broadcast, built once in a worker and kept until another one comes."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Vocabulary(sent.value)
+    return _KEPT[name]
+
+
+def encode_block(texts: list[str | None], words: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids of all texts, offsets of each text in them, for every id the code point at which its piece starts in its text)."""
     flat = Flat(texts)
     at = np.flatnonzero(piece_starts(flat))
@@ -136,10 +192,7 @@ def encode_block(texts: list[str | None], path: str = VOCABULARY) -> tuple[np.nd
     cut = place[at].tolist()
     cut.append(len(data))
     slices = [data[a:b] for a, b, r in zip(cut, cut[1:], real.tolist()) if r]
-    kept = _pieces(path)
-    if len(kept[0]) > CACHE:
-        kept[0] = Pieces(path)
-    known = kept[0]
+    known = (words or vocabulary(VOCABULARY)).known()
     number = np.fromiter(map(known.__getitem__, slices), np.int64, len(slices))
     first, pool = np.array(known.first), np.array(known.ids, np.int32)
     count = first[number + 1] - first[number]
@@ -153,9 +206,12 @@ def encode_block(texts: list[str | None], path: str = VOCABULARY) -> tuple[np.nd
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, offsets: bool = False) -> DataFrame:
     """(key, ids) for every row, and with ``offsets`` the code point where the piece of each id starts. Nothing is shuffled."""
 
+    sent, name = docs.sparkSession.sparkContext.broadcast(read(path)), uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _sent_vocabulary(name, sent)
         for block in blocks(batches, text):
-            ids, ends, at = encode_block(block.column(text).to_pylist(), path)
+            ids, ends, at = encode_block(block.column(text).to_pylist(), words)
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v.astype(np.int32))) for v in ([ids, at] if offsets else [ids])]
             yield pa.RecordBatch.from_arrays([block.column(key), *lists], [key, "ids", "offsets"][: 1 + len(lists)])
 
@@ -170,4 +226,4 @@ def decode(ids: list[int], path: str = VOCABULARY) -> str:
 
 @cache
 def _bytes_of(path: str) -> dict[int, bytes]:
-    return {rank: piece for piece, rank in ranks(path).items()}
+    return {rank: piece for piece, rank in ranks(read(path)).items()}

@@ -10,7 +10,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 @pytest.fixture(scope="module")
 def reference():
-    return tiktoken.Encoding("ref", pat_str=PATTERN, mergeable_ranks=tokens.ranks(tokens.VOCABULARY), special_tokens={})
+    return tiktoken.Encoding("ref", pat_str=PATTERN, mergeable_ranks=tokens.ranks(tokens.read(tokens.VOCABULARY)), special_tokens={})
 
 
 def noise(seed, n, most):
@@ -30,8 +30,9 @@ def test_blocks_equal_the_regex_tokenizer(reference):
 
 
 def test_plain_merge_equals_compiled():
-    rank, compiled = tokens.ranks(tokens.VOCABULARY), tokens.merger(tokens.VOCABULARY)
-    for text in ("hello", " unbelievable", "Straßenbahn", "中文字符", "aaaaaaaaaaaa"):
+    rank = tokens.ranks(tokens.read(tokens.VOCABULARY))
+    compiled = tokens.merger(rank)
+    for text in ("hello", " unbelievable", "Straßenbahn", "中文字符", "aaaaaaaaaaaa", *(t.replace(" ", "") for t in noise(5, 200, 30) if t.strip())):
         assert tokens.merge(text.encode(), rank) == list(compiled(text.encode()))
 
 
