@@ -2,8 +2,9 @@
 
 A channel's rows are put in order by a clock and split into sessions wherever the clock jumps by more than a gap; roles are brought to
 one writing; a session without reciprocal replies is dropped. Where rows carry a position, position is the clock and 1 the gap, so that a
-skipped position is a break (``verdicts`` and ``conversations``); where only times are known, ``sessions`` splits at a gap calibrated from
-all pauses. No channel is ever collected: checks are partial aggregates, and running values go over blocks of the clock.
+skipped position is a break, and a conversation of more than one session is dropped (``verdicts`` and ``conversations``); where only times
+are known, ``turns`` and ``sessions`` split at a gap calibrated from all pauses, infer missing roles from the turns beside them, and drop
+sessions in which not both sides speak. No channel is ever collected: checks are partial aggregates, and windows run inside blocks of the clock.
 
 Defined results: copies of a row (one id) count once; rows without a channel belong to no conversation; null, repeated or skipped
 positions, other roles, and contents without a letter or digit make a conversation untrusted; an empty table drops every id of the other.
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 USER, ASSISTANT = "user", "assistant"
+#: Positions in one block of the clock.
+BLOCK = 1024
 #: Bins per doubling of the pause, in the histogram from which the gap is calibrated.
 BINS = 2
 
@@ -46,12 +49,13 @@ def verdicts(messages: DataFrame, conversations: DataFrame) -> DataFrame:
         F.count_if(F.col("role") == ASSISTANT).alias("a"),
         F.count_if(~F.col("says")).alias("silent"),
     )
-    total = places.groupBy("conversation_id").agg(
+    placed = paused(places.filter("position is not null").withColumn("block", F.floor(F.col("position") / BLOCK)), "conversation_id", "position")
+    total = placed.unionByName(places.filter("position is null").withColumns({"block": F.lit(None).cast("long"), "pause": F.lit(None).cast("double")})).groupBy("conversation_id").agg(
         F.sum("n").alias("n"),
         F.count("position").alias("places"),
         F.count_if(F.col("position").isNull()).alias("nulls"),
         F.min("position").alias("first_position"),
-        F.max("position").alias("last"),
+        F.count_if(F.col("pause") > 1).alias("breaks"),
         F.sum(F.when(odd == 0, F.col("u")).otherwise(F.col("a"))).alias("even_first"),
         F.sum(F.when(odd == 1, F.col("u")).otherwise(F.col("a"))).alias("odd_first"),
         F.sum("silent").alias("silent"),
@@ -63,7 +67,7 @@ def verdicts(messages: DataFrame, conversations: DataFrame) -> DataFrame:
         .when(F.col("listed").isNull(), "not listed")
         .when(F.col("nulls") > 0, "position missing")
         .when(F.col("n") > F.col("places"), "position repeated")
-        .when(F.col("last") - F.col("first_position") + 1 != F.col("places"), "position skipped")
+        .when(F.col("breaks") > 0, "position skipped")
         .when((fits != F.col("n")) | (F.col("n") % 2 != 0), "no reciprocal replies")
         .when(F.col("silent") > 0, "empty content")
     )
@@ -77,17 +81,22 @@ def conversations(messages: DataFrame, listed: DataFrame) -> DataFrame:
     return rows.join(kept, "conversation_id").select("conversation_id", (F.col("position") - F.col("first_position")).alias("turn"), "role", "content", "created_at")
 
 
-def paced(messages: DataFrame, channel: str = "conversation_id", clock: str = "created_at", block: str = "day") -> DataFrame:
-    """Each distinct message with the seconds since the one before it in its channel (null for the first).
+def paused(rows: DataFrame, channel: str, clock: str, tie: str | None = None) -> DataFrame:
+    """rows (channel, clock, block) with pause: the clock since the row before in the channel, null for the first.
 
-    Windows run inside (channel, block of time); the last time of the block before comes from the table of blocks.
+    Windows run inside (channel, block of the clock); the last clock of the block before comes from the table of blocks.
     """
-    rows = distinct_messages(messages, F.col(channel).alias("channel"), F.col(clock).alias("at"), role_of(F.col("role")).alias("role")).filter("channel is not null and at is not null").withColumn("block", F.date_trunc(block, "at"))
-    ends = rows.groupBy("channel", "block").agg(F.max("at").alias("end"))
-    earlier = ends.select("channel", "block", F.lag("end").over(Window.partitionBy("channel").orderBy("block")).alias("earlier"))
-    inside = Window.partitionBy("channel", "block").orderBy("at", F.col("id").asc_nulls_first())
-    before = F.coalesce(F.lag("at").over(inside), F.col("earlier"))
-    return rows.join(earlier, ["channel", "block"]).withColumn("pause", F.col("at").cast("double") - before.cast("double"))
+    ends = rows.groupBy(channel, "block").agg(F.max(clock).alias("end"))
+    earlier = ends.select(channel, "block", F.lag("end").over(Window.partitionBy(channel).orderBy("block")).alias("earlier"))
+    inside = Window.partitionBy(channel, "block").orderBy(clock, *([F.col(tie).asc_nulls_first()] if tie else []))
+    before = F.coalesce(F.lag(clock).over(inside), F.col("earlier"))
+    return rows.join(earlier, [channel, "block"]).withColumn("pause", F.col(clock).cast("double") - before.cast("double")).drop("earlier")
+
+
+def paced(messages: DataFrame, channel: str = "conversation_id", clock: str = "created_at", block: str = "day") -> DataFrame:
+    """Each distinct message with the seconds since the one before it in its channel."""
+    rows = distinct_messages(messages, F.col(channel).alias("channel"), F.col(clock).alias("at"), role_of(F.col("role")).alias("role")).filter("channel is not null and at is not null")
+    return paused(rows.withColumn("block", F.date_trunc(block, "at")), "channel", "at", "id")
 
 
 def calibrated_gap(paced_rows: DataFrame) -> float:
@@ -109,17 +118,36 @@ def calibrated_gap(paced_rows: DataFrame) -> float:
     return gap
 
 
-def sessions(messages: DataFrame, gap: float | None = None) -> DataFrame:
-    """(conversation_id, session, messages, started, ended, reciprocal) by time alone; a session is reciprocal if both roles speak."""
+def turns(messages: DataFrame, gap: float | None = None) -> DataFrame:
+    """(conversation_id, session, at, id, role, inferred) of every message by time alone, in order of (at, id); sessions count from 0.
+
+    A role that is missing or unknown is inferred by alternation from the nearest known turn before it in its session and block of time,
+    else from the nearest after it; where there is none it stays null.
+    """
     rows = paced(messages)
     gap = calibrated_gap(rows) if gap is None else gap
     rows = rows.withColumn("opens", F.coalesce(F.col("pause") > gap, F.lit(True)).cast("int"))
     blocks = rows.groupBy("channel", "block").agg(F.sum("opens").alias("opened"))
     running = F.sum("opened").over(Window.partitionBy("channel").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     offset = blocks.select("channel", "block", F.coalesce(running, F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("channel", "block").orderBy("at", F.col("id").asc_nulls_first())
-    numbered = rows.withColumn("in_block", F.sum("opens").over(inside)).join(offset, ["channel", "block"])
-    return (
-        numbered.groupBy(F.col("channel").alias("conversation_id"), (F.col("offset") + F.col("in_block") - 1).alias("session"))
-        .agg(F.count("*").alias("messages"), F.min("at").alias("started"), F.max("at").alias("ended"), ((F.count_if(F.col("role") == USER) > 0) & (F.count_if(F.col("role") == ASSISTANT) > 0)).alias("reciprocal"))
+    by_time = ("at", F.col("id").asc_nulls_first())
+    inside = Window.partitionBy("channel", "block").orderBy(*by_time)
+    numbered = rows.withColumn("in_block", F.sum("opens").over(inside)).withColumn("n", F.row_number().over(inside)).join(offset, ["channel", "block"])
+    numbered = numbered.withColumn("session", F.col("offset") + F.col("in_block") - 1)
+    w = Window.partitionBy("channel", "block", "session").orderBy(*by_time)
+    said = F.when(F.col("role").isin(USER, ASSISTANT), F.struct("n", "role"))
+    before = F.last(said, ignorenulls=True).over(w)
+    after = F.first(said, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    near = F.coalesce("before", "after")
+    other = F.when(near["role"] == USER, ASSISTANT).otherwise(USER)
+    role = F.when(near.isNotNull(), F.when((F.col("n") - near["n"]) % 2 == 0, near["role"]).otherwise(other))
+    known = numbered.withColumn("before", before).withColumn("after", after)
+    return known.select(F.col("channel").alias("conversation_id"), "session", "at", "id", role.alias("role"), (~F.coalesce(F.col("role").isin(USER, ASSISTANT), F.lit(False))).alias("inferred"))
+
+
+def sessions(messages: DataFrame, gap: float | None = None) -> DataFrame:
+    """(conversation_id, session, messages, inferred, started, ended) of the sessions, by time alone, in which both roles speak."""
+    both = turns(messages, gap).groupBy("conversation_id", "session").agg(
+        F.count("*").alias("messages"), F.count_if(F.col("inferred") & F.col("role").isNotNull()).alias("inferred"), F.min("at").alias("started"), F.max("at").alias("ended"), F.count_if(F.col("role") == USER).alias("u"), F.count_if(F.col("role") == ASSISTANT).alias("a")
     )
+    return both.filter("u > 0 and a > 0").drop("u", "a")

@@ -49,10 +49,25 @@ def test_sessions_split_at_the_calibrated_gap(spark):
             at += timedelta(seconds=50)
         at += timedelta(hours=9)
     got = dialogues.sessions(messages(spark, rows)).orderBy("session").collect()
-    assert [(r["session"], r["messages"], r["reciprocal"]) for r in got] == [(0, 4, True), (1, 4, True), (2, 4, False)]
+    assert [(r["session"], r["messages"]) for r in got] == [(0, 4), (1, 4)]  # in the third only the user speaks
     assert 60 < dialogues.calibrated_gap(dialogues.paced(messages(spark, rows))) < 32_400
 
 
+def test_missing_roles_are_inferred_by_alternation(spark):
+    at = lambda n: T0 + timedelta(seconds=n)
+    rows = [(str(i), "c", None, r, "x", None, at(i)) for i, r in enumerate((None, "assistant", "?", " User ", None, None))] + [(f"d{i}", "d", None, None, "x", None, at(i)) for i in range(3)]
+    got = {r["id"]: (r["role"], r["inferred"]) for r in dialogues.turns(messages(spark, rows), 100.0).collect()}
+    assert [got[str(i)] for i in range(6)] == [("user", True), ("assistant", False), ("user", True), ("user", False), ("assistant", True), ("user", True)]
+    assert got["d0"] == (None, True) and [(r["conversation_id"], r["inferred"]) for r in dialogues.sessions(messages(spark, rows), 100.0).collect()] == [("c", 4)]
+
+
+def test_positions_over_blocks_of_the_clock(spark, monkeypatch):
+    monkeypatch.setattr(dialogues, "BLOCK", 4)
+    rows = [turn(c, p, "user" if p % 2 == 0 else "assistant") for c, places in (("ok", range(22)), ("gap", [*range(8), *range(10, 22)])) for p in places]
+    got = {r["conversation_id"]: r["reason"] for r in dialogues.verdicts(messages(spark, rows), spark.createDataFrame([("ok",), ("gap",)], "id string")).collect()}
+    assert got == {"ok": None, "gap": "position skipped"}
+
+
 def test_defects(spark):
     rows, n = [], 0
 
