@@ -23,6 +23,8 @@ from groundline.session import checkpoint
 
 #: Rows of (id, fingerprint) that are broadcast at most; beyond it the texts are shuffled to them instead.
 BROADCAST_ROWS = 500_000
+#: Characters of changed forms that are broadcast at most.
+BROADCAST_CHARS = 64_000_000
 
 # Letters of the Greek and Cyrillic alphabets, and signs, that are drawn like Latin ones.
 ALIKE = {
@@ -111,11 +113,19 @@ def classes(rows: DataFrame) -> DataFrame:
     )
 
 
+def changed(values: DataFrame) -> DataFrame:
+    """(id, h, canonical) of the rows of values (id, value) whose value has another form; h is the hash of the value as stored. Written once."""
+    found = classes(suspects(values)).filter("canonical <> value")
+    return checkpoint(found.select("id", F.xxhash64("value").alias("h"), "canonical").distinct())
+
+
 def canonical(values: DataFrame) -> DataFrame:
-    """(id, value, canonical) for every row of values (id, value): the whole column in one form."""
-    values = values.select("id", "value")
-    changed = classes(suspects(values)).select("id", "value", "canonical").distinct()
-    return values.join(changed, ["id", "value"], "left").select("id", "value", F.coalesce("canonical", "value").alias("canonical"))
+    """(id, value, canonical) for every row of values (id, value): the whole column in one form. Rows are joined by (id, hash), and stay
+    where they are while the changed forms are few enough to be sent to them."""
+    rows = changed(values)
+    size = rows.agg(F.sum(F.char_length("canonical") + F.length("id") + 16)).first()[0] or 0
+    rows = F.broadcast(rows) if size <= BROADCAST_CHARS else rows
+    return values.select("id", "value", F.xxhash64("value").alias("h")).join(rows, ["id", "h"], "left").select("id", "value", F.coalesce("canonical", "value").alias("canonical"))
 
 
 def pairs(members: DataFrame) -> DataFrame:
