@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundline.functions.codepoints import Flat, blocks
+from groundline.llm.codepoints import Flat, blocks
 
 #: Lengths of a piece in skeleton characters, for scripts with spaces and for those without.
 PIECE, DENSE_PIECE = 6, 3

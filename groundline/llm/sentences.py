@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundline.functions.codepoints import Flat, blocks, categories, general, scan
+from groundline.llm.codepoints import Flat, blocks, categories, general, scan
 
 # Marks that end a sentence where white space follows, marks that end it at once, and what opens and closes a passage.
 SPACED, TIGHT = ".!?…؟۔।॥．", "。！？｡"

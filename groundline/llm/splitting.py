@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundline.functions.codepoints import Flat, blocks, general
+from groundline.llm.codepoints import Flat, blocks, general
 
 SIZE, OVERLAP = 1000, 150
 

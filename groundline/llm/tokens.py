@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundline.functions.codepoints import Flat, blocks, general, scan
+from groundline.llm.codepoints import Flat, blocks, general, scan
 
 VOCABULARY = os.environ.get("GROUNDLINE_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 #: Distinct pieces that a worker keeps; beyond this the cache starts anew, which costs time and changes no result.

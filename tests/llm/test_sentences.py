@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from groundline.functions.codepoints import scan
+from groundline.llm.codepoints import scan
 from groundline.llm import sentences
 
 CASES = {
