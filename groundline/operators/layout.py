@@ -1,17 +1,12 @@
 """Pages from laid-out lines: body size, margins, titles, sections and items, over (doc_id, page, idx, text, size, top, bottom, block, highlighted).
 
-The lines come from a decoder outside (``sources.files.LAYOUT_LINES`` is its contract); all that follows are windows and joins, but for
-the joining of wrapped lines, which folds over the lines of one page.
+The lines come from a decoder outside (``sources.files.LAYOUT_LINES`` is its contract); all that follows are windows, groups and joins.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from groundline.functions.text import nfc, squeeze
 
@@ -20,9 +15,9 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 MARGIN, HEADING, SAME_SIZE, TITLE_AREA, SMALL_SPAN, SHIFT = 0.12, 1.2, 0.5, 0.35, 0.85, 0.1
 PAGE_NUMBER = r"^(page\s*)?\d{1,4}(\s*(/|sur|of)\s*\d{1,4})?$"
 # Bullets (dashes need a space after them), beginnings of questions and of their options, and the marks of highlighted lines.
-_BULLET = re.compile(r"^(?:[•‣⁃∙▪▫■□●○◦▶▷▸►◆♦➢➤➔✓✔☐\uf0a7\uf0a8\uf0b7\uf0d8\uf076\uf06c\uf0fc·]\s*|[*–—>-]\s+)")
-_QUESTION = re.compile(r"^(\d{1,3})\s*[.)]\s+\S")
-_OPTION = re.compile(r"^[A-Ha-h]\s*[.)]\s+\S")
+BULLET = r"^(?:[•‣⁃∙▪▫■□●○◦▶▷▸►◆♦➢➤➔✓✔☐\uf0a7\uf0a8\uf0b7\uf0d8\uf076\uf06c\uf0fc·]\s*|[*–—>-]\s+)"
+QUESTION = r"^\d{1,3}\s*[.)]\s+\S"
+OPTION = r"^[A-Ha-h]\s*[.)]\s+\S"
 MARKED_OPTION, MARKED = " ✔ (réponse surlignée)", " [surligné]"
 PAGE = ["doc_id", "page"]
 
@@ -110,40 +105,83 @@ def highlighted(lines: DataFrame, notes: DataFrame) -> DataFrame:
     return lines.drop("highlighted").join(on_page, PAGE, "left").withColumn("highlighted", F.coalesce(F.exists("notes", covers), F.lit(False))).drop("notes")
 
 
-def join_lines(lines: list[dict]) -> list[str]:
-    """Wrapped lines of one group as items: bullets in one form, hyphens undone, marked lines noted."""
-    items: list[str] = []
-    before: dict | None = None
-    for line in lines:
-        text = line["text"]
-        bullet = _BULLET.match(text)
-        body = f"- {text[bullet.end():].lstrip()}".rstrip() if bullet else text
-        mark = "" if not line["highlighted"] else MARKED_OPTION if _OPTION.match(text) else MARKED
-        alone = bool(items) and items[-1] == "-"
-        fresh = before is None or (not alone and bool(line["block"] != before["block"] or bullet or _QUESTION.match(text) or _OPTION.match(text) or before["highlighted"] or before["text"].rstrip()[-1:] in ".!?:;"))
-        if fresh:
-            items.append(body + mark)
-        elif re.search(r"[^\W\d_]-$", items[-1]) and body[:1].islower():
-            items[-1] = items[-1][:-1] + body + mark
-        else:
-            items[-1] += " " + body + mark
-        before = line
-    return [i for i in items if i.strip() not in ("", "-")]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _joined(lines: pd.Series) -> pd.Series:
-    return lines.map(lambda group: [] if group is None else join_lines([dict(x) for x in group]))
-
-
 def items(sectioned: DataFrame) -> DataFrame:
-    """(doc_id, page, section, heading, items) of every group; a group is a part of one page, so its lines are few."""
-    line = F.struct("idx", "text", "block", "highlighted")
-    grouped = sectioned.groupBy(*PAGE, "section").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("is_heading"), F.struct("idx", "text")))), lambda x: x["text"]), " ").alias("heading"),
-        F.sort_array(F.collect_list(F.when(~F.col("is_heading"), line))).alias("lines"),
+    """(doc_id, page, section, heading, items) of every group: wrapped lines joined to items, bullets in one form, hyphens undone, marks set.
+
+    Flags are set by windows over the lines of a group, which is a part of one page: a line opens an item if it has a bullet, asks or offers
+    something, stands in another block, or follows the end of a sentence or a highlighted line; all lines of a heading are one. A line that
+    is a bullet alone takes the next line to it.
+    """
+    group = (*PAGE, "section", "is_heading")
+    w = Window.partitionBy(*group).orderBy("idx")
+    text = F.col("text")
+    bare = F.ltrim(F.regexp_replace(text, BULLET, ""))
+    option = text.rlike(OPTION)
+    mark = F.when(F.col("highlighted"), F.when(option, MARKED_OPTION).otherwise(MARKED)).otherwise("")
+    rows = sectioned.withColumn("bullet", ~F.col("is_heading") & text.rlike(BULLET))
+    rows = rows.withColumn("said", F.when(F.col("is_heading"), text).otherwise(F.concat(F.when(F.col("bullet"), F.rtrim(F.concat(F.lit("- "), bare))).otherwise(text), mark)))
+    rows = rows.withColumn("dash", ~F.col("is_heading") & (F.col("said") == "-"))
+    rows = rows.withColumn("run", F.row_number().over(w) - F.row_number().over(Window.partitionBy(*group, "dash").orderBy("idx")))
+    earlier = lambda c: F.lag(c).over(w)
+    ended = earlier("said").rlike(r"[.!?:;]\s*$") | earlier("highlighted")
+    able = earlier("idx").isNull() | (~F.col("is_heading") & ((F.col("block") != earlier("block")) | F.col("bullet") | text.rlike(QUESTION) | option | ended))
+    rows = rows.withColumn("able", able)
+    # of dashes in a row every other one waits for what follows
+    rows = rows.withColumn("waits", F.col("dash") & F.col("able") & (F.row_number().over(Window.partitionBy(*group, "dash", "run").orderBy("idx")) % 2 == 1))
+    opens = F.col("able") & ~F.coalesce(earlier("waits"), F.lit(False))
+    rows = rows.withColumn("opens", opens).withColumn("mends", ~opens & earlier("said").rlike(r"\p{L}-$") & F.col("said").rlike(r"^\p{Ll}"))
+    held = F.when(F.coalesce(F.lead("mends").over(w), F.lit(False)), F.expr("substring(said, 1, char_length(said) - 1)")).otherwise(F.col("said"))
+    rows = rows.withColumn("item", F.sum(F.col("opens").cast("int")).over(w)).withColumn("piece", F.concat(F.when(F.col("opens") | F.col("mends"), "").otherwise(" "), held))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "piece"))), lambda x: x["piece"]), "")
+    one = rows.groupBy(*group, "item").agg(joined.alias("t"))
+    kept = F.when(~F.col("is_heading") & (F.regexp_replace("t", "[ -]", "") != ""), F.struct("item", "t"))
+    return one.groupBy(*PAGE, "section").agg(
+        F.nullif(squeeze(F.max(F.when(F.col("is_heading"), F.col("t")))), F.lit("")).alias("heading"),
+        F.transform(F.sort_array(F.collect_list(kept)), lambda x: x["t"]).alias("items"),
     )
-    return grouped.select(*PAGE, "section", F.nullif("heading", F.lit("")).alias("heading"), _joined("lines").alias("items"))
+
+
+def page_texts(groups: DataFrame, titled: DataFrame) -> DataFrame:
+    """(doc_id, page, title, body, text, lines, letters) of the groups of ``items`` and ``page_is_titled``; lines and letters are what
+    ``structure.without_overlays`` reads. The title is the heading of the first group of a titled page, and no part of the body."""
+    part = F.concat(F.array_compact(F.array("heading")), "items")
+    pages = groups.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("section", "heading", part.alias("parts")))).alias("g")).join(titled, PAGE, "left")
+    flat = F.flatten(F.col("g.parts"))
+    title = F.when(F.col("titled"), F.get("g", F.lit(0))["heading"])
+    body = F.when(F.col("titled") & title.isNotNull(), F.slice(flat, F.lit(2), F.size(flat))).otherwise(flat)
+    lines = F.filter(F.split(F.array_join(flat, "\n"), "\n"), lambda x: x != "")
+    rows = pages.select(*PAGE, title.alias("title"), F.array_join(body, "\n").alias("body"), F.array_join(flat, "\n").alias("text"), F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"))
+    return rows.withColumn("letters", F.char_length(F.regexp_replace("body", r"[^\p{L}\p{N}]", "")))
+
+
+def document_titles(kept: DataFrame) -> DataFrame:
+    """(doc_id, title): the title of page 1, if that page is still there."""
+    return kept.groupBy("doc_id").agg(F.max(F.when(F.col("page") == 1, F.col("title"))).alias("title"))
+
+
+def question_segments(groups: DataFrame, least: int = 3) -> DataFrame:
+    """(doc_id, page, segment, heading, text): a segment for each group, or, on a page with least questions or more, for each question.
+
+    A question is a numbered line that a lettered option follows within three lines; from the first one on, the questions take the place
+    of the groups.
+    """
+    w = Window.partitionBy(*PAGE).orderBy("section", "at")
+    lines = groups.select(*PAGE, "section", "heading", F.posexplode("items").alias("at", "line"))
+    follows = F.lit(False)
+    for n in (1, 2, 3):
+        follows = follows | F.coalesce(F.lead(F.col("line").rlike(OPTION), n).over(w), F.lit(False))
+    marked = lines.withColumn("asks", (F.col("line").rlike(QUESTION) & follows).cast("int"))
+    marked = marked.withColumn("n", F.row_number().over(w)).withColumn("number", F.sum("asks").over(w)).withColumn("all", F.sum("asks").over(Window.partitionBy(*PAGE)))
+    asked = (F.col("all") >= least) & (F.col("number") > 0)
+    placed = marked.withColumn("question", F.when(asked, F.col("number")).otherwise(0)).withColumn("section", F.when(asked, F.lit(None)).otherwise(F.col("section")))
+    label = F.concat(F.lit("Question "), F.regexp_extract(F.min(F.when(F.col("asks") == 1, F.struct("n", "line")))["line"], r"^(\d+)", 1))
+    first = F.min(F.struct("heading"))["heading"]
+    texts = placed.groupBy(*PAGE, "question", "section").agg(F.when(F.col("question") > 0, label).otherwise(first).alias("heading"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    owner = marked.filter((F.col("all") >= least) & (F.col("number") > 0)).groupBy(*PAGE).agg(F.min("section").alias("owner"))
+    bare = groups.join(texts.filter("question = 0").select(*PAGE, "section"), [*PAGE, "section"], "left_anti").join(owner, PAGE, "left").filter("heading is not null and (owner is null or section <= owner)")
+    rows = texts.unionByName(bare.select(*PAGE, F.lit(0).cast("long").alias("question"), "section", "heading", F.lit("").alias("text")))
+    order = Window.partitionBy(*PAGE).orderBy("question", "section")
+    return rows.select(*PAGE, (F.row_number().over(order) - 1).alias("segment"), "heading", "text")
 
 
 def empty_pages(pages: DataFrame, lines: DataFrame) -> DataFrame:

@@ -29,14 +29,35 @@ def test_margins_titles_and_sections(spark):
     assert all(r["titled"] == (r["page"] < 5) for r in layout.page_is_titled(layout.sections(kept, body), pages).collect())
 
 
-def test_joining_of_lines():
-    def joined(*lines):
-        return layout.join_lines([{"text": t, "block": b, "highlighted": m} for t, b, m in lines])
-
-    assert joined(("•first item", 1, False), ("goes on with a hyphen-", 1, False), ("ated word.", 1, False), ("Next", 1, False)) == ["- first item goes on with a hyphenated word.", "Next"]
-    assert joined(("a) yes", 1, True), ("b) no", 1, False), ("plain", 2, True)) == ["a) yes ✔ (réponse surlignée)", "b) no", "plain [surligné]"]
-    assert joined(("- ", 1, False), ("text of it", 1, False), ("–", 3, False)) == ["- text of it", "–"]
-    assert joined() == []
+def test_joining_of_lines(spark):
+    groups = [
+        [("•first item", 1, False), ("goes on with a hyphen-", 1, False), ("ated word.", 1, False), ("Next", 1, False)],
+        [("a) yes", 1, True), ("b) no", 1, False), ("plain", 2, True), ("after", 2, False)],
+        [("-", 1, False), ("text of it", 1, False), ("–", 3, False), ("•", 4, False), ("•", 4, False), ("•", 4, False), ("last", 5, False)],
+        [("Over", 1, False), ("1. Which", 1, False), ("A. this", 1, False), ("e-", 1, False), ("Mail", 1, False)],
+    ]
+    rows = [("d", 1, s, i, t, b, m, False) for s, g in enumerate(groups) for i, (t, b, m) in enumerate(g)] + [("d", 1, 3, 10 + i, t, 1, False, True) for i, t in enumerate(("A long arith-", "métique  of", "Things"))]
+    df = spark.createDataFrame(rows, "doc_id string, page int, section int, idx int, text string, block int, highlighted boolean, is_heading boolean")
+    got = {r["section"]: (r["heading"], r["items"]) for r in layout.items(df).collect()}
+    assert got[0] == (None, ["- first item goes on with a hyphenated word.", "Next"])
+    assert got[1] == (None, ["a) yes ✔ (réponse surlignée)", "b) no", "plain [surligné]", "after"])
+    assert got[2] == (None, ["- text of it", "–", "- last"])  # an item of dashes alone is none
+    assert got[3] == ("A long arithmétique of Things", ["Over", "1. Which", "A. this e- Mail"])
+
+
+def test_page_texts_titles_and_questions(spark):
+    groups = [("d", 1, 1, "Title", ["- a", "b"]), ("d", 1, 2, "More", []), ("d", 2, 0, None, ["x"])]
+    sheet = [line for n in (1, 2, 7) for line in (f"{n}. What?", "A. one", "B. two")]
+    groups += [("q", 1, 0, None, ["intro"]), ("q", 1, 1, "Part", ["lead", *sheet[:4]]), ("q", 1, 2, "Rest", sheet[4:]), ("q", 2, 1, "Few", sheet[:3]), ("q", 2, 2, "Bare", [])]
+    df = spark.createDataFrame(groups, "doc_id string, page int, section int, heading string, items array<string>")
+    titled = spark.createDataFrame([("d", 1, True), ("d", 2, False)], "doc_id string, page int, titled boolean")
+    pages = layout.page_texts(df.filter("doc_id = 'd'"), titled)
+    assert {r["page"]: (r["title"], r["body"], r["text"], r["letters"], len(r["lines"])) for r in pages.collect()} == {1: ("Title", "- a\nb\nMore", "Title\n- a\nb\nMore", 6, 4), 2: (None, "x", "x", 1, 1)}
+    assert structure.without_overlays(pages, "doc_id").count() == 2
+    assert [tuple(r) for r in layout.document_titles(pages).collect()] == [("d", "Title")] and layout.document_titles(pages.filter("page > 1")).first()["title"] is None
+    got = [(r["page"], r["segment"], r["heading"], r["text"]) for r in layout.question_segments(df.filter("doc_id = 'q'")).orderBy("page", "segment").collect()]
+    ask = lambda n: f"{n}. What?\nA. one\nB. two"
+    assert got == [(1, 0, None, "intro"), (1, 1, "Part", "lead"), (1, 2, "Question 1", ask(1)), (1, 3, "Question 2", ask(2)), (1, 4, "Question 7", ask(7)), (2, 0, "Few", ask(1)), (2, 1, "Bare", "")]
 
 
 def test_spans_images_and_notes(spark):
