@@ -55,7 +55,8 @@ def import_documents(store: Store, documents: DataFrame, chunks: DataFrame, widt
     if stored is None:
         stored, held = documents.limit(0), chunks.limit(0)
     known = stored.select("id", F.col("embedding_provider").alias("stored_provider"), F.lit(True).alias("known"))
-    fits = library.reembedding(held, chunks).withColumnRenamed("document_id", "id")
+    touched = held.join(chunks.select("document_id").distinct(), "document_id", "left_semi")  # of the store only what comes in again
+    fits = library.reembedding(touched, chunks).withColumnRenamed("document_id", "id")
     judged = documents.join(known, "id", "left").join(fits, "id", "left").join(bad.withColumn("bad", F.lit(True)), "id", "left")
     outcome = (
         F.when(F.col("bad").isNotNull(), "refused")
