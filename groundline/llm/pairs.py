@@ -173,13 +173,16 @@ def clustered(openings: DataFrame) -> DataFrame:
     joint = F.size(F.array_intersect("s", "s2")) / F.size(F.array_union("s", "s2"))
     first = near.groupBy("bucket").agg(F.min(F.struct("head", "s")).alias("_")).select("bucket", F.col("_.head").alias("head2"), F.col("_.s").alias("s2"))
     to_first = near.join(first, "bucket").filter((F.col("head") != F.col("head2")) & (joint >= SIMILARITY)).select(F.col("head2").alias("a"), F.col("head").alias("b")).distinct()
+    to_first = checkpoint(to_first)
     found = components(to_first)
     of = lambda c: F.coalesce(c, F.col("head"))
     placed = near.join(found, F.col("head") == F.col("node"), "left").select("bucket", "head", "s", of(F.col("cluster")).alias("c"))
     anchor = first.join(found, F.col("head2") == F.col("node"), "left").select("bucket", F.coalesce("cluster", "head2").alias("main"))
     apart = placed.join(anchor, "bucket").filter("c <> main").select("bucket", F.col("head").alias("head2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
     rest = placed.join(apart, "bucket").filter((F.col("c") != F.col("c2")) & (joint >= SIMILARITY)).select(F.col("head").alias("a"), F.col("head2").alias("b")).distinct()
-    found = components(checkpoint(to_first.unionByName(rest)))
+    rest = checkpoint(rest)
+    if not rest.isEmpty():
+        found = components(to_first.unionByName(rest))
     return signed.join(found, F.col("head") == F.col("node"), "left").select("opening", of(F.col("cluster")).alias("cluster"))
 
 
