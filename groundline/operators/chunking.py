@@ -130,6 +130,14 @@ def embedding_text(*parts: Column, text: Column) -> Column:
     return F.concat(F.concat_ws(" > ", *[F.nullif(p, F.lit("")) for p in parts]), F.lit("\n\n"), text)
 
 
+def model_input(text: Column, kind: Column, prefixes: dict[str, str]) -> Column:
+    """The text as a model wants it: with the prefix of its kind (query or passage), where the model has one."""
+    out = text
+    for name, prefix in prefixes.items():
+        out = F.when(kind == name, F.concat(F.lit(prefix), text)).otherwise(out)
+    return out
+
+
 def batches_of(rows: Iterator[pa.RecordBatch], most: int = 25) -> Iterator[pa.RecordBatch]:
     """Record batches cut to what an embedding provider takes in one request."""
     for batch in rows:

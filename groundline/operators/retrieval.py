@@ -151,6 +151,12 @@ def batch_top(queries: DataFrame, chunks: DataFrame, k: int, width: int, scope:
     return search(asked, chunks.select("chunk_id", "vector", *([scope] if scope else [])), k, width, vectors, "chunk_id", scope)
 
 
+def cutoff_for(provider: Column, given: Column | None = None) -> Column:
+    """The cutoff of the vectors of a provider: the one that is given, else that of the local model or of lexical vectors."""
+    own = F.when(provider == "local", MODEL_CUTOFF).otherwise(LEXICAL_CUTOFF)
+    return own if given is None else F.coalesce(given, own)
+
+
 def labelled(ranked: DataFrame, cutoff: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """The rows that reach the cutoff, after the limit, with labels from 1 in order of rank."""
     kept = ranked.filter(F.col("score") >= cutoff)

@@ -20,6 +20,12 @@ def blocks(lines: DataFrame, key: str) -> DataFrame:
     return kept.withColumn("island", island).groupBy(key, "island").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count("*").alias("n_lines")).drop("island")
 
 
+def marked_blocks(found: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """(key, first_line, last_line, first_marked) of the blocks of ``blocks`` that hold a line of marks (key, line): what a viewer highlights."""
+    inside = found.join(marks.select(key, "line").distinct(), key).filter((F.col("line") >= F.col("first_line")) & (F.col("line") <= F.col("last_line")))
+    return inside.groupBy(key, "first_line", "last_line").agg(F.min("line").alias("first_marked"))
+
+
 def headings(lines: DataFrame, key: str) -> DataFrame:
     """(key, line, level, heading, path) of the Markdown headings outside code fences; path joins the open headings above and itself."""
     w = Window.partitionBy(key).orderBy("line")

@@ -5,7 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from groundline.operators import events, imports
+from groundline.operators import chunking, events, imports, retrieval, structure
 from groundline.sources import files
 from groundline.streaming import claims, ingest
 
@@ -144,5 +144,12 @@ def test_small_rules(spark):
 
     rows = spark.createDataFrame([("a **b** **c", "x *y* `z`")], "t string, h string")
     assert tuple(rows.select(events.balanced_emphasis(F.col("t")), imports.plain_heading(F.col("h"))).first()) == ("a b c", "x y z")
+    cutoffs = spark.createDataFrame([("local", None), ("deterministic", None), (None, None), ("local", 0.7)], "p string, g double")
+    assert [r[0] for r in cutoffs.select(retrieval.cutoff_for(F.col("p"), F.col("g"))).collect()] == [0.4, 0.1, 0.1, 0.7]
+    inputs = spark.createDataFrame([("a", "query"), ("b", "passage"), ("c", None)], "t string, k string")
+    assert [r[0] for r in inputs.select(chunking.model_input(F.col("t"), F.col("k"), {"query": "query: ", "passage": "passage: "})).collect()] == ["query: a", "passage: b", "c"]
+    found = spark.createDataFrame([(1, 1, 3), (1, 5, 9), (2, 1, 3)], "id int, first_line int, last_line int")
+    marks = spark.createDataFrame([(1, 4), (1, 6), (1, 6), (1, 8), (3, 1)], "id int, line int")
+    assert [tuple(r) for r in structure.marked_blocks(found, marks, "id").collect()] == [(1, 5, 9, 6)]
     scopes = spark.createDataFrame([((None, "c", None), (None, "c", None)), (("s", "c", None), (None, "c", None))], "a struct<subject: string, course_id: string, document_id: string>, b struct<subject: string, course_id: string, document_id: string>")
     assert [r[0] for r in scopes.select(events.same_scope(F.col("a"), F.col("b"))).collect()] == [True, False]
