@@ -7,7 +7,8 @@ Counted pigeonhole: an error destroys at most ``q`` of the half + 1 - q pieces o
 half + 1 - q(e + 1) of them. Every half, wherever it begins in the item, with e of up to ``ERRORS`` of its length is therefore verified,
 wherever its errors stand; a changed word destroys its length + q - 1 pieces, so that more changes are found when they come in words.
 All pieces of all items are searched, shared ones too, with hashes over flat arrays; their hits are counted by item and diagonal, in
-windows that overlap by the longest item. What has enough is verified with Myers' bit-parallel distance, many places at once, and the
+windows that overlap by the longest item: first by wide cells of diagonals, where pieces that always follow each other count as one run, then
+by parts of the cells, and only what has enough there is sorted and counted exactly. What has enough is verified with Myers' bit-parallel distance, many places at once, and the
 share of the item that stands there is measured exactly by a local alignment.
 
 Defined results: null and empty documents or items give no pair; an item whose half is shorter than a piece is found
@@ -47,7 +48,9 @@ DIRECTORY = np.uint64(42)  # bits of a hash below those that its slot is found b
 #: Bytes of documents worked through together.
 BLOCK = 4_000_000
 COUNTED, ALIGNED = 2048, 128  # places whose pieces are counted together, and that are aligned together
-CELLS = 1 << 23  # pairs of item and diagonal bucket that are counted at once before the hits are sorted
+CELLS = 1 << 23  # pairs of item and cell of diagonals that are counted at once before the hits are sorted
+ROOM = 1 << 23  # symbols of texts whose distances are taken at once
+FINE = 3  # bits by which a cell is cut into parts
 _KEPT: "dict[str, Items]" = {}
 DENSE_FROM = 0x0E00  # Thai and everything after it, up to the scripts of East Asia, writes words without spaces
 
@@ -69,9 +72,12 @@ def pieces(cps: np.ndarray, length: int) -> np.ndarray:
     n = max(0, len(cps) - length + 1)
     h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
+        symbols = cps * np.uint64(0x9E3779B97F4A7C15)
         for k in range(length):
-            h = h * np.uint64(0x100000001B3) + cps[k : k + n] * np.uint64(0x9E3779B97F4A7C15)
-        return h * np.uint64(0xD6E8FEB86659FD93)
+            h *= np.uint64(0x100000001B3)
+            h += symbols[k : k + n]
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
 
 
 def directory(keys: np.ndarray) -> tuple[np.ndarray, int]:
@@ -83,6 +89,12 @@ def directory(keys: np.ndarray) -> tuple[np.ndarray, int]:
     return slots, int(np.diff(np.append(opens, len(keys))).max()) - 1
 
 
+def followed(follower: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The piece that follows each piece wherever it occurs in the items, and occurs nowhere else; -1 where there is none. follower: by posting."""
+    least, most, count = np.minimum.reduceat(follower, first[:-1]), np.maximum.reduceat(follower, first[:-1]), np.diff(first)
+    return np.where((least == most) & (least >= 0) & (count == count[least]), least, -1)
+
+
 class Items:
     """The items of a slice with the postings of all their pieces."""
 
@@ -104,6 +116,7 @@ class Items:
         #: Diagonals that the hits of one place can spread over: all errors may be gaps.
         self.spread = np.maximum(1, (BUDGET * self.half).astype(np.int64))
         self.step = -(-self.spread // 2)
+        self.shift = np.maximum(FINE, np.ceil(np.log2(3 * self.step)).astype(np.int64))
         self.longest = int(self.size.max(initial=1))
         self.short = [i for i in range(len(self.size)) if self.half[i] < length[i]]
         self.postings = {}
@@ -118,15 +131,20 @@ class Items:
             if hashes:
                 h, item, offset = map(np.concatenate, (hashes, item, offset))
                 order = np.argsort(h, kind="stable")
-                h, first = np.unique(h[order], return_index=True)
-                self.postings[length] = (h, np.append(first, len(order)), item[order], offset[order], *directory(h))
+                h, first, kind = np.unique(h[order], return_index=True, return_inverse=True)
+                follower = np.full(len(order), -1)
+                follower[order] = kind
+                follower = np.append(np.where(item[1:] == item[:-1], follower[1:], -1), -1)[order]
+                first = np.append(first, len(order))
+                self.postings[length] = (h, first, item[order], offset[order], followed(follower, first), *directory(h))
 
-    def hits(self, bare: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(position, item, offset) of every piece that occurs in the skeleton of a block of texts, by overlapping windows.
+    def hits(self, bare: np.ndarray, shifted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(base of the diagonals, item, diagonal, offset) of the pieces that occur in the skeleton of a block of texts and have
+        enough near them, by overlapping windows; shifted is where each position counts from.
 
         A window with too many hits is worked through by parts of the items; an item's hits in a window always come together.
         """
-        for length, (keys, first, item, offset, slots, most) in self.postings.items():
+        for length, (keys, first, item, offset, follows, slots, most) in self.postings.items():
             h = pieces(bare, length)
             place = slots[h >> DIRECTORY]
             at = np.flatnonzero(place >= 0)
@@ -135,23 +153,70 @@ class Items:
                 place += (keys[place] < wanted) & (place + 1 < len(keys))
             ok = keys[place] == wanted
             at, place = at[ok], place[ok]
+            # pieces that always follow each other are one run: their hits have the same diagonals
+            opens = np.append(True, (at[1:] != at[:-1] + 1) | (follows[place[:-1]] != place[1:]) | (at[1:] // WINDOW != at[:-1] // WINDOW))[: len(at)]
+            opens = np.flatnonzero(opens)
+            runs = np.diff(np.append(opens, len(at)))
+            at, place = at[opens], place[opens]
+            cells = self.cells(item, offset)
             for begin in range(0, len(h), WINDOW):
                 low, high = np.searchsorted(at, (begin, begin + WINDOW + self.longest))
                 count = first[place[low:high] + 1] - first[place[low:high]]
-                ends = np.cumsum(count)
+                ends = np.cumsum(count * runs[low:high])
                 parts = -(-int(ends[-1]) // HELD) if len(ends) else 0
                 cuts = np.unique(np.searchsorted(ends, np.arange(1, parts) * HELD)) if parts > 1 else []
+                lead = at[low:high] - begin
                 for part in range(parts):
                     found = []
-                    for some in np.split(np.arange(low, high), cuts):
+                    for some in np.split(np.arange(high - low), cuts):
                         if len(some):
-                            n = count[some - low]
-                            post = np.repeat(first[place[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                            n = count[some]
+                            post = np.repeat(first[place[low + some]] - (np.cumsum(n) - n), n)
+                            post += np.arange(len(post))
                             mine = slice(None) if parts == 1 else item[post] % parts == part
-                            found.append((np.repeat(at[some], n)[mine], item[post][mine], offset[post][mine]))
-                    found = tuple(map(np.concatenate, zip(*found)))
-                    if len(found[0]):
-                        yield found
+                            found.append((np.repeat(lead[some], n)[mine], post[mine], np.repeat(runs[low + some], n)[mine]))
+                    ahead, post, run = found[0] if len(found) == 1 else map(np.concatenate, zip(*found))
+                    if cells:
+                        code, shift, need, reach, number = cells
+                        fine = ahead + code.take(post)
+                        fine >>= shift.take(post)
+                        cell = fine >> FINE
+                        many = np.bincount(cell, run, len(need))
+                        full = np.zeros(len(need), bool)
+                        np.greater_equal(many[:-1] + many[1:], need[:-1], out=full[:-1])
+                        full[1:] |= full[:-1].copy()
+                        held = np.flatnonzero(full.take(cell))
+                        # the same by parts of the cells that are left, as far as three buckets reach
+                        kept = np.flatnonzero(full)
+                        number[kept] = np.arange(len(kept))
+                        part_of = (number.take(cell.take(held)) << FINE) + (fine.take(held) & (1 << FINE) - 1)
+                        run = run.take(held)
+                        total = np.append(0, np.cumsum(np.bincount(part_of, run, len(kept) << FINE)))
+                        opens = np.arange(len(total) - 1)
+                        ends = np.minimum(opens + np.repeat(reach[kept], 1 << FINE), len(opens))
+                        enough = np.flatnonzero(total[ends] - total[:-1] >= np.repeat(need[kept], 1 << FINE))
+                        covered = np.bincount(enough, minlength=len(total)) - np.bincount(ends[enough], minlength=len(total))
+                        some = np.flatnonzero((np.cumsum(covered) > 0).take(part_of))
+                        held, run = held.take(some), run.take(some)
+                        ahead, post = ahead.take(held), post.take(held)
+                    if len(post):
+                        base = int(shifted[at[low]]) - self.longest
+                        ahead = shifted[ahead + begin] - base
+                        within = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
+                        yield base, np.repeat(item[post], run), np.repeat(ahead - offset[post], run), np.repeat(offset[post], run) + within
+
+    def cells(self, item: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """What added to a position of a window and shifted gives the part of a cell of a posting: each item has cells of its own over the
+        diagonals, so wide that what three neighbouring buckets hold lies in two neighbouring cells; the hits that these need; the parts of
+        cells over which three buckets reach; room for a number of each cell. None for too many cells. Texts that stand side by side share
+        cells, which lets more through and drops nothing."""
+        stride = (WINDOW + 2 * self.longest >> self.shift) + 2
+        if stride.sum() > CELLS:
+            return None
+        opens = np.cumsum(stride) - stride
+        code = (opens << self.shift)[item] + self.longest - offset
+        parts = (3 * self.step - 2 >> self.shift - FINE) + 2
+        return code, (self.shift - FINE)[item], np.repeat(self.need, stride), np.repeat(parts, stride), np.zeros(int(stride.sum()), np.int64)
 
 
 def myers(pattern: np.ndarray, text: np.ndarray) -> int:
@@ -179,50 +244,75 @@ def myers(pattern: np.ndarray, text: np.ndarray) -> int:
 
 
 def distances(patterns: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
-    """myers() of each pattern and its text, for all at once: columns of words of 64 bits."""
+    """myers() of each pattern and its text, for all at once: columns of words of 64 bits. A pattern ends at the last bit of the last word; the
+    bits before it match everything and cost nothing, as does what stands before a match."""
     n = len(patterns)
-    symbols = np.unique(np.concatenate(patterns))
-    size = np.array([len(p) for p in patterns])
-    words = -(-int(size.max()) // 64)
-    kinds = len(symbols) + 1  # the last is any other
-    peq = np.zeros((words, n * kinds), np.uint64)
-    for i, p in enumerate(patterns):
-        k = np.arange(len(p))
-        np.bitwise_or.at(peq, (k >> 6, np.searchsorted(symbols, p) + i * kinds), np.uint64(1) << (k & 63).astype(np.uint64))
-    width = max(map(len, texts), default=0)
-    column = np.empty((width, n), np.int64)
-    column[:] = np.arange(n) * kinds + len(symbols)
-    for i, t in enumerate(texts):
-        place = np.minimum(np.searchsorted(symbols, t), len(symbols) - 1)
-        column[: len(t), i] = np.where(symbols[place] == t, place, len(symbols)) + i * kinds
+    if n > 1 and n * max(map(len, texts)) > ROOM:
+        return np.concatenate([distances(patterns[: n // 2], texts[: n // 2]), distances(patterns[n // 2 :], texts[n // 2 :])])
+    size, lens = np.array([len(p) for p in patterns]), np.array([len(t) for t in texts])
+    words, width = -(-int(size.max()) // 64), int(lens.max(initial=0))
+    pattern, text = np.concatenate(patterns), np.concatenate(texts)
+    # a number for each symbol of the patterns, 0 for any other; then one for each symbol within its pattern
+    most = int(pattern.max())
+    number = np.zeros(most + 2, np.int64)
+    number[pattern] = 1
+    symbols = np.flatnonzero(number)
+    number[symbols] = np.arange(1, len(symbols) + 1)
+    kinds = len(symbols) + 1
+    row = np.arange(n)[:, None] * kinds
+    rows, columns = np.zeros((n, words * 64), np.int64), np.zeros((n, width), np.int64)
+    rows[np.arange(words * 64) >= words * 64 - size[:, None]] = number.take(pattern.astype(np.int64))
+    columns[np.arange(width) < lens[:, None]] = number.take(text.astype(np.int64), mode="clip")
+    rows += row
+    columns += row
+    held = np.zeros((n, kinds), bool)
+    held[:, 0] = True
+    held.ravel()[rows] = True
+    used = np.flatnonzero(held)
+    own = (np.cumsum(held) - 1).reshape(n, kinds)
+    own = np.where(held, own, own[:, :1]).ravel()
+    peq = np.zeros((words, len(used)), np.uint64)
+    for r, symbol in enumerate(np.ascontiguousarray(own.take(rows).T)):
+        peq[r >> 6][symbol] |= np.uint64(1 << (r & 63))  # each pattern has numbers of its own
+    before = np.clip(64 * words - size - 64 * np.arange(words)[:, None], 0, 64)
+    free = np.where(before == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (before & 63).astype(np.uint64)) - np.uint64(1))
+    peq |= free[:, used // kinds]
     one, top = np.uint64(1), np.uint64(63)
-    edge, bit = ((size - 1) >> 6) * n + np.arange(n), ((size - 1) & 63).astype(np.uint64)
-    pv, mv = [np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64) for _ in range(words)], [np.zeros(n, np.uint64) for _ in range(words)]
-    score, best = size.copy(), size.copy()
-    ph, mh = np.zeros((words, n), np.uint64), np.zeros((words, n), np.uint64)
-    for symbol in column:
-        carry = None
-        xvs = []
+    pv, mv = ~free, np.zeros((words, n), np.uint64)
+    score, best, signs = size.copy(), size.copy(), np.empty(n, np.int64)
+    eq, xh, xv, ph, mh = (np.empty((words, n), np.uint64) for _ in range(5))
+    over, high = np.empty((words, n), bool), np.empty((words - 1, n), np.uint64)
+    for symbol in np.ascontiguousarray(own.take(columns).T):
         for w in range(words):
-            eq = peq[w].take(symbol)
-            x = eq & pv[w]
-            total = part = x + pv[w]
-            if carry is not None:
-                total = part + carry
-            if w + 1 < words:
-                carry = ((part < x) | (total < part)).astype(np.uint64)
-            xvs.append(eq | mv[w])
-            xh = (total ^ pv[w]) | eq
-            ph[w] = mv[w] | ~(xh | pv[w])
-            mh[w] = pv[w] & xh
-        score += ((ph.take(edge) >> bit) & one).view(np.int64) - ((mh.take(edge) >> bit) & one).view(np.int64)
+            peq[w].take(symbol, out=eq[w], mode="clip")
+        np.bitwise_and(eq, pv, out=xv)
+        np.add(xv, pv, out=xh)
+        if words > 1:
+            np.less(xh, xv, out=over)
+            for w in range(1, words):
+                xh[w] += over[w - 1]
+                if w + 1 < words:  # a carry that comes in leaves only if all bits were set
+                    over[w] |= over[w - 1] & (xh[w] == 0)
+        xh ^= pv
+        xh |= eq
+        np.bitwise_or(eq, mv, out=xv)
+        np.bitwise_or(xh, pv, out=ph)
+        np.invert(ph, out=ph)
+        ph |= mv
+        np.bitwise_and(pv, xh, out=mh)
+        np.right_shift(ph[-1].view(np.int64), 63, out=signs)
+        score -= signs
+        np.right_shift(mh[-1].view(np.int64), 63, out=signs)
+        score += signs
         np.minimum(best, score, out=best)
-        for w in range(words):
-            p, m = ph[w] << one, mh[w] << one
-            if w:
-                p, m = p | ph[w - 1] >> top, m | mh[w - 1] >> top
-            pv[w] = m | ~(xvs[w] | p)
-            mv[w] = p & xvs[w]
+        for x in (ph, mh):
+            np.right_shift(x[:-1], top, out=high)
+            np.left_shift(x, one, out=x)
+            x[1:] |= high
+        np.bitwise_or(xv, ph, out=pv)
+        np.invert(pv, out=pv)
+        pv |= mh
+        np.bitwise_and(ph, xv, out=mv)
     return best
 
 
@@ -255,29 +345,15 @@ def places(items: Items, bare: np.ndarray, owner: np.ndarray) -> Iterator[tuple[
     """(text, item, begins of halves, least and greatest diagonal): where the block has enough different pieces of one half of one item."""
     gap = 3 * items.longest  # texts share no diagonals
     texts, step = np.arange(int(owner[-1]) + 1), items.step.astype(np.int32)
-    starts = np.searchsorted(owner, texts) + texts * gap
+    starts, bits = np.searchsorted(owner, texts) + texts * gap, items.longest.bit_length()
     shifted = np.arange(len(bare)) + owner * gap
-    for at, item, offset in items.hits(bare):
-        base = int(shifted[at[0]]) - items.longest  # hits come by position
-        lead = shifted[at[0] : at[-1] + 1] - base
-        if lead[-1] < 1 << 30:
-            lead = lead.astype(np.int32)
-        bucket = (lead[at - at[0]] - offset) // step[item]
+    for base, item, bucket, offset in items.hits(bare, shifted):
+        bucket //= step[item]
         buckets = int(bucket.max()) + 3
-        wide = (buckets >> 2) + 2
-        if len(items.size) * wide <= CELLS:  # any three neighbouring buckets lie in two neighbouring cells of four
-            cell = item * wide + (bucket >> 2)
-            many = np.bincount(cell, minlength=len(items.size) * wide).reshape(-1, wide)
-            full = np.zeros(many.shape, bool)
-            full[:, :-1] = many[:, :-1] + many[:, 1:] >= items.need[:, None]
-            full[:, 1:] |= full[:, :-1].copy()
-            held = full.ravel()[cell]
-            item, bucket, offset = item[held], bucket[held], offset[held]
-            if not len(item):
-                continue
-        run, offset = np.divmod(np.sort((item.astype(np.int64) * buckets + bucket) * items.longest + offset), items.longest)
+        hit = np.sort((item.astype(np.int64) * buckets + bucket << bits) + offset)
+        run, offset = hit >> bits, hit & (1 << bits) - 1
         opens = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-        new = np.append(True, (run[1:] != run[:-1]) | (offset[1:] != offset[:-1]))
+        new = np.append(True, hit[1:] != hit[:-1])
         count = np.add.reduceat(new.astype(np.int64), opens)
         run = run[opens]
         ends = np.append(opens[1:], len(offset))
@@ -352,12 +428,14 @@ def find_block(items: Items, texts: list[str | None]) -> list[tuple[int, int]]:
         waiting.clear()
         while left := [c for c in left if c[2] and (c[0], c[1]) not in found]:
             left.sort(key=lambda c: c[4] - c[3] + items.size[c[1]])
+            each = max(1, TOGETHER // 2 // len(left))  # halves of a place at once: few places take as long as many
             for k in range(0, len(left), TOGETHER):
                 some = []
                 for doc, i, begins, low, high in left[k : k + TOGETHER]:
-                    begin, half, spread = begins.pop(0), int(items.half[i]), int(items.spread[i])
-                    low, high = low - int(first[doc]) + begin - spread, high - int(first[doc]) + begin + half + spread
-                    some.append((doc, i, begins, begin, low, high))
+                    half, spread = int(items.half[i]), int(items.spread[i])
+                    low, high = low - int(first[doc]) - spread, high - int(first[doc]) + half + spread
+                    some += [(doc, i, begins, begin, low + begin, high + begin) for begin in begins[:each]]
+                    del begins[:each]
                 errors = distances([items.skeletons[i][b : b + items.half[i]] for _, i, _, b, _, _ in some], [bodies[d][max(0, low) : max(0, high)] for d, _, _, _, low, high in some])
                 near = []
                 for (doc, i, begins, begin, low, high), e in zip(some, errors.tolist()):

@@ -139,3 +139,46 @@ def test_short_and_long_items():
     assert leakage.find_block(items, ["It says: yes it is so.", "Yes, it was.", long[: len(long) * 3 // 5]]) == [(0, 0), (2, 1)]
     item = np.arange(9000) % 5000 + np.arange(9000) // 5000 * 7000
     assert leakage.shares([item], [item[:6000]])[0] == 6000 / 9000
+
+
+def bare_of(text):
+    cps = leakage.folding()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    return cps[cps > 0]
+
+
+def test_only_hits_that_stand_close_are_taken_further():
+    """Of words of the items in any order next to nothing is sorted, and no hit that a place needs is left out."""
+    rng = random.Random(11)
+    texts = [passage(rng) for _ in range(6)] + ["零方差的电路" * 3 + "有限记忆的估计量在二十次试验后取代参考缓冲区包含一百个元素。" * 2]
+    items = leakage.Items(list(range(len(texts))), texts)
+    some = [texts[0], spoiled(texts[1], 30), texts[2][: len(texts[2]) * 2 // 3], texts[6] * 2, texts[3][200:] + texts[3][:200]]
+    scattered = [rng.choice(WORDS) if rng.random() < 0.1 else "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(9000)]
+    for text, most in ((" ".join(passage(rng) + " " + s for s in some), 1), (" ".join(scattered), 0.02)):
+        bare = bare_of(text)
+        hits = []
+        for length, (keys, first, item, offset, *_) in items.postings.items():
+            for at, h in enumerate(leakage.pieces(bare, length).tolist()):
+                k = int(np.searchsorted(keys, np.uint64(h)))
+                if k < len(keys) and int(keys[k]) == h:
+                    hits += [(int(item[p]), at - int(offset[p]), int(offset[p])) for p in range(first[k], first[k + 1])]
+        got = [(i, base + d, o) for base, *found in items.hits(bare, np.arange(len(bare))) for i, d, o in zip(*(x.tolist() for x in found))]
+        assert len(got) == len(set(got)) and set(got) <= set(hits) and len(got) <= most * len(hits)
+        want = set()
+        for i in range(len(texts)):
+            mine = sorted(h for h in hits if h[0] == i)
+            diagonals = np.array([d for _, d, _ in mine])
+            ends = np.searchsorted(diagonals, diagonals + 3 * int(items.step[i]))
+            for k in np.flatnonzero(ends - np.arange(len(mine)) >= items.need[i]).tolist():
+                want |= set(mine[k : ends[k]])
+        assert want <= set(got)
+
+
+def test_distances_of_other_symbols_and_full_words(monkeypatch):
+    rng = np.random.default_rng(2)
+    patterns = [rng.integers(1, kinds + 1, n).astype(np.uint32) for kinds in (1, 2, 40) for n in (1, 2, 63, 64, 65, 127, 128, 129, 192, 200, 257)]
+    texts = [rng.integers(0, 60, 150).astype(np.uint32) if k % 3 == 0 else np.concatenate([p[k % 7 :], p[: k * 5]]) for k, p in enumerate(patterns)]
+    assert leakage.distances(patterns, texts).tolist() == [leakage.myers(p, t) for p, t in zip(patterns, texts)]
+    assert leakage.distances(patterns[:3], [patterns[0][:0]] * 3).tolist() == [1, 2, 63]
+    whole = leakage.distances(patterns, texts).tolist()
+    monkeypatch.setattr(leakage, "ROOM", 1000)
+    assert leakage.distances(patterns, texts).tolist() == whole
